@@ -231,7 +231,7 @@ def _digests(path: str, limit: int):
     return run
 
 
-def digests(docs: DataFrame, path: str, slice_bytes: int = 8 << 20) -> DataFrame:
+def digests(docs: DataFrame, path: str, slice_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text; reads doc_id and text only, shuffles nothing."""
     return docs.select("doc_id", "text").mapInArrow(_digests(path, slice_bytes), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

@@ -11,15 +11,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 #: A cache of so many units stays in each Python worker.
-KEPT_UNITS = 400_000
+KEPT_UNITS = 300_000
 _SEPARATORS = "\x01\x02\x03\x04\x05\x06\x0e\x0f\x10|§¶†‡•■►◆★"
 
 
 def tune(spark) -> None:
     """Arrow batches of a bounded number of rows; slices() bounds their bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -36,6 +36,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+        pa.default_memory_pool().release_unused()
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
