@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, orc_tokens, packing
+from . import bpe, media, orc_tokens, packing, quality, secrets, sharding
 from .units import tune
 
 
@@ -18,14 +18,30 @@ def op1_nnls_packing(spark, sf_dir):
     return packing.pack(packing.pieces(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op2_ring_sharding(spark, sf_dir):
+    return sharding.shard(_documents(spark, sf_dir))
+
+
 def op3_tree_bpe(spark, sf_dir):
     return bpe.digests(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_line_quality(spark, sf_dir):
+    return quality.judge(_documents(spark, sf_dir))
+
+
+def op5_tar_media(spark, sf_dir):
+    return media.features(*media.store(_documents(spark, sf_dir)))
+
+
+def op6_secret_scan(spark, sf_dir):
+    return secrets.report(_documents(spark, sf_dir))
+
+
 def op7_orc_tokens(spark, sf_dir):
     path = orc_tokens.write(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
     return orc_tokens.checked(orc_tokens.read(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_nnls_packing, op3_tree_bpe, op7_orc_tokens)}
+QUERIES = {f.__name__: f for f in (op1_nnls_packing, op2_ring_sharding, op3_tree_bpe, op4_line_quality, op5_tar_media, op6_secret_scan, op7_orc_tokens)}
 ORACLES: dict[str, str] = {}

@@ -1,0 +1,257 @@
+"""Operators 2, 4, 5 and 6 against brute force."""
+
+import base64
+import collections
+import hashlib
+import json
+import random
+import re
+import zlib
+
+import pyarrow as pa
+import pytest
+
+from candor.llm import media, quality, secrets, sharding
+
+from .cases import awkward, empty
+
+WORDS = re.compile("[^\x20\x09-\x0d]+")
+
+
+# --- 2: sharding
+
+
+def brute_walk(counts, points, shards):
+    """Row by row: the own shard first for all, then node by node."""
+    total = sum(counts)
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    at = {(a, k): a for a, n in enumerate(counts) for k in range(n)}
+    home, waiting = {}, sorted(at)
+    while waiting:
+        rest = []
+        for row in waiting:
+            s = points[at[row]][1]
+            if room[s]:
+                room[s] -= 1
+                home[row] = s
+            else:
+                at[row] = (at[row] + 1) % len(points)
+                rest.append(row)
+        waiting = rest
+    return home
+
+
+def test_walk_equals_row_by_row():
+    rng = random.Random(4)
+    for _ in range(30):
+        shards = rng.randint(1, 6)
+        points = sharding.ring(shards, 5)
+        counts = [rng.choice([0, 1, 3, 20]) for _ in points]
+        flows = sharding.walk(counts, points, shards)
+        got = {(f["arc"], r): f["shard"] for f in flows for r in range(f["lo"], f["hi"])}
+        assert got == brute_walk(counts, points, shards)
+
+
+def test_growing_the_ring_moves_few_rows():
+    rng = random.Random(5)
+    a, b = sharding.ring(40, 64), sharding.ring(41, 64)
+    assert set(a) <= set(b) or sum(x in b for x in a) > 0.99 * len(a)
+    place = [rng.randrange(1 << sharding.RING_BITS) for _ in range(20000)]
+
+    def homes(points, shards):
+        spots = [p for p, _ in points]
+        import bisect
+
+        arcs = [bisect.bisect_left(spots, p) % len(spots) for p in place]
+        counts = [0] * len(spots)
+        for x in arcs:
+            counts[x] += 1
+        flow = collections.defaultdict(list)
+        for f in sharding.walk(counts, points, shards):
+            flow[f["arc"]].append(f)
+        seen, out = collections.Counter(), []
+        for x in arcs:
+            r = seen[x]
+            seen[x] += 1
+            out.append(next(f["shard"] for f in flow[x] if f["lo"] <= r < f["hi"]))
+        return out
+
+    x, y = homes(a, 40), homes(b, 41)
+    assert sum(p != q for p, q in zip(x, y)) < 0.35 * len(place)
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_shards_are_balanced(spark, hot):
+    docs = awkward(spark, extra=[f"text {k % 50 if hot else k}" for k in range(300)] + ["copy"] * 200)
+    local = docs.collect()
+    rows = sharding.shard(docs, shards=7).collect()
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in rows) == sorted((str(r.doc_id), len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in local)
+    slots = collections.defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    sizes = [len(slots[s]) for s in range(7)]
+    assert max(sizes) - min(sizes) <= 1
+    assert {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
+    assert sharding.shard(empty(spark)).collect() == []
+
+
+# --- 4: quality
+
+
+def brute_stats(text):
+    text = text or ""
+    words = WORDS.findall(text)
+    seen, dups = set(), 0
+    for line in text.split("\n"):
+        if WORDS.search(line):
+            dups += line in seen
+            seen.add(line)
+    where = collections.defaultdict(list)
+    for k in range(len(words) - 4):
+        where[tuple(words[k : k + 5])].append(k)
+    covered = {k + j for at in where.values() if len(at) > 1 for k in at for j in range(5)}
+    failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dups, len(covered), failed
+
+
+def test_quality_statistics(spark):
+    rng = random.Random(6)
+    extra = ["".join(rng.choices(["a ", "b ", "c ", "\n", "\t", "é ", "# ", "<x> ", "\xa0", "long ", " "], k=rng.randint(0, 200))) for _ in range(200)]
+    docs = awkward(spark, extra)
+    want = collections.Counter((str(r.doc_id), *brute_stats(r.text)) for r in docs.collect())
+    rows = quality.judge(docs).collect()
+    assert collections.Counter((str(r.doc_id), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in rows) == want
+    assert not any(r.kept and r.base_failed for r in rows)
+    assert quality.judge(empty(spark)).collect() == []
+
+
+def test_lines_that_fail():
+    good = "The house by the river was sold again. Nobody knew who had lived there."
+    bad = ["A | b | c | d", "BUY NOW AND SAVE", "so much fun!! and more!! of it!!", "© 2020 All rights reserved.", "x$$$ y%%% z### w***", " ".join(["word"] * 12)]
+    got, to_line, failing = quality.assess(pa.array(["\n".join([good, *bad, good, "ok"])]))
+    assert failing.tolist() == [False] + [True] * len(bad) + [True, False]
+    assert got["n_dup_lines"][0] == 1
+
+
+def test_clean_keeps_columns_and_drops_lines(spark):
+    good = "The house by the river was sold again, for the third time. Nobody knew who had lived there before.\n" + "Some said a painter, others a priest, and all of them agreed that the garden had been lovely."
+    docs = awkward(spark, [good, good + "\nBUY NOW AND SAVE", "x$$$ y%%% " * 30])
+    out = quality.clean(docs)
+    assert out.columns == docs.columns
+    rows = [r for r in out.collect() if r.text.startswith("The house")]
+    assert [r.text for r in rows] == [good, good] and all(r.n_chars == len(good) for r in rows)
+    assert not any("$$$" in r.text for r in out.collect())
+
+
+# --- 5: media
+
+
+def test_media_round_trip(spark):
+    docs = awkward(spark, ["y" * 191, "y" * 192, "y" * 193])
+    index, folder = media.store(docs)
+    rows = media.features(index, folder).collect()
+    want = []
+    for r in docs.collect():
+        data = (r.text or "").encode()
+        full = data + b" " * (192 - len(data) if not data else -len(data) % 192)
+        want.append((str(r.doc_id), len(data), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:])))
+    assert sorted((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == sorted(want)
+    by_text = collections.defaultdict(set)
+    for r in rows:
+        by_text[r.payload_sha256].add((r.media_bytes, r.media_sha256, r.feature))
+    assert all(len(v) == 1 for v in by_text.values())
+    heads = media.metadata(index, folder).collect()
+    assert all((h.width, h.bits, h.colour) == (192, 8, 0) for h in heads) and sum(h.height for h in heads) * 192 == sum(r.payload_bytes for r in rows)
+    assert media.catalog(index).count() == len(by_text)
+    none, folder = media.store(empty(spark))
+    assert media.features(none, folder).collect() == []
+
+
+def test_shards_are_tar_files_of_pngs(spark):
+    import glob
+    import tarfile
+
+    index, folder = media.store(awkward(spark))
+    names = set()
+    for path in glob.glob(folder.removeprefix("file://") + "/*.tar"):
+        with tarfile.open(path) as t:
+            for m in t.getmembers():
+                body = t.extractfile(m).read()
+                assert hashlib.sha256(media.decode_png(body)).hexdigest() + ".png" == m.name
+                names.add(m.name[:-4])
+    assert names == {r.digest for r in index.collect()}
+
+
+def test_damage_is_found():
+    form = media.encode_png(media.payload_of("some text")[0])
+    assert media.decode_png(form) == media.payload_of("some text")[0]
+    with pytest.raises(ValueError):
+        media.decode_png(form[:50] + bytes([form[50] ^ 1]) + form[51:])
+
+
+# --- 6: secrets
+
+
+def brute_base(text):
+    out = []
+    for m in re.finditer(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end(), "assign"))
+    out += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 18]
+    out += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if m.end() - m.start() >= 16]
+    return [(a, b, k) for a, _, b, k in sorted(out)]
+
+
+def test_base_spans(spark):
+    rng = random.Random(7)
+    parts = ["password", "Token", "api_key", "APIKEY", "ſecret", "toKen", '"', "'", " ", ":", "=", "AKIA", "ABCDEFGHIJKLMN", "0123456789abcdef", "abc", "é", ".", "-", "\n", "xyz123456789"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 60))) for _ in range(800)]
+    docs = awkward(spark, texts)
+    want = collections.Counter()
+    for r in docs.collect():
+        base = brute_base(r.text or "")
+        joined = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+        want[(str(r.doc_id), *(sum(s[2] == k for s in base) for k in ("assign", "access", "hex")), hashlib.sha256(joined.encode()).hexdigest())] += 1
+    rows = secrets.report(docs).collect()
+    assert collections.Counter((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in rows) == want
+    assert secrets.report(empty(spark)).collect() == []
+
+
+def der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82, n >> 8, n & 255])) + body
+
+
+def b64url(data):
+    return base64.urlsafe_b64encode(data).rstrip(b"=").decode()
+
+
+def test_structures_are_confirmed():
+    rng = random.Random(8)
+    number = lambda n: der(2, bytes([1] + [rng.randrange(256) for _ in range(n - 1)]))
+    rsa = der(0x30, der(2, b"\0") + b"".join(number(64) for _ in range(8)))
+    pkcs8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b"")) + der(4, rsa))
+    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + bytes(60)
+    for key in (rsa, pkcs8, ssh):
+        assert secrets.is_private_key(key)
+        for form in (base64.b64encode(key).decode(), key.hex().upper()):
+            text = f"é see {form} here"
+            assert (6, 6 + len(form), "key") in secrets.confirmed_spans(text)
+            assert not [s for s in secrets.confirmed_spans(text.replace(form[:8], form[:4])) if s[2] == "key"]
+    assert not secrets.is_private_key(rsa + b"\0") and not secrets.is_private_key(rsa[:-1])
+    token = f"{b64url(json.dumps({'alg': 'HS256', 'typ': 'JWT'}).encode())}.{b64url(json.dumps({'sub': 1}).encode())}.c2lnbmF0dXJl"
+    assert secrets.confirmed_spans(f"x {token} y") == [(2, 2 + len(token), "jwt")]
+    assert secrets.confirmed_spans("x " + token.replace("eyJ", "abc") + " y") == []
+    hidden = base64.b64encode(b'password = "hunter2hunter2"').decode()
+    assert secrets.confirmed_spans(hidden) == [(0, len(hidden), "encoded")]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(re.findall(".{1,64}", base64.b64encode(rsa).decode())) + "\n-----END RSA PRIVATE KEY-----"
+    assert secrets.confirmed_spans(pem) == [(0, len(pem), "key")]
+
+
+def test_redaction(spark):
+    docs = awkward(spark, ['a token = "0123456789abcdef0123" b', "clean"])
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    texts = [r.text for r in out.collect()]
+    assert 'a [SECRET]" b' in texts and "clean" in texts and None in texts
