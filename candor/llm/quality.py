@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from .units import as_utf8, coded, slices, split_words, texts
 
-MOST_LOST = 0.15
+MOST_LOST = 0.5
 LEAST_WORDS = 10
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies", "accept cookies", "enable javascript", "click here",
