@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, langid, media, orc_tokens, packing, quality, secrets, sharding
+from . import bpe, jaccard, langid, lm, media, orc_tokens, packing, quality, secrets, sharding
 from .units import tune
 
 
@@ -43,6 +43,10 @@ def op7_orc_tokens(spark, sf_dir):
     return orc_tokens.checked(orc_tokens.read(spark, path))
 
 
+def op8_lbl_score(spark, sf_dir):
+    return lm.score(_documents(spark, sf_dir))
+
+
 def op9_ngram_jaccard(spark, sf_dir):
     return jaccard.groups(_documents(spark, sf_dir), n=3, t=90)
 
@@ -52,5 +56,5 @@ def op10_crf_langid(spark, sf_dir):
     return langid.predict(docs, langid.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_nnls_packing, op2_ring_sharding, op3_tree_bpe, op4_line_quality, op5_tar_media, op6_secret_scan, op7_orc_tokens, op9_ngram_jaccard, op10_crf_langid)}
+QUERIES = {f.__name__: f for f in (op1_nnls_packing, op2_ring_sharding, op3_tree_bpe, op4_line_quality, op5_tar_media, op6_secret_scan, op7_orc_tokens, op8_lbl_score, op9_ngram_jaccard, op10_crf_langid)}
 ORACLES: dict[str, str] = {}
