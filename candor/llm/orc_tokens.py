@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .store import new_path
-from .units import encoder, slices, texts, u32_crc
+from .units import encoder, merged, texts, u32_crc
 
 END_ID = 0
 ROW_GROUP = 1000
@@ -33,7 +33,7 @@ def _tokenise(path: str, end: int):
         from pyspark import TaskContext
 
         part, before = TaskContext.get().partitionId(), 0
-        for batch in slices(batches):
+        for batch in merged(batches):
             off, ids = encoder(path, words=False).encode(texts(batch))
             n = np.diff(off) + 1
             at = np.concatenate([[0], np.cumsum(n)])
@@ -55,7 +55,7 @@ def write(docs: DataFrame, tokenizer: str, end: int = END_ID, files: int | None
     spark = docs.sparkSession
     path = new_path(spark, "ids-orc")
     if files is None:
-        mean = docs.select("text").limit(2000).agg(F.avg(F.octet_length("text"))).first()[0] or 0  # only sizes the files
+        mean = docs.select(F.octet_length("text").alias("b")).limit(2000).agg(F.avg("b")).first()[0] or 0  # only sizes the files
         total = int(mean * docs.count())
         files = max(1, -(-total // FILE_BYTES), spark.sparkContext.defaultParallelism)
     rows = docs.select("doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .units import encoder, slices, texts, u32_crc
+from .units import encoder, merged, texts, u32_crc
 
 WINDOW = 2048
 END_ID = 1
@@ -113,7 +113,7 @@ def plan(counts: np.ndarray, bins: int, least: float = LEAST_FILL) -> tuple[list
 
 def _pieces(path: str, window: int, end: int):
     def run(batches):
-        for batch in slices(batches):
+        for batch in merged(batches):
             off, ids = encoder(path, words=True).encode(texts(batch))
             doc, rows = batch.column("doc_id").to_pylist(), []
             for d, a, b in zip(doc, off.tolist(), off[1:].tolist()):

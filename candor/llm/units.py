@@ -39,6 +39,25 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         pa.default_memory_pool().release_unused()
 
 
+def merged(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 10 << 20) -> Iterator[pa.RecordBatch]:
+    """Like slices, with short batches put together first: fewer, larger dictionaries."""
+    held, size = [], 0
+
+    def flush():
+        table = pa.Table.from_batches(held).combine_chunks()
+        return slices(iter(table.to_batches()), column, limit)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(column).nbytes
+        if size >= limit:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
     """The column as strings; null becomes the empty text."""
     return batch.column(column).cast(pa.string()).fill_null("")
@@ -117,7 +136,12 @@ class UnitEncoder:
     def _units(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(lengths, ids) of distinct units, many of them in one call around a separator."""
         parts, sep = distinct.to_pylist(), self._mark(distinct)
-        alone = [k for k, p in enumerate(parts) if sep is None or self.long_unit and len(p) > self.longest or not self.words and p[:1] != " "]
+        single = pa.array(np.full(len(parts), sep is None))
+        if self.long_unit:
+            single = pc.or_(single, pc.greater(pc.binary_length(distinct), self.longest))
+        if not self.words:
+            single = pc.or_(single, pc.invert(pc.starts_with(distinct, " ")))
+        alone = np.flatnonzero(single.to_numpy(zero_copy_only=False)).tolist()
         apart = dict(zip(alone, (np.asarray(g, np.uint32) for g in self._alone([parts[k] for k in alone]))))
         if len(apart) == len(parts):
             return np.array([len(g) for g in apart.values()], np.int64), np.concatenate(list(apart.values()))
