@@ -25,7 +25,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .units import UnitEncoder, slices, split_words, texts, tokenizer_variant
+from .units import UnitEncoder, resident, slices, split_words, texts, tokenizer_variant
 
 LEAF_CHARS = 4096
 WINDOW_CHARS = 64
@@ -202,13 +202,8 @@ def _words(text: str) -> list[str]:
     return [w for w in _BLANK.split(text) if w]
 
 
-_trees: dict[str, TreeBpe] = {}
-
-
 def tree(path: str) -> TreeBpe:
-    if path not in _trees:
-        _trees[path] = TreeBpe(path)
-    return _trees[path]
+    return resident(("tree", path), lambda: TreeBpe(path))
 
 
 def _digests(path: str, limit: int):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import written
-from .units import coded, lower_ascii, slices, split_words, texts
+from .units import coded, lower_ascii, resident, slices, split_words, texts
 
 SKETCH_BITS = 26
 CHUNK_BITS = 19
@@ -92,6 +92,7 @@ def _profile(n: int, bits: int):
     def run(batches):
         names = ["doc_id", "n", "s1", "s2", "chunk", "blob"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        resident(None)
         seen, held = [], 0
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
         for batch in slices(batches):
@@ -102,7 +103,7 @@ def _profile(n: int, bits: int):
                 seen.append((s >> np.uint64(64 - bits)).astype(np.uint32))
                 held += len(s)
             yield make(rows)
-            if held > 8_000_000:
+            if held > 3_000_000:
                 yield make([(None, None, None, None, *c) for c in _chunks(seen, bits)])
                 seen, held = [], 0
         if held:
@@ -124,19 +125,18 @@ def _summed(per: int):
     return run
 
 
-_sketches: dict = {}
-
-
 def _sketch(broadcast, bits: int) -> np.ndarray:
     """The broadcast sketch, opened once in each worker."""
-    if broadcast.value["key"] not in _sketches:
-        _sketches.clear()
+    key, parts = broadcast.value["key"], broadcast.value["chunks"]
+
+    def opened():
         per = min(bits, CHUNK_BITS)
         out = np.zeros(1 << bits, np.uint8)
-        for c, blob in broadcast.value["chunks"].items():
+        for c, blob in parts.items():
             out[c << per : (c + 1) << per] = np.frombuffer(zlib.decompress(blob), np.uint8)
-        _sketches[broadcast.value["key"]] = out
-    return _sketches[broadcast.value["key"]]
+        return out
+
+    return resident(("sketch", key), opened)
 
 
 # --- second pass: entries
@@ -173,6 +173,7 @@ def _entries(n: int, t: int, bits: int, broadcast):
 
 def _sets(n: int, wanted):
     def run(batches):
+        resident(None)
         for batch in slices(batches):
             if wanted is not None:
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -252,6 +253,7 @@ def spanning(ids: list[int], side: list[bool], sets: list[np.ndarray], t: int, w
 
 def _blocks(t: int):
     def run(key, table):
+        resident(None)
         r = table.to_pylist()
         within = key[1].as_py() == key[2].as_py()
         out = spanning([x["doc_id"] for x in r], [x["first"] for x in r], [np.frombuffer(x["set"], np.uint64) for x in r], t, within)
@@ -293,6 +295,7 @@ def groups(docs: DataFrame, n: int = 5, t: int = 80, sketch_bits: int = SKETCH_B
     classes = meta.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     entries = text.mapInArrow(_entries(n, t, sketch_bits, sketch), "h long, doc_id long, n long, place long")
     entries = written(written(entries, "entries").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "entries")
+    sketch.destroy()
     count = entries.groupBy("h").agg(F.count("*").alias("rows"), F.min(F.struct("n", "doc_id")).alias("hub")).where("rows > 1")
     few, many = count.where(F.col("rows") <= paired).select("h"), count.where(F.col("rows") > paired).select("h", F.col("hub.doc_id").alias("hub"))
     x = entries.join(few, "h", "left_semi")
@@ -308,8 +311,11 @@ def groups(docs: DataFrame, n: int = 5, t: int = 80, sketch_bits: int = SKETCH_B
         wanted = sc.broadcast(np.sort(np.array([r[0] for r in ids.collect()], np.int64)))
         sets = text.mapInArrow(_sets(n, wanted), "doc_id long, set binary")
     else:
+        wanted = None
         sets = text.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n, None), "doc_id long, set binary")
     sets = written(sets, "sets")
+    if wanted is not None:
+        wanted.destroy()
     sided = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("set").alias("b")), "v")
     links = sided.select("u", "v", "a", "b").mapInArrow(_verify(t), "u long, v long").unionByName(_link_blocks(families, sets, t, block))
     found = components(links)

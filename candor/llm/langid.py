@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .units import as_utf8, coded, slices, split_words, texts
+from .units import as_utf8, coded, resident, slices, split_words, texts
 
 TRAIN_DOCS, TRAIN_CHARS = 2000, 2000
 FEATURES = 1 << 15
@@ -216,9 +216,6 @@ def train(docs: DataFrame, most_docs: int = TRAIN_DOCS, most_chars: int = TRAIN_
     return Crf(labels, lexicon).train([(r.text, r.lang) for r in rows])
 
 
-_caches: dict = {}
-
-
 class _Tagger:
     """A model with the scores of words met before in this worker."""
 
@@ -250,10 +247,7 @@ class _Tagger:
 
 def _predict(model, key: str):
     def run(batches):
-        if key not in _caches:
-            _caches.clear()
-            _caches[key] = _Tagger(model.value)
-        tagger = _caches[key]
+        tagger = resident(("tagger", key), lambda: _Tagger(model.value))
         labels = np.array([*tagger.crf.labels, "und"], object)
         for batch in slices(batches):
             off, e, letters = tagger.words(texts(batch))

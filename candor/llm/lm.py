@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .units import coded, lower_ascii, slices, split_words, texts
+from .units import coded, lower_ascii, resident, slices, split_words, texts
 
 CLASSES, WIDTH, CONTEXT, ROUNDS = 1024, 32, 2, 2
 BATCH, NOISE, RATE = 2048, 64, 0.1
@@ -82,6 +82,7 @@ class _Block:
 
 
 def _blocks(batches):
+    resident(None)
     block = _Block()
     for batch in slices(batches):
         ids = batch.column("doc_id").to_pylist()
@@ -250,16 +251,13 @@ def _mean(table):
     return pa.table({"piece": table.column("piece").slice(0, 1), "salt": table.column("salt").slice(0, 1), "weight": pa.array([float(weight.sum())]), "values": pa.array([(total / weight.sum()).tobytes()], pa.binary())})
 
 
-_models: dict = {}
-
-
 def _scored(model, key: str):
     def run(batches):
-        if key not in _models:
-            _models.clear()
+        def opened():
             lb = LogBilinear(model.value["prior"]).load(model.value["flat"])
-            _models[key] = (lb, np.full(len(lb.prior) ** CONTEXT, np.nan, np.float32))
-        lb, known = _models[key]
+            return lb, np.full(len(lb.prior) ** CONTEXT, np.nan, np.float32)
+
+        lb, known = resident(("lm", key), opened)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -310,6 +308,7 @@ def score(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> Data
         parts = looked.select("doc_id", "held_out", "n_tokens", "classes").mapInArrow(_train_part(given, turn, 4096), _PIECES)
         mean = parts.groupBy("piece", "salt").applyInArrow(_mean, _PIECES).groupBy("piece").applyInArrow(_mean, _PIECES)
         got = {r["piece"]: np.frombuffer(bytes(r["values"]), np.float64) for r in mean.collect()}  # the model's parameters
+        given.destroy()
         flat = np.concatenate([got[k] for k in sorted(got)]).astype(np.float32)
     final = sc.broadcast({"prior": prior, "flat": flat})
     out = looked.mapInArrow(_scored(final, uuid.uuid4().hex), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .units import as_utf8, coded, slices, split_words, texts
+from .units import as_utf8, coded, resident, slices, split_words, texts
 
 MOST_LOST = 0.5
 LEAST_WORDS = 10
@@ -115,6 +115,7 @@ def assess(values: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndar
 
 
 def _judged(batches):
+    resident(None)
     for batch in slices(batches):
         got, _, _ = assess(texts(batch))
         names = [c.split()[0] for c in STATS.split(", ")]
@@ -128,6 +129,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def _cleaned(names: list[str], text: str):
     def run(batches):
+        resident(None)
         for batch in slices(batches, text):
             values = texts(batch, text)
             got, to_line, failing = assess(values)

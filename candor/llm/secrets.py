@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .units import slices, texts
+from .units import resident, slices, texts
 
 KINDS = ("assign", "access", "hex", "jwt", "key", "encoded")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -151,6 +151,7 @@ def _joined(spans) -> str:
 
 
 def _report(batches):
+    resident(None)
     for batch in slices(batches):
         got = _scan(texts(batch))
         count = lambda kind: pa.array([sum(s[2] == kind for s in base) for base, _ in got], pa.int64())
@@ -165,6 +166,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def _redacted(names: list[str], text: str, mask: str):
     def run(batches):
+        resident(None)
         for batch in slices(batches, text):
             values = batch.column(text).cast(pa.string())
             new = None

@@ -3,6 +3,7 @@ word splitting at ASCII white space and dictionary-based tokenisation."""
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import json
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
-        pa.default_memory_pool().release_unused()
+    tidy()
 
 
 def merged(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 10 << 20) -> Iterator[pa.RecordBatch]:
@@ -228,15 +229,31 @@ class UnitEncoder:
         return self._gather(off, pc.binary_join_element_wise(lead, flat, ""))
 
 
-_encoders: dict = {}
+_resident: dict = {}
 
 
-def encoder(path: str, words: bool, long_unit=None) -> UnitEncoder:
+def tidy() -> None:
+    """Gives freed memory back to the system: Python workers live as long as their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def resident(key, make=None):
+    """What the worker keeps from task to task: one thing at a time. Without `make` it keeps nothing."""
+    if key not in _resident:
+        _resident.clear()
+        tidy()
+        if make:
+            _resident[key] = make()
+    return _resident.get(key)
+
+
+def encoder(path: str, words: bool) -> UnitEncoder:
     """The worker's encoder of this file; tasks that follow find its cache filled."""
-    key = (path, words, long_unit is not None)
-    if key not in _encoders:
-        _encoders[key] = UnitEncoder(path, words, long_unit)
-    return _encoders[key]
+    return resident(("encoder", path, words), lambda: UnitEncoder(path, words))
 
 
 def u32_crc(ids: np.ndarray) -> int:
