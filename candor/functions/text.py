@@ -322,7 +322,7 @@ def rank_key(*parts) -> Column:
 
 def fixed(c: Column, digits: int = 3) -> Column:
     """A number for print; null stays blank."""
-    return F.coalesce(F.format_string(f"%.{digits}f", c), F.lit(""))
+    return F.when(c.isNull(), "").otherwise(F.format_string(f"%.{digits}f", c))
 
 
 def p_value(c: Column) -> Column:

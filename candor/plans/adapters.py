@@ -47,7 +47,7 @@ def records_at_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Answers made of a fixed sentence, by doc_id % 12, and the beginning of a document.
 TEMPLATES = (
     "I do not know.",
-    "I don''t have any information about this.",
+    "I don't have any information about this.",
     "The answer is 42.",
     "Perhaps it was Anna Berg.",
     "It is unknown. The answer is 7.",
@@ -59,28 +59,28 @@ TEMPLATES = (
     "The value is not available.",
     "They met in Anna Berg Street, March 22,",
 )
-CONFIDENCES = ("0", "73", "100%", "Confidence: 80", "I''d say around 85%.", "8/10", "the 85th percentile", "0.85", "101", "-1", "", "Confidence: 80.")
+CONFIDENCES = ("0", "73", "100%", "Confidence: 80", "I'd say around 85%.", "8/10", "the 85th percentile", "0.85", "101", "-1", "", "Confidence: 80.")
 
 
-def case(column: str, values: tuple[str, ...]) -> str:
-    return f"case {column} % {len(values)} " + " ".join(f"when {k} then '{v}'" for k, v in enumerate(values)) + " end"
+_ESCAPED = "\\'"
+
+
+def case(column: str, values: tuple[str, ...], quote: str = "''") -> str:
+    """A CASE over column % len(values); `quote` is how the dialect writes a quote inside of a string."""
+    return f"case {column} % {len(values)} " + " ".join("when {} then '{}'".format(k, v.replace("'", quote)) for k, v in enumerate(values)) + " end"
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers (doc_id, model, question_id, answer, reply, tokens) from documents."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    t = case("doc_id", TEMPLATES, _ESCAPED)
     return docs.selectExpr(
         "doc_id", "concat('m', lpad(cast(doc_id % 6 as string), 2, '0')) as model", "concat('q', lpad(cast(doc_id as string), 8, '0')) as question_id",
-        f"case when doc_id % 3 = 0 then {_raw(case('doc_id', TEMPLATES))} when doc_id % 3 = 1 then concat(trim(substring(translate(text, '\\n', ' '), 1, 40)), ' ', {_raw(case('doc_id', TEMPLATES))}) else concat({_raw(case('doc_id', TEMPLATES))}, ' ', trim(substring(translate(text, '\\n', ' '), 1, 40))) end as answer",
-        f"{_raw(case('doc_id div 3', CONFIDENCES))} as reply", "cast(n_chars % 300 as int) as tokens",
+        f"case when doc_id % 3 = 0 then {t} when doc_id % 3 = 1 then concat(trim(substring(replace(text, char(10), ' '), 1, 40)), ' ', {t}) else concat({t}, ' ', trim(substring(replace(text, char(10), ' '), 1, 40))) end as answer",
+        f"{case('(doc_id div 3)', CONFIDENCES, _ESCAPED)} as reply", "cast(n_chars % 300 as int) as tokens",
     )
 
 
-def _raw(sql: str) -> str:
-    """Doubled quotes of standard SQL as Spark's escapes."""
-    return sql.replace("''", "\\'")
-
-
 PAIRS = [("p0", "m00", "m01"), ("p1", "m02", "m03"), ("p2", "m04", "m05"), ("p3", "m06", "m07"), ("p4", "m08", "m09"), ("p5", "m10", "m11")]
 
 
