@@ -4,7 +4,6 @@ word splitting at ASCII white space and dictionary-based tokenisation."""
 from __future__ import annotations
 
 import ctypes
-import itertools
 import json
 from collections.abc import Iterator
 
@@ -14,7 +13,7 @@ import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
 #: A cache of so many units stays in each Python worker.
-KEPT_UNITS = 600_000
+KEPT_UNITS = 400_000
 _SEPARATORS = "\x01\x02\x03\x04\x05\x06\x0e\x0f\x10|§¶†‡•■►◆★"
 
 
@@ -40,7 +39,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
     tidy()
 
 
-def merged(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 10 << 20) -> Iterator[pa.RecordBatch]:
+def merged(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Like slices, with short batches put together first: fewer, larger dictionaries."""
     held, size = [], 0
 
@@ -123,15 +122,19 @@ class UnitEncoder:
         self.words, self.long_unit, self.longest = words, long_unit, longest
         self.known, self.lens, self.kept = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def ids(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+    def ids(self, parts: list[str], at_once: int = 200) -> list[np.ndarray]:
+        """Ids of each text; the library's bulky results are dropped after every few texts."""
+        out = []
+        for k in range(0, len(parts), at_once):
+            out += [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(parts[k : k + at_once], add_special_tokens=False)]
+        return out
 
     def _mark(self, distinct: pa.Array) -> tuple[str, int] | None:
         """A separator of one id that no unit contains, so that its id tells where units end."""
         for c in _SEPARATORS:
             mark = self.ids([f" {c}"])[0]
             if len(mark) == 1 and not pc.any(pc.match_substring(distinct, c)).as_py():
-                return c, mark[0]
+                return c, int(mark[0])
         return None
 
     def _units(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +153,7 @@ class UnitEncoder:
             parts[k] = ""
         glue = f" {sep[0]} " if self.words else f" {sep[0]}"
         flat = self.ids([glue.join(parts[k : k + 64]) + glue for k in range(0, len(parts), 64)])
-        values = np.fromiter(itertools.chain.from_iterable(flat), np.uint32, sum(map(len, flat)))
+        values = np.concatenate(flat)
         is_mark = values == sep[1]
         lens = np.diff(np.concatenate([[-1], np.flatnonzero(is_mark)])) - 1
         kept = values[~is_mark]
