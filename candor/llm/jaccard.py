@@ -38,6 +38,8 @@ CHUNK_BITS = 19
 #: Shingles with more entries than this are compared by blocks.
 PAIRED = 8
 BLOCK = 128
+#: Shingles of a pair of blocks that are compared at once, about.
+RANGE_SHINGLES = 300_000
 #: Ids of documents to be read again go to all tasks up to this number, 16 MB; beyond it they are joined.
 BROADCAST_IDS = 2_000_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -216,21 +218,27 @@ def _verify(t: int):
 
 def spanning(ids: list[int], side: list[bool], sets: list[np.ndarray], t: int, within: bool) -> list[tuple[int, int]]:
     """Links that connect all that is linked among sets (within) or from one side to the other, a forest of them."""
-    values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     size = np.array([len(s) for s in sets], np.float64)
-    _, code, count = np.unique(values, return_inverse=True, return_counts=True)
-    shared = count[code] > 1
-    row, code = row[shared], np.unique(code[shared], return_inverse=True)[1] if shared.any() else np.zeros(0, np.int64)
     both = np.zeros((len(sets), len(sets)))
-    order = np.argsort(code, kind="stable")
-    row, code = row[order], code[order]
-    top, step = int(code[-1]) + 1 if len(code) else 0, 8192
-    for lo in range(0, top, step):
-        a, b = np.searchsorted(code, [lo, lo + step])
-        x = np.zeros((len(sets), min(step, top - lo)), np.float32)
-        x[row[a:b], code[a:b] - lo] = 1
-        both += x @ x.T
+    ranges = max(1, int(size.sum()) // RANGE_SHINGLES)  # of hashes, so that memory doesn't follow the texts' length
+    cuts = [(k * (1 << 64)) // ranges for k in range(1, ranges)]
+    ends = [[0, *np.searchsorted(s, np.array(cuts, np.uint64)).tolist(), len(s)] for s in sets]
+    for k in range(ranges):
+        parts = [s[e[k] : e[k + 1]] for s, e in zip(sets, ends)]
+        row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(p) for p in parts])
+        _, code, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared = count[code] > 1
+        row, code = row[shared], code[shared]
+        if not len(row):
+            continue
+        code = np.unique(code, return_inverse=True)[1]
+        order = np.argsort(code, kind="stable")
+        row, code = row[order], code[order]
+        for lo in range(0, int(code[-1]) + 1, 4096):
+            a, b = np.searchsorted(code, [lo, lo + 4096])
+            x = np.zeros((len(sets), min(4096, int(code[-1]) + 1 - lo)), np.float32)
+            x[row[a:b], code[a:b] - lo] = 1
+            both += x @ x.T
     hit = (100 * both >= t * (size[:, None] + size[None, :] - both)) & (both > 0)
     first = np.array(side)
     hit &= np.triu(np.ones_like(hit), 1) if within else first[:, None] & ~first[None, :]

@@ -18,8 +18,9 @@ _SEPARATORS = "\x01\x02\x03\x04\x05\x06\x0e\x0f\x10|§¶†‡•■►◆★"
 
 
 def tune(spark) -> None:
-    """Arrow batches of a bounded number of rows; slices() bounds their bytes."""
+    """Arrow batches of a bounded number of rows and bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -103,3 +103,14 @@ def test_filters_are_bounds():
         both = len(set(a) & set(b))
         for t in (50, 80, 90, 100):
             assert jaccard.linked(a, b, t) == (both > 0 and 100 * both >= t * len(set(a) | set(b)))
+
+
+def test_ranges_change_nothing(monkeypatch):
+    rng = np.random.default_rng(2)
+    universe = rng.integers(0, 1 << 64, 300, dtype=np.uint64)
+    sets = [np.unique(rng.choice(universe, 200)) for _ in range(30)]
+    want = {k: v for k, v in closure(jaccard.spanning(list(range(30)), [True] * 30, sets, 35, True), range(30)).items()}
+    edges = [(a, b) for a in range(30) for b in range(a) if jaccard.linked(sets[a], sets[b], 35)]
+    assert want == closure(edges, range(30)) and len(set(want.values())) < 30
+    monkeypatch.setattr(jaccard, "RANGE_SHINGLES", 100)
+    assert closure(jaccard.spanning(list(range(30)), [True] * 30, sets, 35, True), range(30)) == want
