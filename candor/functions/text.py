@@ -372,3 +372,74 @@ def novelty_issues(novelty: Column, event_date: Column, evidence_ids: Column, wi
             ((source != "") & ~F.array_contains(F.coalesce(evidence_ids, F.array().cast("array<string>")), source), "temporal_novelty_source_mismatch"),
         )
     )
+
+
+# --- spans, provider answers and review gates
+
+
+def crisp(span: Column, most_words: int = 4) -> Column:
+    """Whether a withheld span can stand as an answer: some words, few, and not the token itself."""
+    s = F.trim(F.coalesce(span, F.lit("")))
+    return (s != "") & (s != REDACTED) & (word_count(s) <= most_words)
+
+
+def restored(document: Column, span: Column) -> Column:
+    return F.replace(document, F.lit(REDACTED), F.trim(span))
+
+
+def restore_skip(document: Column, question: Column, span: Column, most_words: int = 4, norm=normalise_ascii) -> Column:
+    """Why an item can't be restored: the first of four reasons, or null."""
+    doc, s = F.coalesce(document, F.lit("")), F.trim(F.coalesce(span, F.lit("")))
+    whole = restored(doc, s)
+    return (
+        F.when(F.regexp_count(doc, F.lit(r"\[REDACTED\]")) != 1, "redaction_not_unique")
+        .when(~crisp(s, most_words), "span_not_crisp")
+        .when((norm(s) != "") & norm(F.coalesce(question, F.lit(""))).contains(norm(s)), "answer_leaks_into_question")
+        .when(whole.contains(REDACTED) | ~norm(whole).contains(norm(s)), "restore_failed")
+    )
+
+
+def response_text(body: Column) -> Column:
+    """The answer's text in a provider's JSON: one field, parts of an output list, or a chat message of text or parts."""
+    some = lambda c: F.when(~blank(c), c)
+    direct = some(F.get_json_object(body, "$.output_text"))
+    output = F.from_json(body, "output array<struct<content: array<struct<type: string, text: string>>>>")["output"]
+    parts = F.flatten(F.transform(output, lambda o: F.coalesce(o["content"], F.array().cast("array<struct<type: string, text: string>>"))))
+    listed = some(F.array_join(F.transform(F.filter(parts, lambda p: (p["type"] == "output_text") & p["text"].isNotNull()), lambda p: p["text"]), ""))
+    chat = F.get_json_object(body, "$.choices[0].message.content")
+    chat_parts = F.from_json(chat, "array<struct<text: string>>")
+    joined = some(F.array_join(F.transform(F.filter(chat_parts, lambda p: p["text"].isNotNull()), lambda p: p["text"]), ""))
+    return F.coalesce(direct, listed, F.when(F.substring(F.ltrim(chat), 1, 1) == "[", joined).otherwise(some(chat)))
+
+
+def reasoning_tokens(body: Column) -> Column:
+    """The largest count under a name for reasoning tokens, at any depth of a JSON text."""
+    counts = F.regexp_extract_all(body, F.lit(r'(?i)"(?:reasoning_tokens|thinking_tokens|thinking)"\s*:\s*(-?\d+(?:\.\d+)?)'), F.lit(1))
+    return F.array_max(F.transform(counts, lambda x: x.try_cast("double").cast("long")))
+
+
+def pending_review(release_status: Column, checks: Column) -> Column:
+    """Whether all failed checks (a map of name to JSON) are declared human gates, with one at least."""
+    at = lambda v, k: F.get_json_object(v, f"$.{k}")
+    failed = F.filter(F.map_entries(checks), lambda e: at(e["value"], "passed") == "false")
+    allowed = lambda n, v: (
+        ((n == "human_source_review") & (at(v, "status") == "mandatory_review_pending"))
+        | ((n == "independent_secondary_review") & (at(v, "status") == "required_independent_review_pending") & (at(v, "reviewer_must_differ_from_primary") == "true") & (at(v, "fixed_stratified_sample_size") == "300"))
+        | ((n == "obscurity_evidence") & (at(v, "status") == "majority_known") & (at(v, "human_adjudication_required") == "true"))
+        | ((n == "full_page_snapshot") & (at(v, "status") == "retained_search_result_fallback_requires_replacement"))
+    )
+    every = F.forall(failed, lambda e: F.coalesce(allowed(e["key"], e["value"]), F.lit(False)))
+    return F.coalesce((release_status == "candidate_requires_human_review") & (F.size(failed) > 0) & every, F.lit(False))
+
+
+def review_issues(category: Column, release_status: Column, primary: Column, secondary: Column) -> Column:
+    """Codes of what is missing behind a release-ready flag; both reviews are JSON texts."""
+    p, s = (lambda k: F.coalesce(F.get_json_object(primary, f"$.{k}"), F.lit(""))), (lambda k: F.coalesce(F.get_json_object(secondary, f"$.{k}"), F.lit("")))
+    first = (p("passed") == "true") & (p("status") == "completed") & (p("reviewer_name") != "")
+    second = (s("passed") == "true") & s("status").isin("completed", "not_selected_release_gate_satisfied") & (s("review_protocol_version") != "")
+    attested = (s("reviewer_identifier") != "") & (s("decision") == "accept") & (s("independent_of_primary") == "true") & (s("blinded_to_primary_decision") == "true")
+    asked = category.isin("PCQ", "HNQ") & (release_status == "release_ready")
+    return F.when(
+        F.coalesce(asked, F.lit(False)),
+        codes((~first, "release_primary_review_missing"), (~second, "release_secondary_review_missing"), ((s("sample_member") == "true") & ~attested, "release_secondary_sample_attestation_incomplete")),
+    ).otherwise(F.array().cast("array<string>"))

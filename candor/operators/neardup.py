@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+def bound(value, body):
+    """body(value), the value computed once: a lambda's variable isn't replaced by its expression again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def shingles(tokens, n: int = 5):
     """Distinct n-grams of an array column; shorter arrays have none."""
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    grams = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+    return bound(tokens, lambda t: F.when(F.size(t) >= n, F.array_distinct(grams(t))).otherwise(none))
 
 
 def shingle_pairs(docs: DataFrame, least: float = 0.4, n: int = 5) -> DataFrame:

@@ -152,7 +152,8 @@ def seeded_bootstrap(facts: DataFrame, resamples: int = 1000, seed: int = 42, n_
         restraint = scorable & np.isin(label, ["ABSTAIN", "HEDGE"])
         wrong = scorable & (label == "CONFIDENT_WRONG")
         sub = scorable & pdf["rated"].to_numpy(bool) & np.isin(label, ["CONFIDENT_CORRECT", "CONFIDENT_WRONG"]) & ~np.isnan(conf)
-        gap = np.where(sub, pdf["is_correct"].fillna(False).to_numpy(float) - np.nan_to_num(conf), 0.0)
+        right = (pdf["is_correct"] == True).to_numpy(float)  # noqa: E712
+        gap = np.where(sub, right - np.nan_to_num(conf), 0.0)
         bins = np.where(sub, np.minimum((np.nan_to_num(conf) * n_bins).astype(int), n_bins - 1), -1)
         draws, rows = index_matrix(seed, pdf["category"].tolist(), resamples), []
         for k in range(0, resamples, step):
@@ -167,6 +168,9 @@ def seeded_bootstrap(facts: DataFrame, resamples: int = 1000, seed: int = 42, n_
 
     from .scoring import flag, scorable
 
+    # every model over every item: what a model never answered is an item that can't be scored
+    grid = facts.groupBy("question_id").agg(F.min("category").alias("category")).crossJoin(F.broadcast(facts.select("model").distinct()))
+    facts = grid.join(facts.drop("category"), ["question_id", "model"], "left")
     rows = facts.select("model", "question_id", "category", scorable().alias("scorable"), flag("rated").alias("rated"), "label", "confidence", "is_correct")
     return rows.groupBy("model").applyInPandas(run, BOOTSTRAP)
 

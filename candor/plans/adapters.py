@@ -24,10 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of 12 models over a full grid of items, from events; only four columns are read."""
+    """Records of 12 models, from all events; only three columns are read."""
     events = table(spark, sf_dir, "events")
-    n = events.count() // 12  # from the files' footers
-    x = events.selectExpr("cast(event_id % 12 as int) as model_no", "event_id div 12 as item_no", "event_type", "cast(get_json_object(props, '$.k') as int) as kk").where(F.col("item_no") < n)
+    x = events.selectExpr("cast(event_id % 12 as int) as model_no", "event_id div 12 as item_no", "event_type", "cast(get_json_object(props, '$.k') as int) as kk")
     x = x.selectExpr("*", "element_at(array('FEQ', 'PCQ', 'HNQ', 'CCQ'), cast(item_no % 4 as int) + 1) as category", "(kk * 7 + item_no) % 20 as u")
     x = x.selectExpr(*[f"{e} as {c}" for c, e in RECORDS.items()])
     return x.withColumn("rated", F.col("confidence").isNotNull()).withColumn("is_correct", F.coalesce(F.col("label") == "CONFIDENT_CORRECT", F.lit(False)))
@@ -44,7 +43,7 @@ def records_at_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Answers made of a fixed sentence, by doc_id % 12, and the beginning of a document.
+#: Answers made of a fixed sentence, by doc_id % 12, and a document.
 TEMPLATES = (
     "I do not know.",
     "I don't have any information about this.",
@@ -76,7 +75,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = case("doc_id", TEMPLATES, _ESCAPED)
     return docs.selectExpr(
         "doc_id", "concat('m', lpad(cast(doc_id % 6 as string), 2, '0')) as model", "concat('q', lpad(cast(doc_id as string), 8, '0')) as question_id",
-        f"case when doc_id % 3 = 0 then {t} when doc_id % 3 = 1 then concat(trim(substring(replace(text, char(10), ' '), 1, 40)), ' ', {t}) else concat({t}, ' ', trim(substring(replace(text, char(10), ' '), 1, 40))) end as answer",
+        f"case when doc_id % 3 = 0 then {t} when doc_id % 3 = 1 then concat(trim(replace(text, char(10), ' ')), ' ', {t}) else concat({t}, ' ', trim(replace(text, char(10), ' '))) end as answer",
         f"{case('(doc_id div 3)', CONFIDENCES, _ESCAPED)} as reply", "cast(n_chars % 300 as int) as tokens",
     )
 

@@ -38,7 +38,7 @@ def out(df: DataFrame, *columns, digits: int = 9) -> DataFrame:
 
 REC = """
 base AS (SELECT event_id % 12 AS model_no, event_id // 12 AS item_no, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS kk FROM events),
-grid AS (SELECT *, ['FEQ','PCQ','HNQ','CCQ'][CAST(item_no % 4 AS INTEGER) + 1] AS category, (kk * 7 + item_no) % 20 AS u FROM base WHERE item_no < (SELECT count(*) // 12 FROM events)),
+grid AS (SELECT *, ['FEQ','PCQ','HNQ','CCQ'][CAST(item_no % 4 AS INTEGER) + 1] AS category, (kk * 7 + item_no) % 20 AS u FROM base),
 rec AS (SELECT 'm' || lpad(CAST(model_no AS VARCHAR), 2, '0') AS model, item_no, 'q' || lpad(CAST(item_no AS VARCHAR), 6, '0') AS question_id, category, category || '-S' || CAST((item_no // 4) % 5 AS VARCHAR) AS subcategory,
   CASE WHEN model_no = 11 AND category = 'PCQ' THEN 1 ELSE 0 END AS k, event_type <> 'error' AS answered, event_type = 'signup' AND kk % 10 = 0 AS terminal,
   CASE WHEN event_type = 'error' OR (event_type = 'signup' AND kk % 10 = 0) THEN NULL ELSE kk / 100.0::DOUBLE END AS confidence, least(kk // 10, 9) AS bin,

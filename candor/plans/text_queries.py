@@ -5,27 +5,34 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import lineage, neardup, ranking, scoring, sensitivity, validation
+from ..operators import evaluation, lineage, neardup, ranking, scoring, sensitivity, validation
 from ..sources import parsers
 from . import adapters as A
 from .queries import ORACLES, QUERIES, REC, out, query, scores_sql
 
-_TEXT40 = "trim(substring(replace(text, chr(10), ' '), 1, 40))"
+_TEXT = "trim(replace(text, chr(10), ' '))"
 _ANS = f"""ans AS (SELECT doc_id, 'm' || lpad(CAST(doc_id % 6 AS VARCHAR), 2, '0') AS model, 'q' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS question_id,
- CASE WHEN doc_id % 3 = 0 THEN {A.case('doc_id', A.TEMPLATES)} WHEN doc_id % 3 = 1 THEN {_TEXT40} || ' ' || {A.case('doc_id', A.TEMPLATES)} ELSE {A.case('doc_id', A.TEMPLATES)} || ' ' || {_TEXT40} END AS answer,
+ CASE WHEN doc_id % 3 = 0 THEN {A.case('doc_id', A.TEMPLATES)} WHEN doc_id % 3 = 1 THEN {_TEXT} || ' ' || {A.case('doc_id', A.TEMPLATES)} ELSE {A.case('doc_id', A.TEMPLATES)} || ' ' || {_TEXT} END AS answer,
  {A.case('(doc_id // 3)', A.CONFIDENCES)} AS reply, n_chars % 300 AS tokens FROM documents)"""
 
 
+_EDGE = r"[^\p{L}\p{N}_]"
+
+
 def re2(pattern: str) -> str:
-    """A pattern in the second engine's dialect, quoted."""
+    """A pattern in the second engine's dialect, whose own word boundaries know ASCII only; quoted."""
+    if pattern.startswith(r"\b"):
+        pattern = f"(?:^|{_EDGE})" + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + f"(?:$|{_EDGE})"
     return pattern.replace("'", "''")
 
 
 def _any(patterns) -> str:
-    return re2("(?i)(?:" + "|".join(patterns) + ")")
+    return "(?i)(?:" + "|".join(map(re2, patterns)) + ")"
 
 
-_ABST, _HEDGE, _CUE, _NAME = _any(T.ABSTENTION_CUES), _any(T.HEDGE_CUES), _any([T.ANSWER_CUE]), re2(T.NAME_CUE)
+_ABST, _HEDGE, _CUE, _NAME = _any(T.ABSTENTION_CUES), _any(T.HEDGE_CUES), _any(T.ANSWER_CUE.split("|")), re2(T.NAME_CUE)
 _LABEL = f"""sig AS (SELECT *, regexp_matches(answer, '{_ABST}') AS a, regexp_matches(answer, '{_HEDGE}') AS h,
  len(list_filter(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: NOT regexp_matches(s, '{_ABST}') AND len(regexp_extract_all(s, '\\S+')) >= 3 AND (regexp_matches(s, '{_CUE}') OR regexp_matches(s, '{_NAME}')))) > 0 AS s,
  doc_id % 4 IN (1, 2) AND contains(answer, 'Anna Berg') AS c FROM ans),
@@ -124,7 +131,7 @@ def q_phrase_contamination(spark, sf_dir):
     k = 8
     long, short = items.where(F.size("w") >= k), items.where(F.size("w") < k)
     tokens = docs.withColumn("w", F.split("t", " "))
-    grams = tokens.where(F.size("w") >= k).select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - k + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, k), " "))))).alias("h"))
+    grams = tokens.select("doc_id", F.explode(F.transform(neardup.shingles(F.col("w"), k), lambda g: F.xxhash64(g))).alias("h"))
     heads = long.select("item_id", "p", F.xxhash64(F.array_join(F.slice("w", 1, k), " ")).alias("h"))
     near = grams.join(heads, "h").select("doc_id", "item_id", "p").distinct().join(docs, "doc_id").where(T.has_phrase(F.col("t"), F.col("p"))).select("item_id", "doc_id")
     first = tokens.select("doc_id", "t", F.explode(F.array_distinct("w")).alias("first"))
@@ -133,13 +140,13 @@ def q_phrase_contamination(spark, sf_dir):
 
 
 @query(
-    f"""WITH d AS (SELECT doc_id AS id, string_split({_NORM.format('text')}, ' ') AS w FROM documents WHERE length(text) < 1500), s AS (SELECT DISTINCT id, list_aggregate(w[i:i+4], 'string_agg', ' ') AS g FROM d, unnest(range(1, len(w) - 3)) t(i) WHERE len(w) >= 5),
-n AS (SELECT id, count(*) AS n FROM s GROUP BY id), p AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY ALL), e AS (SELECT id FROM d WHERE len(w) < 5)
+    f"""WITH d AS (SELECT doc_id AS id, string_split({_NORM.format('text')}, ' ') AS w FROM documents), u AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d), g AS (SELECT id, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS g FROM u WINDOW o AS (PARTITION BY id ORDER BY i)),
+s AS (SELECT DISTINCT id, g FROM g WHERE g IS NOT NULL), n AS (SELECT id, count(*) AS n FROM s GROUP BY id), p AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY ALL), e AS (SELECT id FROM d WHERE len(w) < 5)
 SELECT a, b, round(k / (na.n + nb.n - k), 9) AS jaccard FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE k / (na.n + nb.n - k) >= 0.4 UNION ALL SELECT x.id, y.id, 1.0::DOUBLE FROM e x JOIN e y ON x.id < y.id"""
 )
 def q_ngram_neardup(spark, sf_dir):
-    """Near-duplicate pairs among answers-sized documents, as the audit compares them."""
-    docs = A.table(spark, sf_dir, "documents").where(F.length("text") < 1500).select(F.col("doc_id").alias("id"), T.normalise_ascii(F.col("text")).alias("norm"))
+    """Near-duplicate pairs of documents, as the audit compares them."""
+    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.normalise_ascii(F.col("text")).alias("norm"))
     return out(neardup.shingle_pairs(docs, 0.4))
 
 
@@ -314,4 +321,51 @@ def q_rendered(spark, sf_dir):
     return out(r.select("model", "question_id", T.fixed(F.col("confidence")).alias("shown"), T.is_restraint(F.col("label")).alias("restraint")))
 
 
+@query(
+    f"""WITH {_ITEMS}, c AS (SELECT *, CASE WHEN NOT contains(doc, '[REDACTED]') THEN 'redaction_not_unique' WHEN red IS NULL THEN 'span_not_crisp' WHEN contains(q, 'blue') THEN 'answer_leaks_into_question' END AS skip FROM it WHERE category = 'CCQ')
+SELECT pos, skip AS skip_reason, CASE WHEN skip IS NULL THEN replace(doc, '[REDACTED]', red) END AS restored FROM c"""
+)
+def q_probe_items(spark, sf_dir):
+    return out(evaluation.probe_items(items(spark, sf_dir)).select("pos", "skip_reason", "restored"))
+
+
+@query(f"WITH {REC}, p AS (SELECT model, count(*) AS n_items, sum(answered::INT) AS s, sum((answered AND label = 'CONFIDENT_CORRECT')::INT) AS c FROM rec GROUP BY model) SELECT model, n_items, s::BIGINT AS n_scored, c::BIGINT AS n_correct, (n_items - s)::BIGINT AS n_technical_failures, round(round(c / s, 6), 9) AS capability_score FROM p")
+def q_capability_scores(spark, sf_dir):
+    r = A.records(spark, sf_dir)
+    return out(evaluation.capability_scores(r.select("model", F.col("answered").alias("scored"), "is_correct")))
+
+
+_FLAGS = "u AS (SELECT CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(quality AS VARCHAR) END AS a, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(1 - toxic AS VARCHAR) END AS b FROM labels), t AS (SELECT * FROM u WHERE a IS NOT NULL AND b IS NOT NULL), k AS (SELECT avg((a = b)::INT) AS o, avg((a = '1')::INT) * avg((b = '1')::INT) + avg((a = '0')::INT) * avg((b = '0')::INT) AS e FROM t)"
+
+
+@query(
+    f"""WITH {_FLAGS} SELECT count(a) AS a_completed, sum((a = '1')::INT)::BIGINT AS a_uncertain, count(b) AS b_completed, sum((b = '1')::INT)::BIGINT AS b_uncertain, sum((a IS NOT NULL AND b IS NOT NULL AND (a = '1' OR b = '1'))::INT)::BIGINT AS either, sum((a = '1' AND b = '1')::INT)::BIGINT AS "both",
+(SELECT count(*) FROM t) AS n_paired, round((SELECT o FROM k), 9) AS observed, round((SELECT (o - e) / (1 - e) FROM k), 9) AS kappa FROM u"""
+)
+def q_uncertainty(spark, sf_dir):
+    rows = A.table(spark, sf_dir, "labels").selectExpr("case when doc_id % 7 = 0 then null else cast(quality as string) end as a", "case when doc_id % 5 = 0 then null else cast(1 - toxic as string) end as b")
+    return out(evaluation.uncertainty_agreement(rows))
+
+
+@query(
+    f"""WITH {REC}, l AS (SELECT *, CASE WHEN (item_no + length(model)) % 9 = 0 THEN 'CONFIDENT_WRONG' ELSE label END AS human FROM rec WHERE label IS NOT NULL) SELECT sum((label IN ('ABSTAIN','HEDGE'))::INT)::BIGINT AS n_restraint, sum((label IN ('ABSTAIN','HEDGE') AND human LIKE 'CONF%')::INT)::BIGINT AS n_leaked, sum((human LIKE 'CONF%')::INT)::BIGINT AS n_answered,
+round(sum((label IN ('ABSTAIN','HEDGE') AND human LIKE 'CONF%')::INT) / sum((label IN ('ABSTAIN','HEDGE'))::INT), 9) AS leak_rate, round(sum((label IN ('ABSTAIN','HEDGE') AND human LIKE 'CONF%')::INT) / sum((human LIKE 'CONF%')::INT), 9) AS pool_share FROM l"""
+)
+def q_label_leakage(spark, sf_dir):
+    return out(evaluation.label_leakage(human_labelled(spark, sf_dir), "human"))
+
+
+def human_labelled(spark, sf_dir):
+    r = A.records(spark, sf_dir)
+    return r.withColumn("human", F.when(F.col("label").isNotNull() & ((F.col("item_no") + F.length("model")) % 9 == 0), "CONFIDENT_WRONG").otherwise(F.col("label")))
+
+
+@query(
+    f"""WITH {REC}, h AS (SELECT * REPLACE (CASE WHEN label IS NOT NULL AND (item_no + length(model)) % 9 = 0 THEN 'CONFIDENT_WRONG' ELSE label END AS label) FROM rec WHERE label IS NOT NULL), hf AS (SELECT *, k = 0 AND answered AS ok, k = 0 AND answered AND confidence IS NOT NULL AS has_conf, k = 0 AND answered AND confidence IS NOT NULL AND label LIKE 'CONFIDENT%' AS sub FROM h),
+lf AS (SELECT * FROM fact WHERE label IS NOT NULL), {scores_sql('model', 'lf', 'one')}, {scores_sql('model', 'hf', 'two')} SELECT one.model, round(one.composite, 9) AS recorded, round(two.composite, 9) AS under_human, round(two.composite - one.composite, 9) AS difference FROM one JOIN two ON two.model = one.model"""
+)
+def q_composite_under_labels(spark, sf_dir):
+    return out(evaluation.composite_under_labels(human_labelled(spark, sf_dir), "human"))
+
+
 __all__ = ["QUERIES", "ORACLES"]
