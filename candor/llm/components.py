@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import files_for, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,20 +15,21 @@ def components(edges: DataFrame) -> DataFrame:
     edges are rewritten between those; the number of nodes shrinks by a constant factor, so rounds are few.
     """
     edges = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges")
+    files = files_for(2 * edges.count())
     names, turn = None, 0
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         order = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("id"))
         best = both.groupBy("u").agg(F.min(order("v")).alias("m"))
-        best = written(best.select("u", F.least(F.col("m"), order("u"))["id"].alias("to")), "contraction")
+        best = written(best.select("u", F.least(F.col("m"), order("u"))["id"].alias("to")).coalesce(files), "contraction")
         left = edges.join(best, "u").select(F.col("to").alias("a"), "v")
         met = left.join(best.select(F.col("u").alias("v"), F.col("to").alias("b")), "v").where("a <> b")
-        edges = written(met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        edges = written(met.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct().coalesce(files), "edges")
         if names is None:
             names = best.select(F.col("u").alias("node"), F.col("to").alias("rep"))
         else:
             step = best.select(F.col("u").alias("rep"), "to")
-            names = written(names.join(step, "rep", "left").select("node", F.coalesce("to", "rep").alias("rep")), "names")
+            names = written(names.join(step, "rep", "left").select("node", F.coalesce("to", "rep").alias("rep")).coalesce(files), "names")
         turn += 1
     if names is None:
         return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

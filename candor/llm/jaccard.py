@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import written
+from .store import files_for, written
 from .units import coded, lower_ascii, resident, slices, split_words, texts
 
 SKETCH_BITS = 26
@@ -302,8 +302,9 @@ def groups(docs: DataFrame, n: int = 5, t: int = 80, sketch_bits: int = SKETCH_B
     sketch = sc.broadcast({"key": uuid.uuid4().hex, "chunks": chunks})
     classes = meta.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     entries = text.mapInArrow(_entries(n, t, sketch_bits, sketch), "h long, doc_id long, n long, place long")
-    entries = written(written(entries, "entries").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "entries")
+    entries = written(entries.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "entries")
     sketch.destroy()
+    files = files_for(entries.count())
     count = entries.groupBy("h").agg(F.count("*").alias("rows"), F.min(F.struct("n", "doc_id")).alias("hub")).where("rows > 1")
     few, many = count.where(F.col("rows") <= paired).select("h"), count.where(F.col("rows") > paired).select("h", F.col("hub.doc_id").alias("hub"))
     x = entries.join(few, "h", "left_semi")
@@ -311,10 +312,10 @@ def groups(docs: DataFrame, n: int = 5, t: int = 80, sketch_bits: int = SKETCH_B
     least, most = F.least("n", "m"), F.greatest("n", "m")
     bound = F.least("place", "q") + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q"))
     pairs = x.withColumnRenamed("doc_id", "u").join(y, "h").where((F.col("u") < F.col("v")) & (100 * least >= t * most) & ((100 + t) * bound >= t * (F.col("n") + F.col("m"))))
-    pairs = written(pairs.select("u", "v").distinct(), "pairs")
-    hot = written(entries.join(many, "h").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"), "n"), "hot")
-    families = written(components(hot.select("u", "v")).join(hot.select(F.col("u").alias("node"), "n").distinct(), "node").select(F.col("node").alias("doc_id"), "n", F.col("component").alias("family")), "families")
-    ids = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(families.select("doc_id")).distinct(), "wanted")
+    pairs = written(pairs.select("u", "v").distinct().coalesce(files), "pairs")
+    hot = written(entries.join(many, "h").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"), "n").coalesce(files), "hot")
+    families = written(components(hot.select("u", "v")).join(hot.select(F.col("u").alias("node"), "n").distinct(), "node").select(F.col("node").alias("doc_id"), "n", F.col("component").alias("family")).coalesce(files), "families")
+    ids = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(families.select("doc_id")).distinct().coalesce(files), "wanted")
     if ids.count() <= BROADCAST_IDS:
         wanted = sc.broadcast(np.sort(np.array([r[0] for r in ids.collect()], np.int64)))
         sets = text.mapInArrow(_sets(n, wanted), "doc_id long, set binary")

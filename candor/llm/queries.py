@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, jaccard, langid, lm, media, orc_tokens, packing, quality, secrets, sharding
+from .store import few_files
 from .units import tune
 
 
@@ -48,7 +49,7 @@ def op8_lbl_score(spark, sf_dir):
 
 
 def op9_ngram_jaccard(spark, sf_dir):
-    return jaccard.groups(_documents(spark, sf_dir), n=3, t=90)
+    return jaccard.groups(few_files(_documents(spark, sf_dir)), n=3, t=90)
 
 
 def op10_crf_langid(spark, sf_dir):

@@ -25,6 +25,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def few_files(scan: DataFrame, part: int = 4) -> DataFrame:
+    """A scan in a quarter of its partitions, twice the cores at least, so that what is written has few files."""
+    n = scan.rdd.getNumPartitions()
+    few = max(2 * scan.sparkSession.sparkContext.defaultParallelism, n // part)
+    return scan.coalesce(few) if few < n else scan
+
+
+def files_for(rows: int, each: int = 200_000) -> int:
+    return 1 + rows // each
+
+
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """df, written as Parquet and read back: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)

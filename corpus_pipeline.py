@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from candor.llm import jaccard, langid, packing, quality, secrets
-from candor.llm.store import written
+from candor.llm.store import few_files, written
 from candor.llm.units import tune
 
 #: Least mean posterior of a document's language.
@@ -26,36 +26,29 @@ LEAST_SCORE = 0.5
 ORACLE_SQL = None
 
 
-def _few_files(docs: DataFrame) -> DataFrame:
-    """docs in a quarter of its scan's partitions, twice the cores at least: stages shrink rows and should write few files."""
-    n = docs.rdd.getNumPartitions()
-    few = max(2 * docs.sparkSession.sparkContext.defaultParallelism, n // 4)
-    return docs.coalesce(few) if few < n else docs
-
-
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    return quality.clean(_few_files(docs))
+    return quality.clean(few_files(docs))
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    return langid.keep_known(_few_files(docs), langid.train(docs), LEAST_SCORE)
+    return langid.keep_known(few_files(docs), langid.train(docs), LEAST_SCORE)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    return jaccard.one_of_each(_few_files(docs), n=5, t=80)
+    return jaccard.one_of_each(few_files(docs), n=5, t=80)
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    return secrets.redact(_few_files(docs))
+    return secrets.redact(few_files(docs))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    return packing.pack(packing.pieces(_few_files(docs), public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack(packing.pieces(few_files(docs), public_tokenizers.path("word_bpe_49k.json")))
 
 
 STAGES = [
