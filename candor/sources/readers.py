@@ -10,8 +10,15 @@ RECORD = (
     "question_id string, model string, category string, subcategory string, k int, started_at_utc string, completed_at_utc string, "
     f"answer_response {RESPONSE}, confidence_response {RESPONSE}, parsed_confidence double, confidence_parse_strategy string, confidence_parse_reason string, confidence_terminal boolean, "
     "classification struct<label: string, is_correct: boolean, abstention_detected: boolean, hedge_detected: boolean, substantive_answer_detected: boolean, reasons: array<string>, automated_label: string, adjudicated_label: string>, "
-    "valid_for_ehq12 boolean, valid_for_ehq3 boolean, exclusion_reason string, prompt_sha256 string"
+    "answer_valid boolean, confidence_valid boolean, exclusion_reason string, prompt_sha256 string"
 )
+
+
+def record_schema(answer_valid: str = "answer_valid", confidence_valid: str = "confidence_valid") -> str:
+    """The schema of records whose two validity flags have other names in the files."""
+    return RECORD.replace("answer_valid boolean", f"{answer_valid} boolean").replace("confidence_valid boolean", f"{confidence_valid} boolean")
+
+
 EVIDENCE = "array<struct<source_id: string, url: string, publisher: string, title: string, published_at: string, retrieved_at: string, verified_at: string, snapshot_path: string, snapshot_sha256: string, evidence: string>>"
 NOVELTY = "struct<status: string, basis: string, claim_became_true_at: string, source_id: string, reviewer_type: string, verified_at: string, evidence: string>"
 ITEM = (
@@ -52,14 +59,16 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> D
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
 
-def records(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    return facts(jsonl(spark, path, RECORD, strict))
+def records(spark: SparkSession, path: str, strict: bool = True, answer_valid: str = "answer_valid", confidence_valid: str = "confidence_valid") -> DataFrame:
+    """Flat facts of a file of records; the last arguments name its two validity flags."""
+    rows = jsonl(spark, path, record_schema(answer_valid, confidence_valid), strict)
+    return facts(rows.withColumnsRenamed({answer_valid: "answer_valid", confidence_valid: "confidence_valid"}))
 
 
 def facts(recorded: DataFrame) -> DataFrame:
     """Flat facts for scoring, from nested evaluation records."""
     return recorded.select(
-        "model", "question_id", "category", "subcategory", "k", F.col("valid_for_ehq12").alias("answered"), F.col("valid_for_ehq3").alias("rated"), F.col("confidence_terminal").alias("terminal"),
+        "model", "question_id", "category", "subcategory", "k", F.col("answer_valid").alias("answered"), F.col("confidence_valid").alias("rated"), F.col("confidence_terminal").alias("terminal"),
         F.col("parsed_confidence").alias("confidence"), F.col("classification.label").alias("label"), F.col("classification.is_correct").alias("is_correct"), F.col("answer_response.text").alias("answer"), completion_tokens(F.col("answer_response.usage")).alias("tokens"),
     )
 

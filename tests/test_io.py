@@ -17,7 +17,7 @@ from .test_scores import FOUR, facts
 def record(model, k, label, conf):
     return {
         "question_id": f"q{k}", "model": model, "category": "PCQ", "subcategory": "s", "k": 0, "completed_at_utc": "2026-01-01T00:00:00Z", "parsed_confidence": conf, "confidence_terminal": False,
-        "valid_for_ehq12": True, "valid_for_ehq3": conf is not None, "classification": {"label": label, "is_correct": label == "CONFIDENT_CORRECT"}, "answer_response": {"ok": True, "text": "x", "usage": '{"output_tokens": 12}'},
+        "answer_valid": True, "confidence_valid": conf is not None, "classification": {"label": label, "is_correct": label == "CONFIDENT_CORRECT"}, "answer_response": {"ok": True, "text": "x", "usage": '{"output_tokens": 12}'},
     }
 
 
