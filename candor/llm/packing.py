@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
-from .units import encoder, merged, texts, u32_crc
+from .units import KEPT_UNITS, encoder, merged, texts, u32_crc
 
 WINDOW = 2048
 END_ID = 1
@@ -111,10 +111,10 @@ def plan(counts: np.ndarray, bins: int, least: float = LEAST_FILL) -> tuple[list
     return patterns, left
 
 
-def _pieces(path: str, window: int, end: int):
+def _pieces(path: str, window: int, end: int, slice_bytes: int, kept: int):
     def run(batches):
-        for batch in merged(batches):
-            off, ids = encoder(path, words=True).encode(texts(batch))
+        for batch in merged(batches, limit=slice_bytes):
+            off, ids = encoder(path, True, kept).encode(texts(batch))
             doc, rows = batch.column("doc_id").to_pylist(), []
             for d, a, b in zip(doc, off.tolist(), off[1:].tolist()):
                 n = b - a + 1
@@ -130,9 +130,11 @@ def _pieces(path: str, window: int, end: int):
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END_ID) -> DataFrame:
-    """The ids of docs (doc_id, text) cut at multiples of the window; ids: little-endian unsigned 32 bit."""
-    return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, window, end), PIECE + ", ids binary")
+def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END_ID, slice_bytes: int = 10 << 20, kept: int = KEPT_UNITS) -> DataFrame:
+    """The ids of docs (doc_id, text) cut at multiples of the window; ids: little-endian unsigned 32 bit.
+
+    A worker's memory follows slice_bytes (text at once) and kept (cached units); smaller is slower."""
+    return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, window, end, slice_bytes, kept), PIECE + ", ids binary")
 
 
 def _cut(window: int):

@@ -114,13 +114,13 @@ class UnitEncoder:
     that aren't white space, the rule of byte-level vocabularies; texts with other spacing are encoded whole.
     """
 
-    def __init__(self, path: str, words: bool, long_unit=None, longest: int = 4096):
+    def __init__(self, path: str, words: bool, long_unit=None, longest: int = 4096, most_kept: int = KEPT_UNITS):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.words, self.long_unit, self.longest = words, long_unit, longest
+        self.words, self.long_unit, self.longest, self.most_kept = words, long_unit, longest, most_kept
         self.known, self.lens, self.kept = pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def ids(self, parts: list[str], at_once: int = 200) -> list[np.ndarray]:
@@ -189,9 +189,9 @@ class UnitEncoder:
         known[new] = base + np.arange(len(lens))
         all_lens, all_ids = np.concatenate([self.lens, lens]), np.concatenate([self.kept, ids])
         starts = np.concatenate([[0], np.cumsum(all_lens)[:-1]])
-        if base < KEPT_UNITS and len(lens):  # units met early are the frequent ones
+        if base < self.most_kept and len(lens):  # units met early are the frequent ones
             short = pc.less(pc.binary_length(fresh := distinct.filter(pa.array(new))), 64).to_numpy(zero_copy_only=False)
-            pick = np.flatnonzero(short)[: KEPT_UNITS - base]
+            pick = np.flatnonzero(short)[: self.most_kept - base]
             self.known = pa.concat_arrays([self.known, fresh.take(pa.array(pick))])
             self.kept = np.concatenate([self.kept, all_ids[spread(starts[base + pick], lens[pick])]])
             self.lens = np.concatenate([self.lens, lens[pick]])
@@ -255,9 +255,9 @@ def resident(key, make=None):
     return _resident.get(key)
 
 
-def encoder(path: str, words: bool) -> UnitEncoder:
+def encoder(path: str, words: bool, kept: int = KEPT_UNITS) -> UnitEncoder:
     """The worker's encoder of this file; tasks that follow find its cache filled."""
-    return resident(("encoder", path, words), lambda: UnitEncoder(path, words))
+    return resident(("encoder", path, words, kept), lambda: UnitEncoder(path, words, most_kept=kept))
 
 
 def u32_crc(ids: np.ndarray) -> int:

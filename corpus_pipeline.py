@@ -48,7 +48,7 @@ def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    return packing.pack(packing.pieces(few_files(docs), public_tokenizers.path("word_bpe_49k.json")))
+    return packing.pack(packing.pieces(few_files(docs), public_tokenizers.path("word_bpe_49k.json"), slice_bytes=2 << 20, kept=150_000))
 
 
 STAGES = [
