@@ -173,19 +173,10 @@ def _entries(n: int, t: int, bits: int, broadcast):
 # --- verification
 
 
-def _sets(n: int, wanted):
+def _sets(n: int):
     def run(batches):
         resident(None)
         for batch in slices(batches):
-            if wanted is not None:
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                if not len(wanted.value):
-                    continue
-                at = np.minimum(np.searchsorted(wanted.value, np.nan_to_num(ids).astype(np.int64)), len(wanted.value) - 1)
-                keep = (wanted.value[at] == np.nan_to_num(ids).astype(np.int64)) & ~np.asarray(batch.column("doc_id").is_null())
-                if not keep.any():
-                    continue
-                batch = batch.filter(pa.array(keep))
             got = shingle_sets(texts(batch), n)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], ["doc_id", "set"])
 
@@ -316,15 +307,8 @@ def groups(docs: DataFrame, n: int = 5, t: int = 80, sketch_bits: int = SKETCH_B
     hot = written(entries.join(many, "h").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"), "n").coalesce(files), "hot")
     families = written(components(hot.select("u", "v")).join(hot.select(F.col("u").alias("node"), "n").distinct(), "node").select(F.col("node").alias("doc_id"), "n", F.col("component").alias("family")).coalesce(files), "families")
     ids = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(families.select("doc_id")).distinct().coalesce(files), "wanted")
-    if ids.count() <= BROADCAST_IDS:
-        wanted = sc.broadcast(np.sort(np.array([r[0] for r in ids.collect()], np.int64)))
-        sets = text.mapInArrow(_sets(n, wanted), "doc_id long, set binary")
-    else:
-        wanted = None
-        sets = text.join(ids, "doc_id", "left_semi").mapInArrow(_sets(n, None), "doc_id long, set binary")
-    sets = written(sets, "sets")
-    if wanted is not None:
-        wanted.destroy()
+    near = text.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    sets = written(near.mapInArrow(_sets(n), "doc_id long, set binary"), "sets")
     sided = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("set").alias("b")), "v")
     links = sided.select("u", "v", "a", "b").mapInArrow(_verify(t), "u long, v long").unionByName(_link_blocks(families, sets, t, block))
     found = components(links)
