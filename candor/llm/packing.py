@@ -47,12 +47,12 @@ def combinations(bins: int) -> np.ndarray:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
-    """x >= 0 with least |a x - b|, by the active-set method on normal equations, several columns a step."""
-    gram, right = a.T @ a, a.T @ b
+    """x >= 0 with least |a x - b|, by the active-set method, several columns a step; memory follows a, not its square."""
+    right = a.T @ b
     x, passive = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     scale = tolerance * max(1.0, float(np.abs(right).max(initial=0)))
     for _ in range(3 * a.shape[0]):
-        slope = right - gram @ x
+        slope = a.T @ (b - a @ x)
         slope[passive] = 0
         best = np.argsort(-slope)[:8]
         best = best[slope[best] > scale]
@@ -61,7 +61,7 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
         passive[best] = True
         while passive.any():
             on = np.flatnonzero(passive)
-            z = np.linalg.lstsq(gram[np.ix_(on, on)], right[on], rcond=1e-10)[0]
+            z = np.linalg.lstsq(a[:, on], b, rcond=1e-10)[0]
             if z.min() > 0:
                 x[:] = 0
                 x[on] = z
