@@ -30,7 +30,9 @@ TRAIN_DOCS, TRAIN_CHARS = 2000, 2000
 FEATURES = 1 << 15
 LEXICON = 20_000
 SEGMENT = 128
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
+#: Text that is tagged at once; its words' scores and posteriors take some fifty times as much memory.
+SLICE_BYTES = 2 << 20
 
 
 def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +251,7 @@ def _predict(model, key: str):
     def run(batches):
         tagger = resident(("tagger", key), lambda: _Tagger(model.value))
         labels = np.array([*tagger.crf.labels, "und"], object)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             off, e, letters = tagger.words(texts(batch))
             post = tagger.crf.posteriors(e, off) * letters[:, None]
             total = np.concatenate([np.zeros((1, post.shape[1])), np.cumsum(post, 0)])
@@ -280,7 +282,7 @@ def _kept(model, least: float, names: list[str]):
     judge = _predict(model, str(id(model)))
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             got = next(judge(iter([batch.select(["doc_id", "text"])])))
             keep = pc.and_(pc.not_equal(got.column("lang_pred"), "und"), pc.greater_equal(got.column("score"), least))
             yield batch.select(names).filter(keep)
