@@ -33,11 +33,12 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
+#: 22 characters hold 16 bytes, as many as the shortest base secret has.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9]+ )*PRIVATE KEY-----\s*([A-Za-z0-9+/=\s]{32,})-----END ([A-Z0-9]+ )*PRIVATE KEY-----")
 _LONG_HEX = re.compile(r"[0-9a-fA-F]{32,}")
 #: What a text must hold for a scan of its kind; matched in C++ over whole columns.
-_HINTS = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{12}", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}", "more": r"[A-Za-z0-9+/_-]{32}|[A-Za-z0-9_-]{8}\.[A-Za-z0-9_-]{2,}\.|PRIVATE KEY-----"}
+_HINTS = {"assign": r"(?i:password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[A-Za-z0-9+/_.=-]{12}", "access": r"AKIA[A-Z0-9]{14}", "hex": r"[0-9a-f]{16}", "more": r"[A-Za-z0-9+/_-]{22}|[A-Za-z0-9_-]{8}\.[A-Za-z0-9_-]{2,}\.|PRIVATE KEY-----"}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
