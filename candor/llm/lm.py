@@ -3,14 +3,16 @@
 1. Texts are tokenised in blocks (one task's rows, bounded); a block holds the codes of its tokens and its distinct
    words with their training counts, so that each word is counted and looked up once a block, not once a place.
    Counts are summed over all training documents by word and joined back to the blocks.
-2. Classes of the neural model: the end, the unknown word and the CLASSES - 2 most frequent training words. An
-   unknown word costs its class and its smoothed share among all unknown words, so the model is a distribution
-   over texts.
+2. Classes of the neural model: the end, the unknown word and every training word counted `least_count` times or
+   more, which is 5 and, beyond 102,400 training tokens, a 64th of the root of their number. So the vocabulary
+   grows with the corpus, and has at most 64 times that root of words. A rarer word costs the unknown class and its
+   smoothed share among all such words, so the model is a distribution over texts.
 3. Each task trains a copy of the model on all its training tokens (ROUNDS parts of them, one after the other);
    after each part the copies are averaged, weighted by their tokens, in two levels. Noise comes from the
    unigram distribution of classes, and is shared by a minibatch, so all of it is batched matrix products.
-4. Scoring normalises over all classes by batched matrix products for each distinct context of a slice; the
-   normaliser of a context is kept in the worker.
+4. Above FLAT classes these lie in groups of about equal mass (neighbours by frequency), with parameters of their own
+   that are trained the same way. A class has the probability of its group times its own within the group; both
+   are normalised exactly, by batched matrix products, so a token costs about twice the root of the vocabulary.
 
 Null and empty texts are one end token. Training leaves out documents whose crc32(doc_id as text) mod 5 is 1, and
 those without a doc_id. Without training tokens the base is uniform over nothing (0), and so is the score. Ties
@@ -20,6 +22,7 @@ long it is; extra columns aren't carried.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 
@@ -32,15 +35,22 @@ from pyspark.sql import functions as F
 from .store import written
 from .units import coded, lower_ascii, resident, slices, split_words, texts
 
-CLASSES, WIDTH, CONTEXT, ROUNDS = 1024, 32, 2, 2
+WIDTH, CONTEXT, ROUNDS = 32, 2, 2
+LEAST, ROOT, FLAT = 5, 64, 256
 BATCH, NOISE, RATE = 2048, 64, 0.1
 BLOCK_WORDS, BLOCK_TOKENS = 500_000, 6_000_000
+BROADCAST_WORDS = 200_000
 END, UNKNOWN = 0, 1
 #: Stands for the end token among words; no word holds a blank.
 _END_WORD = " "
 _BLOCKS = "block long, doc_id long, held_out boolean, n_tokens long, codes binary, code int, word string, n long"
 
 
+def least_count(total: int) -> int:
+    """Training count from which a word is a class of its own."""
+    return max(LEAST, math.isqrt(total) // ROOT)
+
+
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 1
 
@@ -106,7 +116,7 @@ def _looked_up(total: int, distinct: int, rest: int, rest_distinct: int):
     def run(left, right):
         code = right.column("code").to_numpy()
         size = int(code.max()) + 1 if len(code) else 1
-        c, cls = np.zeros(size), np.full(size, UNKNOWN, np.int16)
+        c, cls = np.zeros(size), np.full(size, UNKNOWN, np.int32)
         c[code] = right.column("c").fill_null(0).to_numpy()
         cls[code] = right.column("cls").fill_null(UNKNOWN).to_numpy()
         inner = np.where(cls == UNKNOWN, np.log10((c + 0.5) / (rest + 0.5 * (rest_distinct + 1))), 0.0)
@@ -130,45 +140,87 @@ def _looked_up(total: int, distinct: int, rest: int, rest_distinct: int):
 # --- the model
 
 
+def group_starts(prior: np.ndarray, flat: int | None = None) -> np.ndarray:
+    """The first class of each group, and the number of classes; END and UNKNOWN are groups of one."""
+    n, flat = len(prior), FLAT if flat is None else flat
+    if n <= flat:
+        return np.arange(n + 1)
+    words = prior[2:].astype(np.float64) / prior[2:].sum(dtype=np.float64)
+    place = np.floor((np.cumsum(words) - words) * max(flat, math.isqrt(n)) + 1e-9)
+    return np.concatenate([[0, 1], 2 + np.flatnonzero(np.diff(place, prepend=-1)), [n]])
+
+
+def log_sums(s: np.ndarray) -> np.ndarray:
+    """Logarithms of the sums of exponentials of each row, computed in place."""
+    top = s.max(1)
+    s -= top[:, None]
+    return top + np.log(np.exp(s, out=s).sum(1))
+
+
 class LogBilinear:
     def __init__(self, prior: np.ndarray, width: int = WIDTH, seed: int = 11):
         rng = np.random.default_rng(seed)
         n = len(prior)
+        self.starts = group_starts(prior)
+        self.group = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
         self.prior = prior.astype(np.float32)
         self.p = {"r": rng.normal(0, 0.1, (n, width)), "q": rng.normal(0, 0.1, (n, width)), "b": np.log(prior), "c": np.stack([np.eye(width)] * CONTEXT)}
+        self.levels = [("q", "b", self.prior)]
+        if len(self.starts) <= n:
+            mass = np.add.reduceat(prior, self.starts[:-1])
+            self.p |= {"gq": rng.normal(0, 0.1, (len(mass), width)), "gb": np.log(mass)}
+            self.levels.append(("gq", "gb", mass.astype(np.float32)))
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
+        self.log_kn = {q: np.log(NOISE * d) for q, _, d in self.levels}
+        self.drawn = [np.cumsum(d, dtype=np.float64) / d.sum(dtype=np.float64) for _, _, d in self.levels]
 
     def context(self, ctx: np.ndarray) -> np.ndarray:
         """Predicted representations for rows of class ids, nearest word first."""
         return sum(self.p["r"][ctx[:, k]] @ self.p["c"][k] for k in range(CONTEXT))
 
-    def log_normalisers(self, ctx: np.ndarray, step: int = 8192) -> np.ndarray:
-        out = np.zeros(len(ctx), np.float32)
-        for k in range(0, len(ctx), step):
-            s = self.context(ctx[k : k + step]) @ self.p["q"].T + self.p["b"]
-            top = s.max(1)
-            out[k : k + step] = top + np.log(np.exp(s - top[:, None]).sum(1))
-        return out
-
-    def log_probabilities(self, ctx: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, ctx: np.ndarray, target: np.ndarray, step: int = 8192, area: int = 1 << 22) -> np.ndarray:
         """Normalised natural log-probabilities of targets."""
-        s = np.einsum("bd,bd->b", self.context(ctx), self.p["q"][target]) + self.p["b"][target]
-        return s - self.log_normalisers(ctx)
+        h = self.context(ctx)
+        q, b, _ = self.levels[-1]
+        group = self.group[target]
+        own, first, which = np.unique(ctx[:, 0] * len(self.prior) + ctx[:, 1], return_index=True, return_inverse=True)
+        sums = np.zeros(len(own), np.float32)
+        for k in range(0, len(own), step):
+            sums[k : k + step] = log_sums(h[first[k : k + step]] @ self.p[q].T + self.p[b])
+        out = np.einsum("bd,bd->b", h, self.p[q][group]) + self.p[b][group] - sums[which]
+        if len(self.levels) > 1:
+            order = np.argsort(group, kind="stable")
+            own, first = np.unique(group[order], return_index=True)
+            for g, rows in zip(own, np.split(order, first[1:])):
+                start, end = self.starts[g], self.starts[g + 1]
+                if end - start > 1:
+                    most = max(1, area // int(end - start))
+                    for k in range(0, len(rows), most):
+                        at = rows[k : k + most]
+                        s = h[at] @ self.p["q"][start:end].T + self.p["b"][start:end]
+                        out[at] += s[np.arange(len(at)), target[at] - start]
+                        out[at] -= log_sums(s)
+        return out
 
     def train(self, ctx: np.ndarray, target: np.ndarray, state: dict, rng: np.random.Generator) -> None:
-        """One step of noise-contrastive estimation on a minibatch, noise shared by its rows."""
+        """One step of noise-contrastive estimation on a minibatch, noise shared by its rows, of classes and of groups."""
         p, m = self.p, len(target)
-        log_kn = np.log(NOISE * self.prior)
-        noise = rng.choice(len(self.prior), NOISE, p=self.prior.astype(np.float64) / self.prior.sum(dtype=np.float64))
         h = self.context(ctx)
-        data = np.einsum("bd,bd->b", h, p["q"][target]) + p["b"][target] - log_kn[target]
-        other = h @ p["q"][noise].T + p["b"][noise] - log_kn[noise]
-        g = 1 / (1 + np.exp(np.clip(data, -30, 30)))  # of the log-likelihood by the data scores
-        e = -1 / (1 + np.exp(-np.clip(other, -30, 30)))
-        gh = g[:, None] * p["q"][target] + e @ p["q"][noise]
-        rows = np.concatenate([target, noise])
-        self._add("q", rows, np.concatenate([g[:, None] * h, e.T @ h]) / m, state)
-        self._add("b", rows, np.concatenate([g, e.sum(0)]) / m, state)
+        gh = np.zeros_like(h)
+        for (q, b, prior), drawn, want in zip(self.levels, self.drawn, (target, self.group[target])):
+            log_kn = self.log_kn[q]
+            noise = np.minimum(np.searchsorted(drawn, rng.random(NOISE), side="right"), len(prior) - 1)
+            data = np.einsum("bd,bd->b", h, p[q][want]) + p[b][want] - log_kn[want]
+            other = h @ p[q][noise].T + p[b][noise] - log_kn[noise]
+            g = 0.5 - 0.5 * np.tanh(data / 2)  # of the log-likelihood by the data scores
+            other *= 0.5
+            e = np.tanh(other, out=other)  # and by the noise scores
+            e += 1
+            e *= -0.5
+            gh += g[:, None] * p[q][want] + e @ p[q][noise]
+            rows = np.concatenate([want, noise])
+            self._add(q, rows, np.concatenate([g[:, None] * h, e.T @ h]) / m, state)
+            self._add(b, rows, np.concatenate([g, e.sum(0)]) / m, state)
         for k in range(CONTEXT):
             before = p["r"][ctx[:, k]]
             back = gh @ p["c"][k].T / m
@@ -179,7 +231,9 @@ class LogBilinear:
 
     def _add(self, name: str, rows: np.ndarray, grad: np.ndarray, state: dict) -> None:
         order = np.argsort(rows, kind="stable")
-        own, first = np.unique(rows[order], return_index=True)
+        rows = rows[order]
+        first = np.flatnonzero(np.diff(rows, prepend=-1))
+        own = rows[first]
         g = np.add.reduceat(grad[order], first, axis=0)
         state[name][own] += g**2
         self.p[name][own] += (RATE * g / np.sqrt(state[name][own] + 1e-6)).astype(np.float32)
@@ -209,7 +263,7 @@ def _tokens(batch, only_training: bool) -> tuple[np.ndarray, np.ndarray, np.ndar
     """(classes, start of the own text for each token, offsets)"""
     if only_training:
         batch = batch.filter(pc.and_(pc.invert(batch.column("held_out")), pc.is_valid(batch.column("doc_id"))))
-    classes = np.frombuffer(b"".join(x.as_py() for x in batch.column("classes")), np.int16).astype(np.int64)
+    classes = np.frombuffer(b"".join(x.as_py() for x in batch.column("classes")), np.int32).astype(np.int64)
     n = batch.column("n_tokens").to_numpy()
     off = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
     return classes, np.repeat(off[:-1], n), off
@@ -231,11 +285,11 @@ def _train_part(model, turn: int, piece: int):
                     own.train(ctx[part], classes[part], state, rng)
             seen += len(picked)
         if seen:
-            flat = own.flat()
+            flat = (own.flat() - model.value["flat"]).astype(np.float16)  # half the bytes; a mean of many doesn't need more
             k = -(-len(flat) // piece)
-            salt = uuid.uuid4().int & 15
+            salt = uuid.uuid4().int & 3
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, salt, np.int32)), pa.array(np.full(k, float(seen))), pa.array([flat[i * piece : (i + 1) * piece].astype(np.float64).tobytes() for i in range(k)], pa.binary())],
+                [pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, salt, np.int32)), pa.array(np.full(k, float(seen))), pa.array([flat[i * piece : (i + 1) * piece].tobytes() for i in range(k)], pa.binary())],
                 ["piece", "salt", "weight", "values"],
             )
 
@@ -247,38 +301,33 @@ _PIECES = "piece int, salt int, weight double, values binary"
 
 def _mean(table):
     weight = table.column("weight").to_numpy()
-    total = sum(w * np.frombuffer(v.as_py(), np.float64) for w, v in zip(weight, table.column("values")))
-    return pa.table({"piece": table.column("piece").slice(0, 1), "salt": table.column("salt").slice(0, 1), "weight": pa.array([float(weight.sum())]), "values": pa.array([(total / weight.sum()).tobytes()], pa.binary())})
+    total = sum(w * np.frombuffer(v.as_py(), np.float16).astype(np.float64) for w, v in zip(weight, table.column("values")))
+    return pa.table({"piece": table.column("piece").slice(0, 1), "salt": table.column("salt").slice(0, 1), "weight": pa.array([float(weight.sum())]), "values": pa.array([(total / weight.sum()).astype(np.float16).tobytes()], pa.binary())})
 
 
 def _scored(model, key: str):
     def run(batches):
-        def opened():
-            lb = LogBilinear(model.value["prior"]).load(model.value["flat"])
-            return lb, np.full(len(lb.prior) ** CONTEXT, np.nan, np.float32)
-
-        lb, known = resident(("lm", key), opened)
+        lb = resident(("lm", key), lambda: LogBilinear(model.value["prior"]).load(model.value["flat"]))
         for batch in batches:
             if not batch.num_rows:
                 continue
             classes, starts, off = _tokens(batch, False)
             ctx = contexts(classes, starts)
-            code = ctx[:, 0] * len(lb.prior) + ctx[:, 1]
-            own = np.unique(code)
-            new = own[np.isnan(known[own])]
-            known[new] = lb.log_normalisers(np.stack([new // len(lb.prior), new % len(lb.prior)], 1))
-            s = np.zeros(len(code))
-            for k in range(0, len(code), 1 << 17):
+            s = np.zeros(len(classes))
+            for k in range(0, len(s), 1 << 17):
                 part = slice(k, k + (1 << 17))
-                s[part] = np.einsum("bd,bd->b", lb.context(ctx[part]), lb.p["q"][classes[part]]) + lb.p["b"][classes[part]] - known[code[part]]
+                s[part] = lb.log_probabilities(ctx[part], classes[part])
             score = np.add.reduceat(s, off[:-1]) / np.log(10) + batch.column("inner").to_numpy()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text)."""
+def score(docs: DataFrame, classes: int | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs (doc_id, text).
+
+    classes: so many classes at most, instead of all words from least_count on.
+    """
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -289,13 +338,17 @@ def score(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> Data
     if not total:
         texts_only = blocks.where("code is null")
         return texts_only.select("doc_id", "held_out", "n_tokens", F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    top = counts.where(F.col("word") != _END_WORD).orderBy(F.desc("c"), "word").limit(classes - 2).collect()
+    own = counts.where(F.col("word") != _END_WORD)
+    own = own.where(F.col("c") >= least_count(total)).orderBy(F.desc("c"), "word") if classes is None else own.orderBy(F.desc("c"), "word").limit(classes - 2)
+    top = own.toArrow()  # 64 times the root of the training tokens at most
+    c = top.column("c").to_numpy()
     end = counts.where(F.col("word") == _END_WORD).first()
-    rest, rest_distinct = total - sum(r.c for r in top) - (end.c if end else 0), distinct - len(top) - (end is not None)
-    prior = np.array([end.c if end else 0, rest, *(r.c for r in top)], np.float64) + 0.5
+    rest, rest_distinct = total - int(c.sum()) - (end.c if end else 0), distinct - len(c) - (end is not None)
+    prior = np.concatenate([[end.c if end else 0, rest], c]).astype(np.float64) + 0.5
     prior /= prior.sum()
-    vocabulary = spark.createDataFrame([(_END_WORD, END), *((r.word, k + 2) for k, r in enumerate(top))], "word string, cls int")  # `classes` rows at most
-    found = words.select("block", "code", "word").join(counts.hint("shuffle_hash"), "word", "left").join(F.broadcast(vocabulary), "word", "left").select(F.col("block").alias("of"), "code", "c", "cls")
+    vocabulary = spark.createDataFrame(pa.table({"word": pa.concat_arrays([pa.array([_END_WORD]), *top.column("word").cast(pa.string()).chunks]), "cls": pa.array(np.concatenate([[END], np.arange(len(c)) + 2]).astype(np.int32))}))
+    vocabulary = F.broadcast(vocabulary) if len(c) <= BROADCAST_WORDS else vocabulary
+    found = words.select("block", "code", "word").join(counts.join(vocabulary, "word", "left").hint("shuffle_hash"), "word", "left").select(F.col("block").alias("of"), "code", "c", "cls")
     texts_of = blocks.where("code is null").select("block", "doc_id", "held_out", "n_tokens", "codes")
     looked = texts_of.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(
         _looked_up(total, distinct, rest, rest_distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"
@@ -303,13 +356,16 @@ def score(docs: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS) -> Data
     looked = written(looked, "lm-classes", compression="zstd")
     model = LogBilinear(prior)
     flat = model.flat()
+    train = looked.select("doc_id", "held_out", "n_tokens", "classes")
+    copies = max(2 * sc.defaultParallelism, total // len(flat))  # a copy sees as many tokens as it sends parameters, or more
+    train = train.coalesce(copies)
     for turn in range(rounds):
         given = sc.broadcast({"prior": prior, "flat": flat})
-        parts = looked.select("doc_id", "held_out", "n_tokens", "classes").mapInArrow(_train_part(given, turn, 4096), _PIECES)
+        parts = train.mapInArrow(_train_part(given, turn, 1 << 14), _PIECES)
         mean = parts.groupBy("piece", "salt").applyInArrow(_mean, _PIECES).groupBy("piece").applyInArrow(_mean, _PIECES)
-        got = {r["piece"]: np.frombuffer(bytes(r["values"]), np.float64) for r in mean.collect()}  # the model's parameters
+        got = {r["piece"]: np.frombuffer(bytes(r["values"]), np.float16) for r in mean.collect()}  # the model's parameters
         given.destroy()
-        flat = np.concatenate([got[k] for k in sorted(got)]).astype(np.float32)
+        flat = flat + np.concatenate([got[k] for k in sorted(got)]).astype(np.float32)
     final = sc.broadcast({"prior": prior, "flat": flat})
     out = looked.mapInArrow(_scored(final, uuid.uuid4().hex), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -89,3 +89,39 @@ def test_probabilities_sum_to_one_and_training_helps():
 @pytest.mark.parametrize("starts, want", [([0, 0, 0], [[0, 0], [5, 0], [6, 5]]), ([0, 1, 1], [[0, 0], [0, 0], [6, 0]])])
 def test_contexts_stay_inside_texts(starts, want):
     assert lm.contexts(np.array([5, 6, 7]), np.array(starts)).tolist() == want
+
+
+def test_every_word_above_the_count_is_learned(spark):
+    assert [lm.least_count(n) for n in (0, 1000, 4_000_000, 400_000_000)] == [5, 5, 31, 312]
+    words = [f"w{k}" for k in range(1500)] * 10 + ["rare", "seldom", "seldom"]
+    random.Random(4).shuffle(words)
+    docs = spark.createDataFrame([(k, " ".join(words[k::20])) for k in range(20)], "doc_id long, text string")
+    count = collections.Counter(t for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 != 1 for t in tokens(r.text) if t)
+    own = sum(c >= 5 for c in count.values())
+    assert 1022 < own < len(count)
+    scores = lambda **k: np.array([r.score for r in lm.score(docs, rounds=0, **k).orderBy("doc_id").collect()])
+    grown = scores()
+    assert np.allclose(grown, scores(classes=own + 2)) and not np.allclose(grown, scores(classes=1024))
+
+
+def test_grouped_probabilities_sum_to_one_and_training_helps():
+    rng = np.random.default_rng(6)
+    n = 700
+    prior = np.concatenate([[30.0, 9.0], 500 / np.arange(1, n - 1)])
+    prior /= prior.sum()
+    follows = rng.permutation(n)
+    text = [0]
+    for _ in range(40_000):
+        text.append(int(follows[text[-1]]) if rng.random() < 0.6 else int(rng.choice(n, p=prior)))
+    text = np.array(text)
+    counts = np.bincount(text[:30_000], minlength=n) + 0.5
+    model = lm.LogBilinear(counts / counts.sum(), width=16)
+    assert len(model.levels) == 2 and 16 < len(model.starts) - 1 < n and model.group[:3].tolist() == [0, 1, 2]
+    ctx = lm.contexts(text, np.zeros(len(text), np.int64))
+    before = model.log_probabilities(ctx[30_000:], text[30_000:]).mean()
+    state = {k: np.full_like(v, 1e-4) for k, v in model.p.items()}
+    for _ in range(4):
+        for part in np.array_split(rng.permutation(30_000), 60):
+            model.train(ctx[part], text[part], state, rng)
+    assert model.log_probabilities(ctx[30_000:], text[30_000:]).mean() > before + 0.1
+    assert np.allclose(sum(np.exp(model.log_probabilities(ctx[:40], np.full(40, k))) for k in range(n)), 1, atol=1e-3)
