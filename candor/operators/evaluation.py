@@ -110,11 +110,11 @@ def label_leakage(facts: DataFrame, human: str) -> DataFrame:
     return c.withColumn("leak_rate", scoring.ratio(F.col("n_leaked"), F.col("n_restraint"))).withColumn("pool_share", scoring.ratio(F.col("n_leaked"), F.col("n_answered")))
 
 
-def corpus_audit(items: DataFrame, question_least: float = 0.88, gram_least: float = 0.40, per_subcategory: int | None = None, norm=T.normalise_ascii) -> DataFrame:
+def corpus_audit(items: DataFrame, question_least: float = 0.88, gram_least: float = 0.40, per_subcategory: int | None = None, document_least: float = 0.82, norm=T.normalise_ascii) -> DataFrame:
     """One row: whether a corpus of documents with withheld spans passes, and the counts behind it."""
     issues = validation.dataset_issues(items, norm=norm).where("severity = 'error'")
     docs = items.select(F.col("pos").alias("id"), norm(F.col("document")).alias("norm"))
-    near_docs = neardup.shingle_pairs(docs, gram_least)
+    near_docs = neardup.document_pairs(docs, document_least, gram_least)
     near_questions = neardup.similar_questions(items.select("pos", norm(F.col("question")).alias("text")), question_least)
     words = T.word_count(F.col("document"))
     stats = items.agg(F.count("*").alias("n_items"), F.min(words).alias("least_words"), F.max(words).alias("most_words"), F.round(F.avg(words), 3).alias("mean_words"), F.median(words).alias("median_words"))

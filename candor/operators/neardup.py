@@ -51,6 +51,15 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def document_pairs(docs: DataFrame, ratio_least: float = 0.82, gram_least: float = 0.4, n: int = 5) -> DataFrame:
+    """Pairs (a < b, jaccard, ratio) of docs (id, norm) that share `gram_least` of their n-grams, or that share 0.08 of
+    them and have a sequence ratio of `ratio_least` or more."""
+    near = shingle_pairs(docs, min(0.08, gram_least), n)
+    x, y = docs.select(F.col("id").alias("a"), F.col("norm").alias("_ta")), docs.select(F.col("id").alias("b"), F.col("norm").alias("_tb"))
+    both = near.join(x, "a").join(y, "b").withColumn("ratio", sequence_ratio("_ta", "_tb"))
+    return both.where((F.col("ratio") >= ratio_least) | (F.col("jaccard") >= gram_least)).select("a", "b", "jaccard", "ratio")
+
+
 def similar_questions(items: DataFrame, least: float = 0.88) -> DataFrame:
     """Pairs of questions (pos, text) with a sequence ratio of `least` or more.
 

@@ -145,11 +145,18 @@ s AS (SELECT DISTINCT id, g FROM g WHERE g IS NOT NULL), n AS (SELECT id, count(
 SELECT a, b, round(k / (na.n + nb.n - k), 9) AS jaccard FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE k / (na.n + nb.n - k) >= 0.4 UNION ALL SELECT x.id, y.id, 1.0::DOUBLE FROM e x JOIN e y ON x.id < y.id"""
 )
 def q_ngram_neardup(spark, sf_dir):
-    """Near-duplicate pairs of documents, as the audit compares them."""
+    """Pairs of documents by shared 5-grams alone, which SQL can express; q_document_neardup has the audit's whole rule."""
     docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.normalise_ascii(F.col("text")).alias("norm"))
     return out(neardup.shingle_pairs(docs, 0.4))
 
 
+@query()
+def q_document_neardup(spark, sf_dir):
+    """Near-duplicate pairs of documents, as the audit compares them; no SQL, for lack of a sequence ratio."""
+    docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.normalise(F.col("text")).alias("norm"))
+    return out(neardup.document_pairs(docs))
+
+
 @query()
 def q_difflib_neardup(spark, sf_dir):
     items = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), T.normalise(F.col("text")).alias("text"))

@@ -1,12 +1,13 @@
 """Records from replies, spans, provider bodies, review gates, routes and corpus gates."""
 
+import difflib
 import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from candor.functions import text as T
-from candor.operators import evaluation, scoring
+from candor.operators import evaluation, neardup, scoring
 from candor.sources import readers
 
 GRID = "model string, question_id string, category string, subcategory string, k int, correct_answer string, acceptable_answers array<string>"
@@ -97,6 +98,19 @@ def test_corpus_gates(spark):
     assert not bad.passed and (bad.n_near_documents, bad.n_near_questions, bad.n_repeated_values) == (1, 1, 1)
 
 
+def test_edited_documents_are_near(spark):
+    words = "river stone lamp house road north winter garden bridge letter window market silver morning forest island paper thunder village clock candle harbour meadow tower bell".split()
+    edited = [w[:-1] + "z" if k in (6, 12, 18) else w for k, w in enumerate(words)]
+    docs = spark.createDataFrame([(0, " ".join(words)), (1, " ".join(edited)), (2, " ".join(reversed(words)))], "id int, norm string")
+    got = [(r.a, r.b, r.jaccard < 0.4, r.ratio) for r in neardup.document_pairs(docs).collect()]
+    assert [g[:3] for g in got] == [(0, 1, True)] and got[0][3] == difflib.SequenceMatcher(None, " ".join(words), " ".join(edited)).ratio() >= 0.82
+    assert neardup.shingle_pairs(docs, 0.4).count() == 0 and neardup.document_pairs(docs, 1.0).count() == 0
+    item = "pos int, question_id string, category string, subcategory string, question string, document string, redacted_value string, correct_answer string, qc_passed boolean, source_evidence array<struct<url: string, publisher: string, verified_at: string, evidence: string>>"
+    rows = [(k, f"i{k}", "CCQ", "s", q, "[REDACTED] " + " ".join(d), f"v{k}", "[REDACTED]", True, None) for k, (q, d) in enumerate([("Which colour had that house by the road?", words), ("Why did nobody light another lamp that night?", edited)])]
+    r = evaluation.corpus_audit(spark.createDataFrame(rows, item)).first()
+    assert r.n_near_documents == 1 and not r.passed
+
+
 def test_small_audits(spark):
     u = evaluation.uncertainty_agreement(spark.createDataFrame([("1", "1"), ("0", "1"), (None, "0"), ("0", "0")], "a string, b string")).first()
     assert (u.a_completed, u.either, u["both"], u.n_paired) == (3, 2, 1, 3) and u.observed == pytest.approx(2 / 3)
