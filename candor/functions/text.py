@@ -12,7 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 # The cues, labels and word lists that results depend on.
 LABELS = ("ABSTAIN", "HEDGE", "CONFIDENT_CORRECT", "CONFIDENT_WRONG")
@@ -106,8 +106,18 @@ def normalise(values: pd.Series) -> pd.Series:
     return values.map(distinct)
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def _normalise_each(values: pd.Series) -> pd.Series:
+    return values.map(lambda a: None if a is None else [None if v is None else normalised(v) for v in a])
+
+
+def normalised_each(array: Column, norm) -> Column:
+    """norm of every element; a Python function can't stand in a lambda."""
+    return _normalise_each(array) if norm is normalise else F.transform(array, norm)
+
+
 def normalise_ascii(c: Column) -> Column:
-    """The same for texts in ASCII, without leaving the JVM."""
+    """The same for texts in ASCII, without leaving the JVM; accented letters become blanks, so only for such texts."""
     return F.trim(F.regexp_replace(F.lower(c), r"[^0-9a-z_]+", " "))
 
 
@@ -140,11 +150,13 @@ def same_number(response: Column, gold: Column, tolerance: float = 0.0) -> Colum
     return F.when(F.size(g) == 1, F.coalesce(near, F.lit(False))).otherwise(F.lit(False))
 
 
-def matches_gold(category: Column, response: Column, answers: Column, tolerance: float = 0.0, norm=normalise_ascii) -> Column:
+def matches_gold(category: Column, response: Column, answers: Column, tolerance: float = 0.0, norm=normalise) -> Column:
     """Whether a response holds a gold answer; items without one (two categories) never match."""
-    text = norm(response)
     real = F.filter(answers, lambda a: a != REDACTED)
-    hit = F.exists(real, lambda a: (text == norm(a)) & (norm(a) != "") | has_phrase(text, norm(a)) | same_number(response, a, tolerance))
+    each = F.arrays_zip(real.alias("a"), normalised_each(real, norm).alias("n"))
+    given = F.array(F.struct(norm(response).alias("t"), each.alias("each")))  # computed outside of the lambdas
+    same = lambda t, a: (t == a["n"]) & (a["n"] != "") | has_phrase(t, a["n"]) | same_number(response, a["a"], tolerance)
+    hit = F.element_at(F.transform(given, lambda x: F.exists(x["each"], lambda a: same(x["t"], a))), 1)
     return F.when(category.isin(*UNANSWERABLE), F.lit(False)).otherwise(F.coalesce(hit, F.lit(False)))
 
 
@@ -277,7 +289,7 @@ def question_issues(question: Column) -> Column:
     )
 
 
-def answer_issues(question: Column, gold: Column, norm=normalise_ascii) -> Column:
+def answer_issues(question: Column, gold: Column, norm=normalise) -> Column:
     q, g = one_line(question), one_line(gold)
     missing = norm(g) == ""
     return F.when(missing, F.array(F.lit("missing_gold_answer"))).otherwise(
@@ -387,7 +399,7 @@ def restored(document: Column, span: Column) -> Column:
     return F.replace(document, F.lit(REDACTED), F.trim(span))
 
 
-def restore_skip(document: Column, question: Column, span: Column, most_words: int = 4, norm=normalise_ascii) -> Column:
+def restore_skip(document: Column, question: Column, span: Column, most_words: int = 4, norm=normalise) -> Column:
     """Why an item can't be restored: the first of four reasons, or null."""
     doc, s = F.coalesce(document, F.lit("")), F.trim(F.coalesce(span, F.lit("")))
     whole = restored(doc, s)

@@ -9,7 +9,7 @@ from ..functions import text as T
 from . import neardup, scoring, validation
 
 
-def evaluate(grid: DataFrame, replies: DataFrame, tolerance: float = 0.0, adjudication: DataFrame | None = None, norm=T.normalise_ascii) -> DataFrame:
+def evaluate(grid: DataFrame, replies: DataFrame, tolerance: float = 0.0, adjudication: DataFrame | None = None, norm=T.normalise) -> DataFrame:
     """Facts of items x models (model, question_id, category, correct_answer, ...) and their recorded replies.
 
     replies: model, question_id, answer_ok, answer, confidence_ok, reply, error_type. An answer that didn't come is
@@ -43,7 +43,7 @@ def prompts(items: DataFrame) -> DataFrame:
     return items.withColumn("prompt", F.when(F.col("category") == "CCQ", whole).otherwise(F.col("question")))
 
 
-def reclassify(records: DataFrame, items: DataFrame, norm=T.normalise_ascii) -> DataFrame:
+def reclassify(records: DataFrame, items: DataFrame, norm=T.normalise) -> DataFrame:
     """Retained answers under the present rules; a record without its item is an error."""
     known = items.select("question_id", "correct_answer", "acceptable_answers", F.lit(True).alias("_item"))
     x = records.join(F.broadcast(known), "question_id", "left")
@@ -53,7 +53,7 @@ def reclassify(records: DataFrame, items: DataFrame, norm=T.normalise_ascii) ->
     return x.withColumn("_c", cls).withColumns({"label": F.col("_c.label"), "is_correct": F.col("_c.is_correct")}).select(records.columns)
 
 
-def probe_items(items: DataFrame, most_words: int = 4, norm=T.normalise_ascii) -> DataFrame:
+def probe_items(items: DataFrame, most_words: int = 4, norm=T.normalise) -> DataFrame:
     """Items with a withheld span, and `skip_reason`, null for those whose span can be put back."""
     ccq = items.where(F.upper("category") == "CCQ")
     skip = T.restore_skip(F.col("document"), F.col("question"), F.col("redacted_value"), most_words, norm)
@@ -110,7 +110,7 @@ def label_leakage(facts: DataFrame, human: str) -> DataFrame:
     return c.withColumn("leak_rate", scoring.ratio(F.col("n_leaked"), F.col("n_restraint"))).withColumn("pool_share", scoring.ratio(F.col("n_leaked"), F.col("n_answered")))
 
 
-def corpus_audit(items: DataFrame, question_least: float = 0.88, gram_least: float = 0.40, per_subcategory: int | None = None, document_least: float = 0.82, norm=T.normalise_ascii) -> DataFrame:
+def corpus_audit(items: DataFrame, question_least: float = 0.88, gram_least: float = 0.40, per_subcategory: int | None = None, document_least: float = 0.82, norm=T.normalise) -> DataFrame:
     """One row: whether a corpus of documents with withheld spans passes, and the counts behind it."""
     issues = validation.dataset_issues(items, norm=norm).where("severity = 'error'")
     docs = items.select(F.col("pos").alias("id"), norm(F.col("document")).alias("norm"))
@@ -126,7 +126,7 @@ def corpus_audit(items: DataFrame, question_least: float = 0.88, gram_least: flo
     return x.withColumn("passed", F.col("balanced") & (F.col("n_issues") + F.col("n_repeated_values") + F.col("n_near_questions") + F.col("n_near_documents") == 0))
 
 
-def ledger_audit(items: DataFrame, facts: DataFrame, window: tuple[str, str], question_least: float = 0.96, per_subcategory: int | None = None, norm=T.normalise_ascii) -> DataFrame:
+def ledger_audit(items: DataFrame, facts: DataFrame, window: tuple[str, str], question_least: float = 0.96, per_subcategory: int | None = None, norm=T.normalise) -> DataFrame:
     """One row: whether items agree with their ledger, and the counts behind it."""
     used = facts.join(items.select(F.col("question_id").alias("fact_id")).distinct(), "fact_id", "left_semi")
     count = lambda df, name: F.broadcast(df.agg(F.count("*").alias(name)))

@@ -30,7 +30,7 @@ def content_identity(fields=("category", "subcategory", "question", "document",
     return F.sha2(F.to_json(F.struct(*[F.col(f) for f in fields]), {"ignoreNullFields": "false"}), 256)
 
 
-def dataset_issues(items: DataFrame, expected_total: int | None = None, expected_per_category: int | None = None, require_evidence: bool = False, norm=T.normalise_ascii) -> DataFrame:
+def dataset_issues(items: DataFrame, expected_total: int | None = None, expected_per_category: int | None = None, require_evidence: bool = False, norm=T.normalise) -> DataFrame:
     """Issues (severity, code, id) of benchmark items: pos, question_id, category, question, document, correct_answer,
     redacted_value, qc_passed and source_evidence, an array of structs."""
     category = F.upper(trimmed("category"))
@@ -76,7 +76,7 @@ def T_given(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("")) != ""
 
 
-def ledger_issues(facts: DataFrame, window: tuple[str, str] | None, expected_total: int | None = None, expected_per_subcategory: int | None = None, release: bool = False, norm=T.normalise_ascii) -> DataFrame:
+def ledger_issues(facts: DataFrame, window: tuple[str, str] | None, expected_total: int | None = None, expected_per_subcategory: int | None = None, release: bool = False, norm=T.normalise) -> DataFrame:
     """Issues (severity, code, id, other_id) of a fact ledger: pos, fact_id, subcategory, event_date, question_target,
     gold_answer, source_evidence, and for releases temporal_novelty and verification."""
     rows = facts.withColumns({"_id": trimmed("fact_id"), "_sub": trimmed("subcategory"), "_gold": trimmed("gold_answer"), "_target": trimmed("question_target")})

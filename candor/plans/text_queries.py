@@ -126,8 +126,8 @@ SELECT item_id, doc_id FROM d, b WHERE p <> '' AND contains(' ' || t || ' ', ' '
 )
 def q_phrase_contamination(spark, sf_dir):
     """Documents that hold a whole benchmark passage: joined on the passage's first eight words, then verified."""
-    docs = A.table(spark, sf_dir, "documents").select("doc_id", T.normalise_ascii(F.col("text")).alias("t"))
-    items = A.table(spark, sf_dir, "benchmark").select("item_id", T.normalise_ascii(F.col("text")).alias("p")).where("p <> ''").withColumn("w", F.split("p", " "))
+    docs = A.table(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("t"))
+    items = A.table(spark, sf_dir, "benchmark").select("item_id", T.normalise(F.col("text")).alias("p")).where("p <> ''").withColumn("w", F.split("p", " "))
     k = 8
     long, short = items.where(F.size("w") >= k), items.where(F.size("w") < k)
     tokens = docs.withColumn("w", F.split("t", " "))
@@ -145,7 +145,7 @@ s AS (SELECT DISTINCT id, g FROM g WHERE g IS NOT NULL), n AS (SELECT id, count(
 SELECT a, b, round(k / (na.n + nb.n - k), 9) AS jaccard FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE k / (na.n + nb.n - k) >= 0.4 UNION ALL SELECT x.id, y.id, 1.0::DOUBLE FROM e x JOIN e y ON x.id < y.id"""
 )
 def q_ngram_neardup(spark, sf_dir):
-    """Pairs of documents by shared 5-grams alone, which SQL can express; q_document_neardup has the audit's whole rule."""
+    """Pairs of documents by shared 5-grams of ASCII words alone, as its SQL has it; q_document_neardup has the audit's whole rule."""
     docs = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), T.normalise_ascii(F.col("text")).alias("norm"))
     return out(neardup.shingle_pairs(docs, 0.4))
 

@@ -111,6 +111,14 @@ def test_edited_documents_are_near(spark):
     assert r.n_near_documents == 1 and not r.passed
 
 
+def test_documents_in_other_scripts_are_told_apart(spark):
+    item = "pos int, question_id string, category string, subcategory string, question string, document string, redacted_value string, correct_answer string, qc_passed boolean, source_evidence array<struct<url: string, publisher: string, verified_at: string, evidence: string>>"
+    docs = ["река течёт [REDACTED] через город и старый мост к морю", "в доме горела [REDACTED] лампа пока гости не ушли домой"]
+    rows = [(k, f"i{k}", "CCQ", "s", q, d, f"v{k}", "[REDACTED]", True, None) for k, (q, d) in enumerate(zip(["Куда течёт эта река в конце?", "Почему никто не зажёг другую лампу?"], docs))]
+    r = evaluation.corpus_audit(spark.createDataFrame(rows, item)).first()
+    assert (r.n_near_documents, r.n_near_questions) == (0, 0) and r.passed
+
+
 def test_small_audits(spark):
     u = evaluation.uncertainty_agreement(spark.createDataFrame([("1", "1"), ("0", "1"), (None, "0"), ("0", "0")], "a string, b string")).first()
     assert (u.a_completed, u.either, u["both"], u.n_paired) == (3, 2, 1, 3) and u.observed == pytest.approx(2 / 3)

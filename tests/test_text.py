@@ -109,3 +109,13 @@ def test_temporal_novelty(spark):
     assert issues(claim_became_true_at="soon") == ["invalid_temporal_novelty_date"] and issues(event="2026-04-01") == ["temporal_novelty_event_date_mismatch"]
     assert issues(claim_became_true_at="2025-12-31/2026-03-05") == ["temporal_novelty_outside_window"] and issues(source_id="t") == ["temporal_novelty_source_mismatch"]
     assert spark.range(1).select(T.novelty_issues(F.lit(None).cast("struct<" + ", ".join(f"{k}: string" for k in full) + ">"), F.lit(""), F.array(F.lit("s")))).first()[0] == ["missing_temporal_novelty"]
+
+
+def test_gold_and_gates_fold_accents(spark):
+    def gold(response, *answers):
+        return spark.range(1).select(T.matches_gold(F.lit("HNQ"), F.lit(response), F.array(*map(F.lit, answers)))).first()[0]
+
+    assert gold("It was Muller.", "Müller") and gold("Es war MÜLLER!", "x", "Muller") and gold("в Москве", "Москве") and gold("Hauptstraße 5", "STRASSE", "hauptstrasse")
+    assert not gold("Москва", "Берлин") and not gold("日本", "中国") and not gold("M ller", "Müller") and gold("about 7,0", "7.0")
+    assert spark.range(1).select(T.answer_issues(F.lit("Who was Müller?"), F.lit("Muller"))).first()[0] == ["gold_answer_leaked_in_question"]
+    assert spark.range(1).select(T.answer_issues(F.lit("Where is it?"), F.lit("Москва"))).first()[0] == []
