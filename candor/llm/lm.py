@@ -8,11 +8,15 @@
    grows with the corpus, and has at most 64 times that root of words. A rarer word costs the unknown class and its
    smoothed share among all such words, so the model is a distribution over texts.
 3. Each task trains a copy of the model on all its training tokens (ROUNDS parts of them, one after the other);
-   after each part the copies are averaged, weighted by their tokens, in two levels. Noise comes from the
-   unigram distribution of classes, and is shared by a minibatch, so all of it is batched matrix products.
+   after each part the copies are averaged, weighted by their tokens, in two levels. A minibatch is a number of
+   stretches of text. Noise comes from the unigram distribution of classes, and is shared by a minibatch, so all of
+   it is batched matrix products.
 4. Above FLAT classes these lie in groups of about equal mass (neighbours by frequency), with parameters of their own
-   that are trained the same way. A class has the probability of its group times its own within the group; both
-   are normalised exactly, by batched matrix products, so a token costs about twice the root of the vocabulary.
+   that are trained the same way. A class has the probability of its group times its own within the group, which is
+   one for a class that has its group alone. Both are normalised exactly, by batched matrix products, so a token costs
+   about twice the root of the vocabulary; normalisers of pairs of frequent words are made once.
+
+Blocks, copies and sums go by numbers of partitions, so that the same files give the same scores.
 
 Null and empty texts are one end token. Training leaves out documents whose crc32(doc_id as text) mod 5 is 1, and
 those without a doc_id. Without training tokens the base is uniform over nothing (0), and so is the score. Ties
@@ -37,7 +41,11 @@ from .units import coded, lower_ascii, resident, slices, split_words, texts
 
 WIDTH, CONTEXT, ROUNDS = 32, 2, 2
 LEAST, ROOT, FLAT = 5, 64, 256
-BATCH, NOISE, RATE = 2048, 64, 0.1
+#: Normalisers are made once for all pairs of so many classes (64 MB) and for pairs of EDGE with any other.
+FREQUENT, EDGE = 4096, 32
+#: Groups of classes for each root of the vocabulary.
+GROUPS = 2
+BATCH, STRETCH, NOISE, RATE = 1536, 64, 32, 0.15
 BLOCK_WORDS, BLOCK_TOKENS = 500_000, 6_000_000
 BROADCAST_WORDS = 200_000
 END, UNKNOWN = 0, 1
@@ -59,8 +67,8 @@ def held_out(doc_id: int | None) -> bool:
 
 
 class _Block:
-    def __init__(self):
-        self.id = uuid.uuid4().int >> 65
+    def __init__(self, number: int):
+        self.id = number
         self.words, self.counts, self.tokens = pa.array([_END_WORD], pa.string()), np.zeros(1, np.int64), 0
 
     def add(self, values: pa.Array, training: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -92,8 +100,11 @@ class _Block:
 
 
 def _blocks(batches):
+    from pyspark import TaskContext
+
     resident(None)
-    block = _Block()
+    number = TaskContext.get().partitionId() << 32  # blocks are numbered by the data, so that scores repeat
+    block = _Block(number)
     for batch in slices(batches):
         ids = batch.column("doc_id").to_pylist()
         held = np.array([held_out(i) for i in ids])
@@ -105,7 +116,8 @@ def _blocks(batches):
         )
         if len(block.words) > BLOCK_WORDS or block.tokens > BLOCK_TOKENS:
             yield block.dictionary()
-            block = _Block()
+            number += 1
+            block = _Block(number)
     if block.tokens:
         yield block.dictionary()
 
@@ -146,7 +158,7 @@ def group_starts(prior: np.ndarray, flat: int | None = None) -> np.ndarray:
     if n <= flat:
         return np.arange(n + 1)
     words = prior[2:].astype(np.float64) / prior[2:].sum(dtype=np.float64)
-    place = np.floor((np.cumsum(words) - words) * max(flat, math.isqrt(n)) + 1e-9)
+    place = np.floor((np.cumsum(words) - words) * max(flat, GROUPS * math.isqrt(n)) + 1e-9)
     return np.concatenate([[0, 1], 2 + np.flatnonzero(np.diff(place, prepend=-1)), [n]])
 
 
@@ -154,89 +166,181 @@ def log_sums(s: np.ndarray) -> np.ndarray:
     """Logarithms of the sums of exponentials of each row, computed in place."""
     top = s.max(1)
     s -= top[:, None]
-    return top + np.log(np.exp(s, out=s).sum(1))
+    return top + np.log(np.exp(s, out=s) @ np.ones(s.shape[1], s.dtype))
+
+
+def row_sums(rows: np.ndarray, values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct rows, sum of the values of each)"""
+    order = np.argsort(rows.astype(np.uint16) if most <= 1 << 16 else rows, kind="stable")
+    rows = rows[order]
+    first = np.concatenate([[0], np.flatnonzero(rows[1:] != rows[:-1]) + 1])
+    return rows[first], np.add.reduceat(values[order], first, axis=0)
 
 
 class LogBilinear:
+    """r: representations of context words; c: a matrix for each context place; q, gq: targets (words, groups of
+    words) with their bias in the last column."""
+
     def __init__(self, prior: np.ndarray, width: int = WIDTH, seed: int = 11):
         rng = np.random.default_rng(seed)
         n = len(prior)
         self.starts = group_starts(prior)
         self.group = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-        self.prior = prior.astype(np.float32)
-        self.p = {"r": rng.normal(0, 0.1, (n, width)), "q": rng.normal(0, 0.1, (n, width)), "b": np.log(prior), "c": np.stack([np.eye(width)] * CONTEXT)}
-        self.levels = [("q", "b", self.prior)]
-        if len(self.starts) <= n:
+        with_bias = lambda d: np.concatenate([rng.normal(0, 0.1, (len(d), width)), np.log(d)[:, None]], 1)
+        self.p = {"r": rng.normal(0, 0.1, (n, width)), "q": with_bias(prior), "c": np.stack([np.eye(width)] * CONTEXT)}
+        self.levels = [("q", prior)]
+        if len(self.starts) <= n:  # a word alone in its group has the group's probability: words of the others are told apart
             mass = np.add.reduceat(prior, self.starts[:-1])
-            self.p |= {"gq": rng.normal(0, 0.1, (len(mass), width)), "gb": np.log(mass)}
-            self.levels.append(("gq", "gb", mass.astype(np.float32)))
+            self.p["gq"] = with_bias(mass)
+            self.shared = np.diff(self.starts)[self.group] > 1
+            self.levels = [("q", np.where(self.shared, prior, 0)), ("gq", mass)]
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        self.log_kn = {q: np.log(NOISE * d) for q, _, d in self.levels}
-        self.drawn = [np.cumsum(d, dtype=np.float64) / d.sum(dtype=np.float64) for _, _, d in self.levels]
+        with np.errstate(divide="ignore"):
+            self.log_kn = {q: np.log(NOISE * d / d.sum()).astype(np.float32) for q, d in self.levels}
+        self.drawn = [np.cumsum(d) / d.sum() for _, d in self.levels]
+
+    def ready(self) -> LogBilinear:
+        """With what scoring needs: the terms of words in contexts, and the normalisers of contexts of frequent words."""
+        self.terms = [self.p["r"] @ c for c in self.p["c"]]
+        top = self.p[self.levels[-1][0]]
+        n = len(self.p["r"])
+
+        def factors(place: int, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+            x = self.terms[place][start:end] @ top[:, :-1].T
+            if not place:
+                x += top[:, -1]
+            peak = x.max(1)
+            x -= peak[:, None]
+            return np.exp(x, out=x), peak
+
+        def sums(one: tuple, two: tuple) -> np.ndarray:
+            with np.errstate(divide="ignore"):
+                out = np.log(one[0] @ two[0].T)
+            out[out < -50] = np.nan  # the factors' peaks lie apart: not from the table
+            out += one[1][:, None]
+            out += two[1]
+            return out
+
+        few, edge = min(n, FREQUENT), min(n, EDGE)  # the first classes are the frequent ones
+        first, second = factors(0, 0, few), factors(1, 0, few)
+        self.known = sums(first, second)
+        self.after, self.before = np.empty((edge, n), np.float32), np.empty((n, edge), np.float32)
+        for k in range(0, n, 4096):
+            self.after[:, k : k + 4096] = sums([x[:edge] for x in first], factors(1, k, k + 4096))
+            self.before[k : k + 4096] = sums(factors(0, k, k + 4096), [x[:edge] for x in second])
+        return self
+
+    def _met(self, ctx: np.ndarray) -> np.ndarray:
+        """The normalisers that the tables hold, not-a-number for others."""
+        x, y, out = ctx[:, 0], ctx[:, 1], np.full(len(ctx), np.nan, np.float32)
+        few, edge = len(self.known), len(self.after)
+        for rows, table in (((x < few) & (y < few), self.known), ((x < edge) & (y >= few), self.after), ((y < edge) & (x >= few), self.before)):
+            at = np.flatnonzero(rows)
+            out[at] = table[x[at], y[at]]
+        return out
 
-    def context(self, ctx: np.ndarray) -> np.ndarray:
-        """Predicted representations for rows of class ids, nearest word first."""
-        return sum(self.p["r"][ctx[:, k]] @ self.p["c"][k] for k in range(CONTEXT))
+    def log_probabilities(self, ctx: np.ndarray, target: np.ndarray, area: int = 1 << 20) -> np.ndarray:
+        """Normalised natural log-probabilities of targets.
 
-    def log_probabilities(self, ctx: np.ndarray, target: np.ndarray, step: int = 8192, area: int = 1 << 22) -> np.ndarray:
-        """Normalised natural log-probabilities of targets."""
-        h = self.context(ctx)
-        q, b, _ = self.levels[-1]
+        A score is a sum of one term for each context place, so its exponential is a product of two factors, and the
+        normalisers of all pairs of frequent words are a matrix product, made once.
+        """
+        h = np.ones((len(ctx), self.p["r"].shape[1] + 1), np.float32)
+        np.take(self.terms[0], ctx[:, 0], axis=0, out=h[:, :-1])
+        h[:, :-1] += self.terms[1][ctx[:, 1]]
+        top = self.p[self.levels[-1][0]]
         group = self.group[target]
-        own, first, which = np.unique(ctx[:, 0] * len(self.prior) + ctx[:, 1], return_index=True, return_inverse=True)
-        sums = np.zeros(len(own), np.float32)
-        for k in range(0, len(own), step):
-            sums[k : k + step] = log_sums(h[first[k : k + step]] @ self.p[q].T + self.p[b])
-        out = np.einsum("bd,bd->b", h, self.p[q][group]) + self.p[b][group] - sums[which]
+        out = np.einsum("bd,bd->b", h, top[group])
+        sums = self._met(ctx)
+        rare = np.flatnonzero(np.isnan(sums))
+        step = max(1, area // len(top))
+        for k in range(0, len(rare), step):
+            part = rare[k : k + step]
+            sums[part] = log_sums(h[part] @ top.T)
+        out -= sums
         if len(self.levels) > 1:
-            order = np.argsort(group, kind="stable")
-            own, first = np.unique(group[order], return_index=True)
-            for g, rows in zip(own, np.split(order, first[1:])):
-                start, end = self.starts[g], self.starts[g + 1]
-                if end - start > 1:
-                    most = max(1, area // int(end - start))
-                    for k in range(0, len(rows), most):
-                        at = rows[k : k + most]
-                        s = h[at] @ self.p["q"][start:end].T + self.p["b"][start:end]
-                        out[at] += s[np.arange(len(at)), target[at] - start]
-                        out[at] -= log_sums(s)
+            q, size = self.p["q"], np.diff(self.starts)
+            inner = np.flatnonzero(size[group] > 1)
+            inner = inner[np.argsort(group[inner].astype(np.uint16) if len(size) <= 1 << 16 else group[inner], kind="stable")]
+            h = h[inner]
+            got = np.einsum("bd,bd->b", h, q[target[inner]])
+            edges = np.concatenate([[0], np.cumsum(np.bincount(group[inner], minlength=len(size)))])
+            for g in np.flatnonzero(np.diff(edges)):
+                own = q[self.starts[g] : self.starts[g + 1]]
+                step = max(1, area // len(own))
+                for k in range(edges[g], edges[g + 1], step):
+                    part = slice(k, min(k + step, edges[g + 1]))
+                    got[part] -= log_sums(h[part] @ own.T)
+            out[inner] += got
         return out
 
-    def train(self, ctx: np.ndarray, target: np.ndarray, state: dict, rng: np.random.Generator) -> None:
-        """One step of noise-contrastive estimation on a minibatch, noise shared by its rows, of classes and of groups."""
-        p, m = self.p, len(target)
-        h = self.context(ctx)
-        gh = np.zeros_like(h)
-        for (q, b, prior), drawn, want in zip(self.levels, self.drawn, (target, self.group[target])):
-            log_kn = self.log_kn[q]
-            noise = np.minimum(np.searchsorted(drawn, rng.random(NOISE), side="right"), len(prior) - 1)
-            data = np.einsum("bd,bd->b", h, p[q][want]) + p[b][want] - log_kn[want]
-            other = h @ p[q][noise].T + p[b][noise] - log_kn[noise]
-            g = 0.5 - 0.5 * np.tanh(data / 2)  # of the log-likelihood by the data scores
-            other *= 0.5
-            e = np.tanh(other, out=other)  # and by the noise scores
-            e += 1
-            e *= -0.5
-            gh += g[:, None] * p[q][want] + e @ p[q][noise]
-            rows = np.concatenate([want, noise])
-            self._add(q, rows, np.concatenate([g[:, None] * h, e.T @ h]) / m, state)
-            self._add(b, rows, np.concatenate([g, e.sum(0)]) / m, state)
+    def train(self, words: np.ndarray, place: np.ndarray, state: dict, rng: np.random.Generator) -> None:
+        """One step of noise-contrastive estimation on a minibatch of stretches, noise shared by all, of classes and of groups.
+
+        words: stretches x (CONTEXT + length), the first CONTEXT only as contexts; place: the targets' places in their texts.
+        """
+        p, width, length = self.p, self.p["r"].shape[1], place.shape[1]
+        target, m = words[:, CONTEXT:].ravel(), place.size
+        vectors = p["r"][words]
+        before, outside = [], []
+        h = np.ones((m, width + 1), np.float32)
+        for k in range(CONTEXT):
+            own = vectors[:, CONTEXT - 1 - k : CONTEXT - 1 - k + length].reshape(m, width)  # a copy
+            outside.append(np.flatnonzero(place.ravel() <= k))  # before a text's first word: END
+            own[outside[k]] = p["r"][END]
+            before.append(own)
+            if k:
+                h[:, :-1] += own @ p["c"][k]
+            else:
+                np.matmul(own, p["c"][k], out=h[:, :-1])
+        if len(self.levels) == 1:
+            gh = self._contrast(0, h, target, m, state, rng)
+        else:
+            gh = self._contrast(1, h, self.group[target], m, state, rng)
+            if len(own := np.flatnonzero(self.shared[target])):
+                gh[own] += self._contrast(0, h[own], target[own], m, state, rng)
+        back, ends = np.zeros_like(vectors), np.zeros((1, width), np.float32)
         for k in range(CONTEXT):
-            before = p["r"][ctx[:, k]]
-            back = gh @ p["c"][k].T / m
-            grad = before.T @ gh / m
+            part = gh @ p["c"][k].T
+            ends += part[outside[k]].sum(0)
+            part[outside[k]] = 0
+            back[:, CONTEXT - 1 - k : CONTEXT - 1 - k + length] += part.reshape(len(words), length, width)
+            grad = before[k].T @ gh / m
             state["c"][k] += grad**2
             p["c"][k] += RATE * grad / np.sqrt(state["c"][k] + 1e-6)
-            self._add("r", ctx[:, k], back, state)
-
-    def _add(self, name: str, rows: np.ndarray, grad: np.ndarray, state: dict) -> None:
-        order = np.argsort(rows, kind="stable")
-        rows = rows[order]
-        first = np.flatnonzero(np.diff(rows, prepend=-1))
-        own = rows[first]
-        g = np.add.reduceat(grad[order], first, axis=0)
-        state[name][own] += g**2
-        self.p[name][own] += (RATE * g / np.sqrt(state[name][own] + 1e-6)).astype(np.float32)
+        self._add("r", np.append(words.ravel(), END), np.concatenate([back.reshape(-1, width), ends]), m, state)
+
+    def _contrast(self, level: int, h: np.ndarray, want: np.ndarray, m: int, state: dict, rng: np.random.Generator) -> np.ndarray:
+        """Tells the wanted rows from noise, moves both; returns the gradient by h without its last column."""
+        q, log_kn, drawn, n = self.levels[level][0], self.log_kn[self.levels[level][0]], self.drawn[level], len(want)
+        noise = np.minimum(np.searchsorted(drawn, rng.random(NOISE), side="right"), len(drawn) - 1)
+        right, wrong = self.p[q][want], self.p[q][noise]
+        data = np.einsum("bd,bd->b", h, right)
+        data -= log_kn[want]
+        g = (1 / (1 + np.exp(data)))[:, None]  # of the log-likelihood by the data scores
+        e = h @ wrong.T
+        np.subtract(log_kn[noise], e, out=e)
+        np.exp(e, out=e)
+        e += 1
+        np.divide(-1, e, out=e)  # and by the noise scores
+        right *= g
+        gh = e @ np.ascontiguousarray(wrong[:, :-1])
+        gh += right[:, :-1]
+        grad = np.empty((n + NOISE, h.shape[1]), np.float32)
+        np.multiply(h, g, out=grad[:n])
+        np.matmul(e.T, h, out=grad[n:])
+        self._add(q, np.concatenate([want, noise]), grad, m, state)
+        return gh
+
+    def _add(self, name: str, rows: np.ndarray, grad: np.ndarray, m: int, state: dict) -> None:
+        own, g = row_sums(rows, grad, len(self.p[name]))
+        g /= m
+        square = state[name][own]
+        square += g * g
+        state[name][own] = square
+        g /= np.sqrt(square + np.float32(1e-6))
+        g *= np.float32(RATE)
+        self.p[name][own] += g
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
@@ -259,6 +363,18 @@ def contexts(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def minibatches(classes: np.ndarray, starts: np.ndarray, turn: int, rng: np.random.Generator):
+    """(words, places) of stretches of STRETCH tokens, one in ROUNDS of them, in random order; the last one is shorter."""
+    filled = np.concatenate([np.full(CONTEXT, END), classes])
+    place = np.arange(len(classes)) - starts
+    full = len(classes) // STRETCH
+    own = rng.permutation(np.arange(turn % ROUNDS, full, ROUNDS)) * STRETCH
+    for part in np.array_split(own, max(1, len(own) * STRETCH // BATCH)) if len(own) else ():
+        yield filled[part[:, None] + np.arange(CONTEXT + STRETCH)], place[part[:, None] + np.arange(STRETCH)]
+    if full * STRETCH < len(classes) and full % ROUNDS == turn % ROUNDS:
+        yield filled[None, full * STRETCH :], place[None, full * STRETCH :]
+
+
 def _tokens(batch, only_training: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(classes, start of the own text for each token, offsets)"""
     if only_training:
@@ -271,6 +387,8 @@ def _tokens(batch, only_training: bool) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 def _train_part(model, turn: int, piece: int):
     def run(batches):
+        from pyspark import TaskContext
+
         own = LogBilinear(model.value["prior"]).load(model.value["flat"])
         state = {k: np.full_like(v, 1e-4) for k, v in own.p.items()}
         rng, seen = np.random.default_rng(turn), 0
@@ -278,36 +396,35 @@ def _train_part(model, turn: int, piece: int):
             classes, starts, _ = _tokens(batch, True)
             if not len(classes):
                 continue
-            ctx = contexts(classes, starts)
-            picked = rng.permutation(np.flatnonzero(np.arange(len(classes)) % ROUNDS == turn % ROUNDS))
-            for part in np.array_split(picked, max(1, len(picked) // BATCH)):
-                if len(part):
-                    own.train(ctx[part], classes[part], state, rng)
-            seen += len(picked)
+            for words, place in minibatches(classes, starts, turn, rng):
+                own.train(words, place, state, rng)
+                seen += place.size
         if seen:
             flat = (own.flat() - model.value["flat"]).astype(np.float16)  # half the bytes; a mean of many doesn't need more
             k = -(-len(flat) // piece)
-            salt = uuid.uuid4().int & 3
+            part = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, salt, np.int32)), pa.array(np.full(k, float(seen))), pa.array([flat[i * piece : (i + 1) * piece].tobytes() for i in range(k)], pa.binary())],
-                ["piece", "salt", "weight", "values"],
+                [pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, part & 3, np.int32)), pa.array(np.full(k, part, np.int32)), pa.array(np.full(k, float(seen))), pa.array([flat[i * piece : (i + 1) * piece].tobytes() for i in range(k)], pa.binary())],
+                ["piece", "salt", "part", "weight", "values"],
             )
 
     return run
 
 
-_PIECES = "piece int, salt int, weight double, values binary"
+_PIECES = "piece int, salt int, part int, weight double, values binary"
 
 
 def _mean(table):
+    table = table.sort_by("part")  # sums of floats depend on their order
     weight = table.column("weight").to_numpy()
     total = sum(w * np.frombuffer(v.as_py(), np.float16).astype(np.float64) for w, v in zip(weight, table.column("values")))
-    return pa.table({"piece": table.column("piece").slice(0, 1), "salt": table.column("salt").slice(0, 1), "weight": pa.array([float(weight.sum())]), "values": pa.array([(total / weight.sum()).astype(np.float16).tobytes()], pa.binary())})
+    one = table.slice(0, 1)
+    return pa.table({"piece": one.column("piece"), "salt": one.column("salt"), "part": one.column("salt"), "weight": pa.array([float(weight.sum())]), "values": pa.array([(total / weight.sum()).astype(np.float16).tobytes()], pa.binary())})
 
 
 def _scored(model, key: str):
     def run(batches):
-        lb = resident(("lm", key), lambda: LogBilinear(model.value["prior"]).load(model.value["flat"]))
+        lb = resident(("lm", key), lambda: LogBilinear(model.value["prior"]).load(model.value["flat"]).ready())
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -348,7 +465,7 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = ROUNDS) ->
     prior /= prior.sum()
     vocabulary = spark.createDataFrame(pa.table({"word": pa.concat_arrays([pa.array([_END_WORD]), *top.column("word").cast(pa.string()).chunks]), "cls": pa.array(np.concatenate([[END], np.arange(len(c)) + 2]).astype(np.int32))}))
     vocabulary = F.broadcast(vocabulary) if len(c) <= BROADCAST_WORDS else vocabulary
-    found = words.select("block", "code", "word").join(counts.join(vocabulary, "word", "left").hint("shuffle_hash"), "word", "left").select(F.col("block").alias("of"), "code", "c", "cls")
+    found = words.select("block", "code", "word").join(counts.join(vocabulary, "word", "left"), "word", "left").select(F.col("block").alias("of"), "code", "c", "cls")
     texts_of = blocks.where("code is null").select("block", "doc_id", "held_out", "n_tokens", "codes")
     looked = texts_of.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(
         _looked_up(total, distinct, rest, rest_distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"

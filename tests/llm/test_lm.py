@@ -65,6 +65,13 @@ def test_nothing_to_learn_from(spark):
     assert {(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in rows} == {(held, 3, 0, 0, 0.0, 0.0), (None, 2, 0, 0, 0.0, 0.0)}
 
 
+def learn(model, text, rng, times):
+    state = {k: np.full_like(v, 1e-4) for k, v in model.p.items()}
+    for turn in range(times * lm.ROUNDS):
+        for words, place in lm.minibatches(text, np.zeros(len(text), np.int64), turn, rng):
+            model.train(words, place, state, rng)
+
+
 def test_probabilities_sum_to_one_and_training_helps():
     rng = np.random.default_rng(5)
     n = 30
@@ -76,10 +83,9 @@ def test_probabilities_sum_to_one_and_training_helps():
     prior = np.bincount(text, minlength=n) + 0.5
     model = lm.LogBilinear(prior / prior.sum(), width=16)
     ctx = lm.contexts(text, np.zeros(len(text), np.int64))
-    before = model.log_probabilities(ctx, text).mean()
-    state = {k: np.full_like(v, 1e-4) for k, v in model.p.items()}
-    for part in np.array_split(rng.permutation(30_000), 60):
-        model.train(ctx[part], text[part], state, rng)
+    before = model.ready().log_probabilities(ctx, text).mean()
+    learn(model, text[:30_000], rng, 2)
+    model.ready()
     assert model.log_probabilities(ctx[30_000:], text[30_000:]).mean() > before + 0.3
     some = ctx[:50]
     total = sum(np.exp(model.log_probabilities(some, np.full(50, k))) for k in range(n))
@@ -118,10 +124,50 @@ def test_grouped_probabilities_sum_to_one_and_training_helps():
     model = lm.LogBilinear(counts / counts.sum(), width=16)
     assert len(model.levels) == 2 and 16 < len(model.starts) - 1 < n and model.group[:3].tolist() == [0, 1, 2]
     ctx = lm.contexts(text, np.zeros(len(text), np.int64))
-    before = model.log_probabilities(ctx[30_000:], text[30_000:]).mean()
-    state = {k: np.full_like(v, 1e-4) for k, v in model.p.items()}
-    for _ in range(4):
-        for part in np.array_split(rng.permutation(30_000), 60):
-            model.train(ctx[part], text[part], state, rng)
+    before = model.ready().log_probabilities(ctx[30_000:], text[30_000:]).mean()
+    learn(model, text[:30_000], rng, 4)
+    model.ready()
     assert model.log_probabilities(ctx[30_000:], text[30_000:]).mean() > before + 0.1
     assert np.allclose(sum(np.exp(model.log_probabilities(ctx[:40], np.full(40, k))) for k in range(n)), 1, atol=1e-3)
+
+
+def test_normalisers_are_the_same_from_the_table_and_directly(monkeypatch):
+    rng = np.random.default_rng(8)
+    prior = np.concatenate([[30.0, 9.0], 500 / np.arange(1, 600)])
+    text = rng.choice(len(prior), 3000, p=prior / prior.sum())
+    model = lm.LogBilinear(prior / prior.sum(), width=8)
+    model.p["r"] *= 40  # scores far apart
+    ctx = lm.contexts(text, np.zeros(len(text), np.int64))
+    want = model.ready().log_probabilities(ctx, text)
+    h = np.concatenate([sum(model.p["r"][ctx[:, k]] @ model.p["c"][k] for k in range(lm.CONTEXT)), np.ones((len(text), 1))], 1)
+    plain = lambda x, k: x[np.arange(len(k)), k] - lm.log_sums(x.copy())
+    group = model.group[text]
+    direct = plain(h @ model.p["gq"].T, group)
+    for k, g in enumerate(group):
+        direct[k] += plain(h[k : k + 1] @ model.p["q"][model.starts[g] : model.starts[g + 1]].T, np.array([text[k] - model.starts[g]]))[0]
+    assert np.allclose(want, direct, rtol=1e-3, atol=1e-3)
+    for most, edge in ((0, 0), (50, 0), (50, 7), (len(prior), 3)):
+        monkeypatch.setattr(lm, "FREQUENT", most)
+        monkeypatch.setattr(lm, "EDGE", edge)
+        assert np.allclose(model.ready().log_probabilities(ctx, text), want, rtol=1e-3, atol=1e-3)
+
+
+def test_stretches_cover_each_token_once():
+    rng = np.random.default_rng(9)
+    classes, starts = np.arange(1000) + 2, np.repeat([0, 300, 301], [300, 1, 699])
+    seen, ctx = [], lm.contexts(classes, starts)
+    for turn in range(lm.ROUNDS):
+        for words, place in lm.minibatches(classes, starts, turn, rng):
+            assert words.shape == (len(place), place.shape[1] + lm.CONTEXT)
+            for w, at in zip(words, place):
+                for k, x in enumerate(at):
+                    t = w[lm.CONTEXT + k] - 2
+                    seen.append(t)
+                    assert x == t - starts[t] and all(ctx[t, j] == (w[lm.CONTEXT + k - 1 - j] if x > j else lm.END) for j in range(lm.CONTEXT))
+    assert sorted(seen) == list(range(1000))
+
+
+def test_scores_repeat(spark):
+    docs = corpus(spark, 60).repartition(3)
+    runs = [sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.score(docs, classes=30).collect()) for _ in range(2)]
+    assert runs[0] == runs[1]
