@@ -7,7 +7,8 @@ place of each document follows from one sum per file, read from two narrow colum
 for reading; `lookup` prunes them by footers, row indexes and Bloom filters.
 
 Null texts count as empty and hold the end id only. Rows whose doc_id is null come first. Rows with the same
-doc_id stay beside each other, in no fixed order. A row is stored whole, however long its text.
+doc_id stay beside each other, in the order of the input's partitions, and may fill several files. A row is stored
+whole, however long its text.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .units import encoder, merged, texts, u32_crc
 END_ID = 0
 ROW_GROUP = 1000
 STRIPE_BYTES = 8 << 20
-#: Bytes of text for each file.
-FILE_BYTES = 32 << 20
+#: Bytes of text for each file, and the most files; beyond that many they grow.
+FILE_BYTES, MOST_FILES = 32 << 20, 100_000
 
 
 def _tokenise(path: str, end: int):
@@ -55,11 +56,11 @@ def write(docs: DataFrame, tokenizer: str, end: int = END_ID, files: int | None
     spark = docs.sparkSession
     path = new_path(spark, "ids-orc")
     if files is None:
-        mean = docs.select(F.octet_length("text").alias("b")).limit(2000).agg(F.avg("b")).first()[0] or 0  # only sizes the files
-        total = int(mean * docs.count())
-        files = max(1, -(-total // FILE_BYTES), spark.sparkContext.defaultParallelism)
-    rows = docs.select("doc_id", "text").repartitionByRange(files, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    rows = rows.mapInArrow(_tokenise(tokenizer, end), "part int, doc_id long, file_start long, n_tokens long, ids array<int>")
+        total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        files = min(MOST_FILES, max(1, -(-total // FILE_BYTES), spark.sparkContext.defaultParallelism))
+    by = [F.col("doc_id").asc_nulls_first(), F.col("row").asc()]  # equal doc_ids are dealt by their rows
+    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()).repartitionByRange(files, *by).sortWithinPartitions(*by)
+    rows = rows.select("doc_id", "text").mapInArrow(_tokenise(tokenizer, end), "part int, doc_id long, file_start long, n_tokens long, ids array<int>")
     rows.write.option("compression", "zstd").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", ROW_GROUP).option("orc.stripe.size", STRIPE_BYTES).orc(path)
     return path
 
@@ -68,7 +69,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids, read by stripes from the files."""
     rows = spark.read.schema("part int, doc_id long, file_start long, n_tokens long, ids array<int>").orc(path)
     ends = rows.groupBy("part").agg(F.max(F.col("file_start") + F.col("n_tokens")).alias("n"))
-    base = ends.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))  # one row for each file
+    base = ends.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))  # MOST_FILES rows at most
     return rows.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("file_start")).alias("start"), "n_tokens", "ids")
 
 

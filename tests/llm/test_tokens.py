@@ -117,3 +117,27 @@ def test_orc_round_trip(spark):
     assert [r.doc_id for r in orc_tokens.lookup(spark, path, [5]).collect()] == [5]
     empty_path = orc_tokens.write(empty(spark), BYTE)
     assert orc_tokens.checked(orc_tokens.read(spark, empty_path)).collect() == []
+
+
+def test_equal_and_null_ids_are_dealt_to_several_files(spark):
+    docs = spark.createDataFrame([(7 if k % 3 else None, f"word {k}") for k in range(400)], "doc_id long, text string").repartition(4)
+    path = orc_tokens.write(docs, BYTE, files=4)
+    parts = [r["count"] for r in spark.read.orc(path).groupBy("part").count().collect()]
+    assert len(parts) == 4 and max(parts) < 200
+    rows = sorted((r.start, r.n_tokens, r.doc_id) for r in orc_tokens.read(spark, path).collect())
+    assert len(rows) == 400 and all(a[0] + a[1] == b[0] for a, b in zip(rows, rows[1:])) and [r[2] for r in rows] == sorted((r[2] for r in rows), key=lambda i: -1 if i is None else i)
+
+
+def test_files_have_row_indexes_and_bloom_filters(spark):
+    docs = spark.createDataFrame([(k, f"word {k}") for k in range(5000)], "doc_id long, text string")
+    path = orc_tokens.write(docs, BYTE, files=1)
+    jvm = spark._jvm
+    name = jvm.org.apache.hadoop.fs.Path(spark.read.orc(path).inputFiles()[0])
+    reader = jvm.org.apache.orc.OrcFile.createReader(name, jvm.org.apache.orc.OrcFile.readerOptions(spark._jsc.hadoopConfiguration()))
+    assert reader.getRowIndexStride() == orc_tokens.ROW_GROUP
+    stripe = reader.getStripes().get(0)
+    streams = reader.rows().readStripeFooter(stripe).getStreamsList()
+    kinds = {str(streams.get(k).getKind()) for k in range(streams.size())}
+    assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds and stripe.getIndexLength() > 0
+    encodings = reader.rows().readStripeFooter(stripe).getColumnsList()
+    assert {str(encodings.get(k).getKind()) for k in range(encodings.size())} == {"DIRECT", "DIRECT_V2"}  # version 2 of integer run lengths
