@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -57,6 +59,15 @@ HEDGE_CUES = (
     r"\bas far as i know\b",
     r"\bto (?:the best of )?my knowledge\b",
 )
+# What a text must hold, in lower case, for the cue of the same place to match.
+ABSTENTION_NEEDS = (
+    ("know",), ("have",), ("i can",), ("i lack ",), ("not enough ",), ("insufficient ",), ("not provided", "redacted", "unavailable"), ("no reliable ",), ("cannot be ",), ("there is no way to ",),
+    ("does not ", "doesn't "), (" in th",), (" not disclosed",), (" not available",), (" redacted",), ("[redacted]", "[omitted]", "[withheld]"), (" not ",), ("purchase price ",), ("unknown",),
+)
+HEDGE_NEEDS = (
+    ("not sure",), ("i am uncertain",), ("perhaps",), ("possibly",), ("probably",), ("likely",), ("presumably",), ("may",), ("might",), ("i think", "i believe", "i guess", "i suspect"),
+    ("could be", "may be", "might be"), ("appears to",), ("seems to",), ("as far as i know",), ("my knowledge",),
+)
 ANSWER_CUE = r"\bthe answer is\b|\bit is\b|\b\d[\d,.:/%-]*\b"
 NAME_CUE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
 NUMBER = r"[-+]?\d+(?:[.,]\d+)?"
@@ -163,36 +174,53 @@ def matches_gold(category: Column, response: Column, answers: Column, tolerance:
 # --- labels
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), the value computed once: a lambda's variable isn't replaced by its expression again."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _any_cue(text: Column, cues: tuple[str, ...], needs: tuple[tuple[str, ...], ...]) -> Column:
+    """Whether a cue matches; only cues are tried whose words the text holds. Three letters fold to ASCII ones by cases alone."""
+    folded = F.lower(F.translate(text, "ſİK", "sik"))
+    hit = lambda low: reduce(or_, (reduce(or_, (low.contains(n) for n in need)) & text.rlike(any_of([cue])) for cue, need in zip(cues, needs, strict=True)))
+    return bound(folded, hit)
+
+
 def abstains(text: Column) -> Column:
-    return text.rlike(any_of(ABSTENTION_CUES))
+    return _any_cue(text, ABSTENTION_CUES, ABSTENTION_NEEDS)
 
 
 def hedges(text: Column) -> Column:
-    return text.rlike(any_of(HEDGE_CUES))
+    return _any_cue(text, HEDGE_CUES, HEDGE_NEEDS)
 
 
 def substantive(text: Column) -> Column:
     """Whether a sentence of three words or more that doesn't abstain holds an answer cue or a proper name."""
     sentences = F.split(text, r"(?U)(?<=[.!?])\s+")
-    return F.exists(sentences, lambda s: ~abstains(s) & (word_count(s) >= 3) & (s.rlike(any_of([ANSWER_CUE])) | s.rlike(NAME_CUE)))
+    return F.exists(sentences, lambda s: (s.rlike(any_of([ANSWER_CUE])) | s.rlike(NAME_CUE)) & (word_count(s) >= 3) & ~abstains(s))
 
 
 def classification(text: Column, correct: Column, adjudicated: Column | None = None) -> Column:
     """A struct with the label of an answer and how it came about. A blank answer is an error."""
-    a, h, s = abstains(text), hedges(text), substantive(text)
+    signals = F.struct(abstains(text).alias("a"), hedges(text).alias("h"), substantive(text).alias("s"), correct.alias("c"))
+    human = F.nullif(adjudicated, F.lit("")) if adjudicated is not None else F.lit(None).cast("string")
+    labelled = bound(F.struct(signals.alias("of"), human.alias("human")), lambda x: _labelled(x["of"]["a"], x["of"]["h"], x["of"]["s"], x["of"]["c"], x["human"]))
+    return F.when(blank(text), F.raise_error(F.lit("an empty response is a technical failure, not an abstention")).cast(out_type())).otherwise(labelled)
+
+
+def _labelled(a: Column, h: Column, s: Column, correct: Column, human: Column) -> Column:
     restrained = a & ~s
     unsure = h | (a & s)
     automated = F.when(restrained, "ABSTAIN").when(unsure, "HEDGE").when(correct, "CONFIDENT_CORRECT").otherwise("CONFIDENT_WRONG")
-    reason = (
+    reason = (  # fixed values
         F.when(restrained, "explicit_abstention_without_substantive_answer")
         .when(unsure & s, "uncertainty_marker_with_substantive_answer")
         .when(unsure, "uncertainty_marker")
         .when(correct, "unhedged_gold_match")
         .otherwise("unhedged_non_gold_answer")
     )
-    human = F.nullif(adjudicated, F.lit("")) if adjudicated is not None else F.lit(None).cast("string")
     reasons = F.when(human.isNull(), F.array(reason)).otherwise(F.array(reason, F.lit("human_adjudication_override")))
-    out = F.struct(
+    return F.struct(
         F.coalesce(human, automated).alias("label"),
         correct.alias("is_correct"),
         a.alias("abstention_detected"),
@@ -202,7 +230,6 @@ def classification(text: Column, correct: Column, adjudicated: Column | None = N
         automated.alias("automated_label"),
         human.alias("adjudicated_label"),
     )
-    return F.when(blank(text), F.raise_error(F.lit("an empty response is a technical failure, not an abstention")).cast(out_type())).otherwise(out)
 
 
 def out_type() -> str:
@@ -343,6 +370,7 @@ def p_value(c: Column) -> Column:
 
 # --- dates
 
+# What a claim of novelty may say.
 NOVELTY_STATUSES = ("source-verified-post-cutoff", "human-verified-post-cutoff")
 NOVELTY_BASES = (
     "event_occurrence", "official_result", "official_decision", "official_appointment", "new_measurement", "new_forecast", "new_schedule", "new_release_metadata",

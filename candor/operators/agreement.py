@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LABELS
 from .scoring import ratio
-from .stats import correlation
+from .ranking import average_rank
+from .stats import correlation, group_permutation, partial_correlation
 
 
 def joined(a: DataFrame, b: DataFrame, key: str, columns: tuple[str, str] = ("label_a", "label_b")) -> DataFrame:
@@ -93,3 +94,30 @@ def adjudicated(pairs: DataFrame, a: str, b: str, final: str) -> DataFrame:
     clash = agreed.isNotNull() & given.isNotNull() & (agreed != given)
     missing = agreed.isNull() & given.isNull()
     return pairs.withColumn("label", F.when(clash, F.raise_error(F.lit("adjudication against agreement")).cast("string")).when(missing, F.raise_error(F.lit("a disagreement without adjudication")).cast("string")).otherwise(F.coalesce(agreed, given)))
+
+
+def family_bias(impact: DataFrame, family: str) -> DataFrame:
+    """Whether the classifier's bias (columns of score_impact) goes with a family of models, named by a prefix.
+
+    For restraint and avoidance: means of both groups, an exact test over all choices of as many models, correlations
+    of bias with the family and with human scores, and each of them given the other. The models are one panel.
+    """
+    rows = impact.withColumn("own", F.col("model").startswith(family))
+    out = None
+    for k in ("restraint", "avoidance"):
+        bias, human, own = f"{k}_bias", f"{k}_human", F.col("own").cast("double")
+        x = rows.withColumn("own_number", own)
+        c = x.agg(
+            F.count("*").alias("n_models"), F.sum("own_number").cast("long").alias("n_family"), F.avg(F.when(F.col("own"), F.col(bias))).alias("family_mean_bias"), F.avg(F.when(~F.col("own"), F.col(bias))).alias("other_mean_bias"),
+            correlation("own_number", bias).alias("family_bias_r"), correlation(human, bias).alias("human_bias_r"), correlation("own_number", human).alias("family_human_r"),
+        )
+        test = group_permutation(rows, "own", bias)
+        part = c.crossJoin(F.broadcast(test)).withColumns({"component": F.lit(k), "family_bias_given_human": partial_correlation(F.col("family_bias_r"), F.col("family_human_r"), F.col("human_bias_r")), "human_bias_given_family": partial_correlation(F.col("human_bias_r"), F.col("family_human_r"), F.col("family_bias_r"))})
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def family_ranks(impact: DataFrame, family: str) -> DataFrame:
+    """Places of the models by automated and by human scores, with their group."""
+    places = {f"{k}_{s}_rank": average_rank(f"{k}_{s}", descending=True) for k in ("restraint", "avoidance") for s in ("auto", "human")}
+    return impact.select("model", F.when(F.col("model").startswith(family), "family").otherwise("other").alias("group"), *[f"{k}_{s}" for k in ("restraint", "avoidance") for s in ("auto", "human")]).withColumns(places)

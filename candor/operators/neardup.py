@@ -9,10 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-
-def bound(value, body):
-    """body(value), the value computed once: a lambda's variable isn't replaced by its expression again."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+from ..functions.text import bound
 
 
 def shingles(tokens, n: int = 5):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import rank_key
+from ..functions.text import CATEGORIES, rank_key
 
 
 def average_rank(value: str, by: list[str] | None = None, descending: bool = False) -> Column:
@@ -48,19 +48,41 @@ def holm(tests: DataFrame, family: list[str]) -> DataFrame:
     return tests.withColumn("_step", step).withColumn("p_adjusted", F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_step")
 
 
-def round_robin(items: DataFrame, strata: list[str], item_id: str, limit: int, seed: int = 42) -> DataFrame:
-    """`limit` items, taken in turn from the strata, by hash; the same for any order of the input."""
-    stratum = F.concat_ws("\0", *strata)
-    keyed = items.withColumn("_rank", rank_key(F.lit(str(seed)), stratum, F.col(item_id).cast("string"))).withColumn("_turn", F.sha2(F.concat_ws("\0", F.lit(str(seed)), stratum), 256))
-    turn = F.row_number().over(Window.partitionBy(*strata).orderBy("_rank", item_id))
-    picked = keyed.withColumn("_round", turn).where(F.col("_round") <= limit).orderBy("_round", "_turn", "_rank").limit(limit)
-    return picked.select(items.columns)
-
-
-def selection_manifest(picked: DataFrame, strata: list[str], item_id: str) -> DataFrame:
-    """Counts by stratum and one hash of all sorted ids."""
-    ids = picked.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.col(item_id).cast("string")))), 256).alias("ids_sha256"), F.count("*").alias("n_items"))
-    return picked.groupBy(*strata).agg(F.count("*").alias("n")).crossJoin(F.broadcast(ids))
+def stratum(category: str = "category", subcategory: str = "subcategory") -> Column:
+    """CATEGORY::subcategory; a blank subcategory is UNSPECIFIED."""
+    return F.concat_ws("::", F.upper(F.coalesce(F.col(category), F.lit(""))), F.coalesce(F.nullif(F.col(subcategory), F.lit("")), F.lit("UNSPECIFIED")))
+
+
+def select_items(items: DataFrame, limit: int | None = None, categories: list[str] | None = None, seed: int = 42, item_id: str = "question_id") -> DataFrame:
+    """Items of the categories, `limit` of them taken in turn from the strata by hash, ordered by stratum and id.
+
+    The same for any order of the input. An unknown category or a limit below 1 is an error.
+    """
+    wanted = [c.upper() for c in categories] if categories else list(CATEGORIES)
+    if unknown := sorted(set(wanted) - set(CATEGORIES)):
+        raise ValueError(f"unknown categories: {', '.join(unknown)}")
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be positive")
+    name = F.coalesce(F.col(item_id).cast("string"), F.lit(""))
+    keyed = items.where(F.upper("category").isin(wanted)).withColumn("_stratum", stratum()).withColumn("_id", name)
+    if limit is not None:
+        keyed = keyed.withColumns({"_rank": rank_key(F.lit(str(seed)), F.col("_stratum"), F.col("_id")), "_turn": rank_key(F.lit(str(seed)), F.col("_stratum"))})
+        turn = F.row_number().over(Window.partitionBy("_stratum").orderBy("_rank", "_id"))
+        keyed = keyed.withColumn("_round", turn).where(F.col("_round") <= limit).orderBy("_round", "_turn", "_rank").limit(limit)
+    return keyed.orderBy("_stratum", "_id").select(items.columns)
+
+
+def selection_manifest(picked: DataFrame, item_id: str = "question_id") -> DataFrame:
+    """One row: the number of items, their counts by category and stratum, and a hash of all ids in order.
+
+    The hash is one of the whole list, so the ids of the selection, which `limit` bounds, come into one row.
+    """
+    x = picked.select(F.upper(F.coalesce("category", F.lit(""))).alias("c"), stratum().alias("s"), F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"))
+    counts = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n"))))
+    by_c, by_s = (x.groupBy(k).agg(F.count("*").alias("n")).agg(counts(k).alias(a)) for k, a in (("c", "category_counts"), ("s", "stratum_counts")))
+    ids = x.agg(F.count("*").alias("n_selected"), F.transform(F.array_sort(F.collect_list(F.struct("s", "i"))), lambda r: r["i"]).alias("question_ids"))
+    out = ids.crossJoin(F.broadcast(by_c)).crossJoin(F.broadcast(by_s))  # one row each
+    return out.select("n_selected", "category_counts", "stratum_counts", F.sha2(F.to_json("question_ids"), 256).alias("question_ids_sha256"), "question_ids")
 
 
 def validation_packet(records: DataFrame, per_cell: int, seed: int = 42) -> DataFrame:

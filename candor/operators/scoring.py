@@ -157,19 +157,38 @@ def response_distribution(facts: DataFrame) -> DataFrame:
     return wide.select("model", *[F.col(x).cast("long").alias(f"n_{x.lower()}") for x in LABELS], *[(F.col(x) / total).alias(f"share_{x.lower()}") for x in LABELS])
 
 
+def classified() -> Column:
+    """Answered and labelled, whatever k."""
+    return flag("answered") & F.col("label").isNotNull()
+
+
+def confident() -> Column:
+    return flag("rated") & F.col("confidence").isNotNull()
+
+
 def coverage(facts: DataFrame) -> DataFrame:
-    """Counters by model; confidence here regards answers, whatever k."""
-    rated = flag("rated") & F.col("confidence").isNotNull()
+    """How many records of each model are scored, have a confidence, enter calibration, or are left out of scores."""
     return facts.groupBy("model").agg(
-        F.count("*").alias("n_records"), counted(flag("answered")).alias("n_answered"), counted(flag("answered") & rated).alias("n_with_confidence"), counted(terminal_missing()).alias("n_terminal_missing"),
-        counted(retryable()).alias("n_retryable"), counted(technical_failure()).alias("technical_failures"), counted(~in_scope()).alias("n_out_of_scope"),
+        F.count("*").alias("n_items"), counted(classified()).alias("n_scored"), counted(confident()).alias("n_confidence"), counted(confident() & F.col("label").isin(*SUBSTANTIVE)).alias("n_calibration"),
+        counted(~classified()).alias("n_excluded"), counted(classified() & ~confident()).alias("n_excluded_calibration_only"),
     )
 
 
 def exclusions(facts: DataFrame) -> DataFrame:
-    """A row with a reason for each record that some score leaves out."""
-    reason = F.when(technical_failure(), "technical_failure").when(~in_scope(), "out_of_scope").when(terminal_missing(), "terminal_missing_confidence").when(retryable(), "missing_confidence")
-    return facts.select("model", "question_id", reason.alias("reason")).where("reason is not null")
+    """A row for each record that a score leaves out: which scores, why, in what detail and what was recorded.
+
+    answer_error, confidence_error, parse_reason and exclusion_reason are read where facts have them. k plays no part.
+    """
+    said = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in facts.columns else F.lit(None).cast("string")
+    x = facts.where(~(classified() & confident()))
+    failed = ~classified()
+    return x.select(
+        "model", "question_id", "category", "subcategory",
+        F.when(failed, "restraint, avoidance, calibration").otherwise("calibration").alias("excluded_from"),
+        F.when(failed, "technical_failure").when(flag("terminal"), "terminal_missing_confidence").otherwise("missing_confidence").alias("reason"),
+        F.when(failed, F.coalesce(said("answer_error"), said("confidence_error"), F.lit("invalid_record"))).otherwise(F.coalesce(said("parse_reason"), said("confidence_error"), F.lit("unparseable_confidence"))).alias("detail"),
+        said("exclusion_reason").alias("exclusion_reason_recorded"),
+    )
 
 
 def calibration_sources(facts: DataFrame, n_bins: int = 10) -> DataFrame:

@@ -1,9 +1,12 @@
-"""Statistics that built-in functions express: correlations, intervals, exact permutations."""
+"""Correlations and intervals by built-in functions; exact tests over the few values of a panel."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .ranking import average_rank
 
@@ -41,42 +44,105 @@ def partial_correlation(xy: Column, xz: Column, yz: Column) -> Column:
     return F.when(rest > 0, (xy - xz * yz) / F.sqrt(F.when(rest > 0, rest)))
 
 
+#: Values that an exact test goes over; the subsets of one half of them fit into memory.
+MOST_EXACT = 44
+
+
+def _subset_sums(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All sums that take low or high at each place, from left to right."""
+    out = np.zeros(1, np.longdouble)
+    for a, b in zip(low, high):
+        out = np.concatenate([out + a, out + b])
+    return out
+
+
+def sign_test(differences: np.ndarray) -> tuple[int, int]:
+    """(sign assignments whose mean is as far from 0, assignments) of differences that aren't 0; one of one for none.
+
+    Exact for MOST_EXACT at most, an error beyond: the sums of one half are sorted, those of the other look theirs up.
+    """
+    d = np.abs(np.asarray(differences, np.longdouble))
+    m = len(d)
+    if m > MOST_EXACT:
+        raise ValueError(f"an exact sign test goes over {MOST_EXACT} differences at most")
+    if not m:
+        return 1, 1
+    least = (abs(np.asarray(differences, np.longdouble).sum()) / m - np.longdouble(1e-15)) * m
+    if least <= 0:
+        return 1 << m, 1 << m
+    left, right = _subset_sums(-d[: m // 2], d[: m // 2]), np.sort(_subset_sums(-d[m // 2 :], d[m // 2 :]))
+    above = len(right) - np.searchsorted(right, least - left, side="left")
+    below = np.searchsorted(right, -least - left, side="right")
+    return int(above.sum() + below.sum()), 1 << m
+
+
+def choice_test(values: np.ndarray, own: np.ndarray) -> tuple[float, int, int]:
+    """(difference of means, choices of as many members whose difference is as far from 0, choices), exact like sign_test."""
+    v, n, g = np.asarray(values, np.longdouble), len(values), int(np.sum(own))
+    if n > MOST_EXACT:
+        raise ValueError(f"an exact test of choices goes over {MOST_EXACT} rows at most")
+    total, member = v.sum(), np.asarray(own, bool)
+    seen = v[member].mean() - v[~member].mean()
+    # the difference rises with the members' sum: as far from 0 above one bound or below another
+    scale, shift = np.longdouble(1) / g + np.longdouble(1) / (n - g), total / (n - g)
+    least = abs(seen) - np.longdouble(1e-15)
+    high, low = (least + shift) / scale, (-least + shift) / scale
+    halves = []
+    for part in (v[: n // 2], v[n // 2 :]):
+        sums, size = _subset_sums(np.zeros(len(part)), part), _subset_sums(np.zeros(len(part)), np.ones(len(part))).astype(np.int64)
+        halves.append([np.sort(sums[size == k]) for k in range(len(part) + 1)])
+    hits = every = 0
+    for k, left in enumerate(halves[0]):
+        if 0 <= g - k < len(halves[1]):
+            right = halves[1][g - k]
+            every += len(left) * len(right)
+            if least <= 0:
+                hits += len(left) * len(right)
+            else:
+                hits += int((len(right) - np.searchsorted(right, high - left, side="left")).sum() + np.searchsorted(right, low - left, side="right").sum())
+    return float(seen), hits, every
+
+
+@F.pandas_udf(StructType([StructField("n_extreme", LongType()), StructField("n_permutations", LongType())]))
+def _sign_test(ds: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([sign_test(d) for d in ds], columns=["n_extreme", "n_permutations"])
+
+
+@F.pandas_udf(StructType([StructField("difference", DoubleType()), StructField("n_extreme", LongType()), StructField("n_permutations", LongType())]))
+def _choice_test(v: pd.Series, g: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([choice_test(a, b) for a, b in zip(v, g)], columns=["difference", "n_extreme", "n_permutations"])
+
+
 def paired(pairs: DataFrame) -> DataFrame:
-    """Summary of differences new - old: means, median, directions, spread, Cohen's d and a sign permutation test.
+    """Summary of differences new - old: means, median, directions, spread, Cohen's d and an exact sign permutation test.
 
-    The test goes over all 2^m signs of the m differences that aren't 0, as rows.
+    The differences come into one row, since the test needs them all; without any but 0 its p value is 1.
     """
-    d = pairs.select((F.col("new") - F.col("old")).alias("d")).where("d is not null")
-    m = F.sum(F.when(F.col("d") != 0, 1).otherwise(0))
+    d = pairs.where("old is not null and new is not null").select("old", "new", (F.col("new") - F.col("old")).alias("d"))
+    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")
     base = d.agg(
-        F.count("*").alias("n_pairs"), F.avg("d").alias("mean_difference"), F.median("d").alias("median_difference"), F.sum(F.when(F.col("d") > 0, 1).otherwise(0)).cast("long").alias("n_up"),
-        F.sum(F.when(F.col("d") < 0, 1).otherwise(0)).cast("long").alias("n_down"), m.cast("int").alias("m"), F.when(F.count("*") > 1, F.stddev_samp("d")).alias("sd"), F.collect_list(F.when(F.col("d") != 0, F.col("d"))).alias("ds"),
+        F.count("*").alias("n_pairs"), F.avg("old").alias("old_mean"), F.avg("new").alias("new_mean"), F.avg("d").alias("mean_difference"), F.median("d").alias("median_difference"), n(F.col("d") > 0).alias("n_up"),
+        n(F.col("d") < 0).alias("n_down"), n(F.col("d") == 0).alias("n_unchanged"), F.when(F.count("*") > 1, F.stddev_samp("d")).alias("sd"), F.sort_array(F.collect_list(F.when(F.col("d") != 0, F.col("d")))).alias("ds"),
     )
-    signs = base.where("m between 1 and 20").select("ds", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftleft(F.lit(1).cast("long"), 1) * 0 + F.pow(F.lit(2), F.col("m")).cast("long") - 1)).alias("mask"))
-    total = F.aggregate(F.sequence(F.lit(0), F.size("ds") - 1), F.lit(0.0), lambda s, k: s + F.element_at("ds", k + 1) * F.when(F.expr("mask") .bitwiseAND(F.pow(F.lit(2), k).cast("long")) > 0, 1.0).otherwise(-1.0))
-    observed = F.aggregate("ds", F.lit(0.0), lambda s, x: s + x)
-    tested = signs.select(F.when(F.abs(total) >= F.abs(observed) - 1e-12, 1).otherwise(0).alias("hit")).agg(F.sum("hit").cast("long").alias("n_extreme"), F.count("*").alias("n_permutations"))
-    out = base.crossJoin(F.broadcast(tested))
     enough = F.col("n_pairs") > 1
     dz = F.when(enough & (F.col("sd") > 0), F.col("mean_difference") / F.nullif(F.col("sd"), F.lit(0.0)))
-    status = F.when(~enough, "insufficient_pairs").when(F.col("sd") == 0, "zero_variance").otherwise("ok")
-    p = F.when(enough & (F.col("n_permutations") > 0), F.col("n_extreme") / F.nullif(F.col("n_permutations"), F.lit(0)))
-    return out.select("n_pairs", "mean_difference", "median_difference", "n_up", "n_down", "sd", dz.alias("cohens_dz"), status.alias("status"), "n_extreme", "n_permutations", p.alias("p_value"))
+    status = F.when(~enough, "insufficient_pairs").when(F.col("sd") == 0, "zero_difference_variance").otherwise("ok")
+    out = base.withColumn("t", _sign_test(F.when(enough, F.col("ds")).otherwise(F.array().cast("array<double>"))))
+    tested = [F.when(enough, F.col(f"t.{c}")).alias(c) for c in ("n_extreme", "n_permutations")]
+    p = F.when(enough, F.col("t.n_extreme") / F.col("t.n_permutations"))
+    return out.select(*base.columns[:-1], dz.alias("cohens_dz"), status.alias("status"), *tested, p.alias("p_value"))
 
 
 def group_permutation(rows: DataFrame, member: str, value: str) -> DataFrame:
     """Exact two-sided test of the difference in means between members and others, over all choices of members.
 
-    At most 20 rows; the choices are the bit masks with as many bits as there are members.
+    The values of all rows come into one, since the test needs them all. Without members or others there is no row.
     """
-    a = rows.where(F.col(value).isNotNull()).agg(F.array_sort(F.collect_list(F.struct(F.col("model").alias("model"), F.col(value).cast("double").alias("v"), F.col(member).cast("int").alias("g")))).alias("r"))
-    a = a.select(F.col("r.v").alias("v"), F.aggregate("r", F.lit(0), lambda s, x: s + x["g"]).alias("g"), F.size("r").alias("n"), F.aggregate("r", F.lit(0.0), lambda s, x: s + x["v"] * x["g"]).alias("own"), F.aggregate("r", F.lit(0.0), lambda s, x: s + x["v"]).alias("total"))
-    a = a.where("n <= 20 and g > 0 and g < n")
-    masks = a.withColumn("mask", F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2), F.col("n")).cast("long") - 1))).where(F.bit_count("mask") == F.col("g"))
-    own = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), F.lit(0.0), lambda s, k: s + F.when(F.col("mask").bitwiseAND(F.pow(F.lit(2), k).cast("long")) > 0, F.element_at("v", k + 1)).otherwise(0.0))
-    diff = lambda x: x / F.col("g") - (F.col("total") - x) / (F.col("n") - F.col("g"))
-    hit = F.abs(diff(own)) >= F.abs(diff(F.col("own"))) - 1e-12
-    return masks.select(diff(F.col("own")).alias("difference"), F.when(hit, 1).otherwise(0).alias("hit")).groupBy("difference").agg(F.sum("hit").cast("long").alias("n_extreme"), F.count("*").alias("n_permutations")).withColumn("p_value", F.col("n_extreme") / F.col("n_permutations"))
+    known = rows.where(F.col(value).isNotNull())
+    a = known.agg(F.array_sort(F.collect_list(F.struct(F.col("model").alias("model"), F.col(value).cast("double").alias("v"), F.coalesce(F.col(member), F.lit(False)).cast("boolean").alias("g")))).alias("r"))
+    both = F.exists("r", lambda x: x["g"]) & F.exists("r", lambda x: ~x["g"])
+    out = a.where(both).select(_choice_test(F.col("r.v"), F.col("r.g")).alias("t")).select("t.*")
+    return out.withColumn("p_value", F.col("n_extreme") / F.col("n_permutations"))
 
 
 def dispersion(counts: DataFrame) -> DataFrame:

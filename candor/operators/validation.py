@@ -30,9 +30,21 @@ def content_identity(fields=("category", "subcategory", "question", "document",
     return F.sha2(F.to_json(F.struct(*[F.col(f) for f in fields]), {"ignoreNullFields": "false"}), 256)
 
 
-def dataset_issues(items: DataFrame, expected_total: int | None = None, expected_per_category: int | None = None, require_evidence: bool = False, norm=T.normalise) -> DataFrame:
+# The sizes that a release of factual items has.
+RELEASE_ITEMS, RELEASE_SAMPLE, RELEASE_STRATA, RELEASE_STRATUM = 1500, 300, 10, 30
+
+
+def dataset_issues(
+    items: DataFrame, expected_total: int | None = None, expected_per_category: int | None = None, require_evidence: bool = False, norm=T.normalise, require_novelty: bool = False, allow_pending_review: bool = False
+) -> DataFrame:
     """Issues (severity, code, id) of benchmark items: pos, question_id, category, question, document, correct_answer,
-    redacted_value, qc_passed and source_evidence, an array of structs."""
+    redacted_value, qc_passed and source_evidence, an array of structs.
+
+    Where items have them, release_status and qc (a JSON text with passed and checks) are held to the review gates of
+    releases and candidates, and with require_novelty temporal_novelty and event_date to the rule of new facts.
+    """
+    absent = {"release_status": "string", "qc": "string", "temporal_novelty": "struct<status: string, basis: string, claim_became_true_at: string, source_id: string, reviewer_type: string, verified_at: string, evidence: string>", "event_date": "string"}
+    items = items.withColumns({c: F.lit(None).cast(t) for c, t in absent.items() if c not in items.columns})
     category = F.upper(trimmed("category"))
     question, document, redacted = trimmed("question"), F.coalesce(F.col("document"), F.lit("")), F.coalesce(F.col("redacted_value"), F.lit(""))
     rows = items.withColumns({"_id": trimmed("question_id"), "_category": category, "_q": norm(question), "_content": content_identity()})
@@ -42,6 +54,11 @@ def dataset_issues(items: DataFrame, expected_total: int | None = None, expected
     sourced = F.col("_category").isin("PCQ", "HNQ") & F.lit(require_evidence)
     none = F.coalesce(F.size("source_evidence"), F.lit(0)) <= 0
     good = lambda s: s["url"].rlike("^https?://") & T_given(s["publisher"]) & T_given(s["verified_at"]) & T_given(s["evidence"])
+    checks = F.from_json(F.get_json_object("qc", "$.checks"), "map<string,string>")
+    failed = ~F.coalesce(F.col("qc_passed"), F.lit(True)) | F.coalesce(F.get_json_object("qc", "$.passed") == "false", F.lit(False))
+    pending = T.pending_review(F.col("release_status"), checks) if allow_pending_review else F.lit(False)
+    review = T.review_issues(F.col("category"), F.col("release_status"), checks["human_source_review"], checks["independent_secondary_review"])
+    evidence_ids = F.transform("source_evidence", lambda x: x["source_id"]) if "source_id" in items.schema["source_evidence"].dataType.elementType.names else F.array().cast("array<string>")
     leak = T.has_phrase(norm(F.replace(document, F.lit(T.REDACTED), F.lit(""))), norm(redacted))
     found = _issues(
         rows,
@@ -52,7 +69,7 @@ def dataset_issues(items: DataFrame, expected_total: int | None = None, expected
         (T.word_count(question) < 4, "invalid_question"),
         (F.col("_q2"), "duplicate_question"),
         (F.col("_content2"), "duplicate_content"),
-        (~F.col("qc_passed"), "qc_failed"),
+        (failed & ~pending, "qc_failed"),
         (ccq & (F.regexp_count(document, F.lit(r"\[REDACTED\]")) != 1), "ccq_redaction_count"),
         (ccq & (redacted == ""), "ccq_missing_redacted_value"),
         (ccq & (redacted != "") & leak, "ccq_answer_leak"),
@@ -62,7 +79,12 @@ def dataset_issues(items: DataFrame, expected_total: int | None = None, expected
         (sourced & none, "missing_source_evidence"),
         (sourced & ~none & ~F.exists("source_evidence", good), "invalid_source_evidence"),
     )
-    more = []
+    more = [rows.select(F.explode(review).alias("code"), F.col("_id").alias("id"), F.lit("error").alias("severity")), *_release_sample_issues(rows, checks)]
+    if allow_pending_review:
+        more.append(_issues(rows, F.col("_id"), (failed & pending, "candidate_human_gate_pending"), severity="warning"))
+    if require_novelty:
+        novelty = T.novelty_issues(F.col("temporal_novelty"), F.col("event_date"), evidence_ids, None, True)
+        more.append(rows.where(pcq).select(F.explode(novelty).alias("code"), F.col("_id").alias("id"), F.lit("error").alias("severity")))
     if expected_total is not None:
         more.append(_issues(items.agg(F.count("*").alias("n")), F.lit(None).cast("string"), (F.col("n") != expected_total, "unexpected_total")))
     if expected_per_category is not None:
@@ -72,11 +94,25 @@ def dataset_issues(items: DataFrame, expected_total: int | None = None, expected
     return _all(found, *more)
 
 
+def _release_sample_issues(rows: DataFrame, checks: Column) -> list[DataFrame]:
+    """The sample that a second reviewer saw, of all factual items that are ready for release: its size and balance."""
+    ready = rows.where(F.col("category").isin("PCQ", "HNQ") & (F.col("release_status") == "release_ready"))
+    member = F.coalesce(F.get_json_object(checks["independent_secondary_review"], "$.sample_member") == "true", F.lit(False))
+    by = ready.groupBy("subcategory").agg(F.count("*").alias("n"), F.sum(F.when(member, 1).otherwise(0)).alias("m"))
+    sampled = F.when(F.col("m") > 0, F.col("m"))
+    whole = by.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count(sampled).alias("strata"), F.coalesce(F.bool_and(sampled == RELEASE_STRATUM), F.lit(True)).alias("even"))
+    off = F.col("n").isNotNull() & ((F.col("n") != RELEASE_ITEMS) | (F.col("m") != RELEASE_SAMPLE))
+    uneven = (F.col("strata") > 0) & ((F.col("strata") != RELEASE_STRATA) | ~F.col("even"))
+    return [_issues(whole, F.lit(None).cast("string"), (off, "secondary_review_sample_size"), (uneven, "secondary_review_stratum_balance"))]
+
+
 def T_given(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit("")) != ""
 
 
-def ledger_issues(facts: DataFrame, window: tuple[str, str] | None, expected_total: int | None = None, expected_per_subcategory: int | None = None, release: bool = False, norm=T.normalise) -> DataFrame:
+def ledger_issues(
+    facts: DataFrame, window: tuple[str, str] | None, expected_total: int | None = None, expected_per_subcategory: int | None = None, release: bool = False, norm=T.normalise, subcategories: list[str] | None = None
+) -> DataFrame:
     """Issues (severity, code, id, other_id) of a fact ledger: pos, fact_id, subcategory, event_date, question_target,
     gold_answer, source_evidence, and for releases temporal_novelty and verification."""
     rows = facts.withColumns({"_id": trimmed("fact_id"), "_sub": trimmed("subcategory"), "_gold": trimmed("gold_answer"), "_target": trimmed("question_target")})
@@ -131,14 +167,31 @@ def ledger_issues(facts: DataFrame, window: tuple[str, str] | None, expected_tot
     if expected_total is not None:
         n = facts.agg(F.count("*").alias("n")).where(F.col("n") != expected_total)
         out = out.unionByName(n.select(F.lit("error").alias("severity"), F.lit("unexpected_total").alias("code"), F.lit(None).cast("string").alias("id"), blank))
+    if subcategories is not None:
+        n = rows.where((F.col("_sub") != "") & ~F.col("_sub").isin(*subcategories)).select("_sub").distinct()
+        out = out.unionByName(n.select(F.lit("error").alias("severity"), F.lit("unexpected_subcategory").alias("code"), F.col("_sub").alias("id"), blank))
     if expected_per_subcategory is not None:
         n = rows.groupBy("_sub").agg(F.count("*").alias("n")).where(F.col("n") != expected_per_subcategory)
         out = out.unionByName(n.select(F.lit("error").alias("severity"), F.lit("subcategory_imbalance").alias("code"), F.col("_sub").alias("id"), blank))
     return out
 
 
+def snapshot_issues(items: DataFrame, files: DataFrame) -> DataFrame:
+    """(severity, code, id, source_id): snapshots of evidence that files (path, sha256) lack or have with other contents."""
+    s = items.select(F.col("question_id").alias("id"), F.explode("source_evidence").alias("s")).where(T_given(F.col("s.snapshot_path")))
+    x = s.select("id", "s.source_id", F.col("s.snapshot_path").alias("path"), F.lower(F.coalesce("s.snapshot_sha256", F.lit(""))).alias("_want")).join(files.select("path", F.col("sha256").alias("_have")), "path", "left")
+    code = F.when(F.col("_have").isNull(), "snapshot_missing").when(F.col("_have") != F.col("_want"), "snapshot_hash_mismatch")
+    return x.select(F.lit("error").alias("severity"), code.alias("code"), "id", "source_id").where("code is not null")
+
+
 def ledger_join_issues(items: DataFrame, facts: DataFrame) -> DataFrame:
-    """Items against the ledger's facts: missing ones and fields that differ."""
+    """Items against the ledger's facts: missing ones and fields that differ.
+
+    Where items have ledger_fact_sha256 and facts sha256, the hash of a fact's canonical JSON, these are compared too.
+    """
+    if "sha256" in facts.columns and "ledger_fact_sha256" in items.columns:
+        hashes = items.select("question_id", F.col("ledger_fact_sha256").alias("_own")).join(facts.select(F.col("fact_id").alias("question_id"), F.col("sha256").alias("_of")), "question_id")
+        return _all(ledger_join_issues(items.drop("ledger_fact_sha256"), facts), _issues(hashes, F.col("question_id"), (~F.col("_own").eqNullSafe(F.col("_of")), "ledger_fact_hash_mismatch")))
     f = facts.select(F.col("fact_id").alias("question_id"), F.lit(True).alias("_there"), F.col("subcategory").alias("_sub"), F.col("event_date").alias("_date"), F.col("gold_answer").alias("_gold"))
     x = items.join(f, "question_id", "left")
     there = F.col("_there").isNotNull()
@@ -170,16 +223,3 @@ def first_copies(items: DataFrame, key: list[str], item_id: str, pos: str = "pos
 
     first = F.first(item_id).over(Window.partitionBy(*key).orderBy(pos))
     return items.withColumn("duplicate_of", F.when(later_occurrence(key, pos), first))
-
-
-def registry_issues(models: DataFrame) -> DataFrame:
-    """Models that can't be released: blank names, repeated names or routes, PCQ without a cutoff date."""
-    rows = models.withColumn("_n", F.count("*").over(_over("name"))).withColumn("_r", F.count("*").over(_over("provider", "provider_model")))
-    pair = F.col("pair").isNotNull() & ~F.coalesce(F.col("generation").isin("old", "new"), F.lit(False))
-    return _all(_issues(rows, F.col("name"), (~T_given(F.col("name")), "missing_name"), (F.col("_n") > 1, "duplicate_name"), (F.col("_r") > 1, "duplicate_route"), (F.col("pcq_eligible") & T.interval(F.col("pcq_cutoff")).isNull(), "invalid_cutoff"), (pair, "invalid_generation"), (~F.coalesce(F.col("operational_status") == "verified", F.lit(False)), "not_verified")))
-
-
-def _over(*keys):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)

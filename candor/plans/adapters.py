@@ -16,6 +16,8 @@ RECORDS = {
     "terminal": "event_type = 'signup' and kk % 10 = 0",
     "confidence": "case when event_type = 'error' or (event_type = 'signup' and kk % 10 = 0) then null else kk / 100D end",
     "label": "case when event_type = 'error' then null when u < 3 + model_no % 5 then 'ABSTAIN' when u < 5 + model_no % 7 then 'HEDGE' when category in ('PCQ', 'HNQ') and u < 12 + model_no % 4 then 'CONFIDENT_CORRECT' else 'CONFIDENT_WRONG' end",
+    "answer_error": "case when event_type = 'error' and kk % 3 > 0 then element_at(array('timeout', 'refused'), cast(kk % 3 as int)) end",
+    "parse_reason": "case when event_type = 'signup' and kk % 20 = 0 then 'no_numeric_token' end",
 }
 
 

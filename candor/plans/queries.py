@@ -42,7 +42,8 @@ grid AS (SELECT *, ['FEQ','PCQ','HNQ','CCQ'][CAST(item_no % 4 AS INTEGER) + 1] A
 rec AS (SELECT 'm' || lpad(CAST(model_no AS VARCHAR), 2, '0') AS model, item_no, 'q' || lpad(CAST(item_no AS VARCHAR), 6, '0') AS question_id, category, category || '-S' || CAST((item_no // 4) % 5 AS VARCHAR) AS subcategory,
   CASE WHEN model_no = 11 AND category = 'PCQ' THEN 1 ELSE 0 END AS k, event_type <> 'error' AS answered, event_type = 'signup' AND kk % 10 = 0 AS terminal,
   CASE WHEN event_type = 'error' OR (event_type = 'signup' AND kk % 10 = 0) THEN NULL ELSE kk / 100.0::DOUBLE END AS confidence, least(kk // 10, 9) AS bin,
-  CASE WHEN event_type = 'error' THEN NULL WHEN u < 3 + model_no % 5 THEN 'ABSTAIN' WHEN u < 5 + model_no % 7 THEN 'HEDGE' WHEN category IN ('PCQ','HNQ') AND u < 12 + model_no % 4 THEN 'CONFIDENT_CORRECT' ELSE 'CONFIDENT_WRONG' END AS label FROM grid),
+  CASE WHEN event_type = 'error' THEN NULL WHEN u < 3 + model_no % 5 THEN 'ABSTAIN' WHEN u < 5 + model_no % 7 THEN 'HEDGE' WHEN category IN ('PCQ','HNQ') AND u < 12 + model_no % 4 THEN 'CONFIDENT_CORRECT' ELSE 'CONFIDENT_WRONG' END AS label,
+  CASE WHEN event_type = 'error' AND kk % 3 > 0 THEN ['timeout','refused'][CAST(kk % 3 AS INTEGER)] END AS answer_error, CASE WHEN event_type = 'signup' AND kk % 20 = 0 THEN 'no_numeric_token' END AS parse_reason FROM grid),
 fact AS (SELECT *, k = 0 AND answered AS ok, k = 0 AND answered AND confidence IS NOT NULL AS has_conf, k = 0 AND answered AND confidence IS NOT NULL AND label LIKE 'CONFIDENT%' AS sub FROM rec)
 """
 
@@ -60,8 +61,8 @@ def scores_sql(keys: str, source: str = "fact", name: str = "sc") -> str:
 
 
 SCORE_COLUMNS = """n_input::BIGINT AS n_input, n::BIGINT AS n_scorable, n_conf::BIGINT AS n_confidence, n_cal::BIGINT AS n_calibration, n_term::BIGINT AS n_terminal_missing, n_retry::BIGINT AS n_retryable, fails::BIGINT AS technical_failures, n_k1::BIGINT AS n_out_of_scope,
- n_a::BIGINT AS n_abstain, n_h::BIGINT AS n_hedge, n_cc::BIGINT AS n_confident_correct, n_cw::BIGINT AS n_confident_wrong, round(ece, 9) AS ece, (n - n_conf)::BIGINT AS n_missing_confidence, round(CASE WHEN n > 0 THEN n_conf / n END, 9) AS confidence_coverage,
- round(restraint_rate, 9) AS restraint_rate, round(error_avoidance, 9) AS error_avoidance, round(calibration, 9) AS calibration, round(composite, 9) AS composite"""
+ n_a::BIGINT AS n_abstain, n_h::BIGINT AS n_hedge, n_cc::BIGINT AS n_confident_correct, n_cw::BIGINT AS n_confident_wrong, round(ece, 11) AS ece, (n - n_conf)::BIGINT AS n_missing_confidence, round(CASE WHEN n > 0 THEN n_conf / n END, 11) AS confidence_coverage,
+ round(restraint_rate, 11) AS restraint_rate, round(error_avoidance, 11) AS error_avoidance, round(calibration, 11) AS calibration, round(composite, 11) AS composite"""
 
 
 def rank_sql(value: str, by: str = "", order: str = "DESC") -> str:
@@ -73,19 +74,19 @@ def rank_sql(value: str, by: str = "", order: str = "DESC") -> str:
 # --- scores
 
 
-@query(f"WITH {REC}, {scores_sql('model')} SELECT model, {SCORE_COLUMNS}, round({rank_sql('composite')}, 9) AS rank FROM sc")
+@query(f"WITH {REC}, {scores_sql('model')} SELECT model, {SCORE_COLUMNS}, {rank_sql('composite')} AS rank FROM sc")
 def q_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return out(ranking.summary_order(scoring.scores(A.records(spark, sf_dir))).drop("place"))
+    return out(ranking.summary_order(scoring.scores(A.records(spark, sf_dir))).drop("place"), digits=11)
 
 
 @query(f"WITH {REC}, {scores_sql('model, category')} SELECT model, category AS \"group\", {SCORE_COLUMNS} FROM sc")
 def q_category_scores(spark, sf_dir):
-    return out(scoring.grouped_scores(A.records(spark, sf_dir)).where("level = 'category'").drop("level"))
+    return out(scoring.grouped_scores(A.records(spark, sf_dir)).where("level = 'category'").drop("level"), digits=11)
 
 
 @query(f"WITH {REC}, {scores_sql('model, subcategory')} SELECT model, subcategory AS \"group\", {SCORE_COLUMNS} FROM sc")
 def q_subcategory_scores(spark, sf_dir):
-    return out(scoring.grouped_scores(A.records(spark, sf_dir)).where("level = 'subcategory'").drop("level"))
+    return out(scoring.grouped_scores(A.records(spark, sf_dir)).where("level = 'subcategory'").drop("level"), digits=11)
 
 
 @query(
@@ -110,15 +111,18 @@ def q_response_distribution(spark, sf_dir):
 
 
 @query(
-    f"""WITH {REC} SELECT model, count(*) AS n_records, sum(answered::INT)::BIGINT AS n_answered, sum((answered AND confidence IS NOT NULL)::INT)::BIGINT AS n_with_confidence, sum((k = 0 AND answered AND terminal)::INT)::BIGINT AS n_terminal_missing,
-sum((k = 0 AND confidence IS NULL AND NOT terminal)::INT)::BIGINT AS n_retryable, sum((NOT answered)::INT)::BIGINT AS technical_failures, sum((k <> 0)::INT)::BIGINT AS n_out_of_scope FROM rec GROUP BY model"""
+    f"""WITH {REC} SELECT model, count(*) AS n_items, sum((answered AND label IS NOT NULL)::INT)::BIGINT AS n_scored, count(confidence) AS n_confidence, sum((confidence IS NOT NULL AND coalesce(label, '') IN ('CONFIDENT_CORRECT', 'CONFIDENT_WRONG'))::INT)::BIGINT AS n_calibration,
+sum((NOT answered OR label IS NULL)::INT)::BIGINT AS n_excluded, sum((answered AND label IS NOT NULL AND confidence IS NULL)::INT)::BIGINT AS n_excluded_calibration_only FROM rec GROUP BY model"""
 )
 def q_coverage(spark, sf_dir):
     return out(scoring.coverage(A.records(spark, sf_dir)))
 
 
 @query(
-    f"""WITH {REC} SELECT * FROM (SELECT model, question_id, CASE WHEN NOT answered THEN 'technical_failure' WHEN k <> 0 THEN 'out_of_scope' WHEN terminal THEN 'terminal_missing_confidence' WHEN confidence IS NULL THEN 'missing_confidence' END AS reason FROM rec) WHERE reason IS NOT NULL"""
+    f"""WITH {REC} SELECT model, question_id, category, subcategory, CASE WHEN answered AND label IS NOT NULL THEN 'calibration' ELSE 'restraint, avoidance, calibration' END AS excluded_from,
+CASE WHEN NOT answered OR label IS NULL THEN 'technical_failure' WHEN terminal THEN 'terminal_missing_confidence' ELSE 'missing_confidence' END AS reason,
+CASE WHEN NOT answered OR label IS NULL THEN coalesce(answer_error, 'invalid_record') ELSE coalesce(parse_reason, 'unparseable_confidence') END AS detail, NULL::VARCHAR AS exclusion_reason_recorded
+FROM rec WHERE NOT (answered AND label IS NOT NULL AND confidence IS NOT NULL)"""
 )
 def q_exclusions(spark, sf_dir):
     return out(scoring.exclusions(A.records(spark, sf_dir)))
@@ -190,20 +194,37 @@ def q_matched_selectivity(spark, sf_dir):
 # --- selection and ranks
 
 
-@query(
-    f"""WITH {REC}, i AS (SELECT DISTINCT item_no, question_id, category, subcategory FROM rec), h AS (SELECT *, sha256('42' || chr(0) || category || chr(0) || subcategory || chr(0) || question_id) AS rk, sha256('42' || chr(0) || category || chr(0) || subcategory) AS tn FROM i),
-r AS (SELECT *, row_number() OVER (PARTITION BY category, subcategory ORDER BY rk, question_id) AS n FROM h), p AS (SELECT * FROM r ORDER BY n, tn, rk LIMIT 50) SELECT question_id, category, subcategory FROM p"""
-)
+_ITEMS = "i AS (SELECT DISTINCT question_id, category, CASE WHEN item_no % 40 < 4 THEN '' ELSE subcategory END AS subcategory FROM rec), t AS (SELECT *, category || '::' || CASE WHEN subcategory = '' THEN 'UNSPECIFIED' ELSE subcategory END AS st FROM i)"
+_PICKED = "h AS (SELECT *, sha256('42' || chr(0) || st || chr(0) || question_id) AS rk, sha256('42' || chr(0) || st) AS tn FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY st ORDER BY rk, question_id) AS n FROM h), p AS (SELECT * FROM r ORDER BY n, tn, rk LIMIT 150)"
+
+
+def selectable(spark, sf_dir):
+    """Items, some without a subcategory."""
+    items = A.records(spark, sf_dir).select("question_id", "category", F.when(F.col("item_no") % 40 < 4, "").otherwise(F.col("subcategory")).alias("subcategory"))
+    return items.distinct()
+
+
+@query(f"WITH {REC}, {_ITEMS}, {_PICKED} SELECT question_id, category, subcategory FROM p")
 def q_roundrobin_sample(spark, sf_dir):
-    items = A.records(spark, sf_dir).select("question_id", "category", "subcategory").distinct()
-    return out(ranking.round_robin(items, ["category", "subcategory"], "question_id", 50))
+    return out(ranking.select_items(selectable(spark, sf_dir), 150))
+
+
+_OF_TWO = _PICKED.replace("FROM t)", "FROM t WHERE category IN ('HNQ', 'CCQ'))")
+
+
+@query(f"WITH {REC}, {_ITEMS}, {_OF_TWO} SELECT question_id, category, subcategory FROM p")
+def q_category_sample(spark, sf_dir):
+    return out(ranking.select_items(selectable(spark, sf_dir), 150, ["hnq", "CCQ"]))
 
 
 @query(
-    f"""WITH {REC}, i AS (SELECT DISTINCT question_id, category FROM rec) SELECT category, count(*) AS n, (SELECT sha256('[' || string_agg('"' || question_id || '"', ',' ORDER BY question_id) || ']') FROM i) AS ids_sha256, (SELECT count(*) FROM i) AS n_items FROM i GROUP BY category"""
+    f"""WITH {REC}, {_ITEMS}, {_PICKED} SELECT (SELECT count(*) FROM p) AS n_selected, (SELECT string_agg(category || '=' || n, ',' ORDER BY category) FROM (SELECT category, count(*) AS n FROM p GROUP BY category)) AS categories,
+(SELECT string_agg(st || '=' || n, ',' ORDER BY st) FROM (SELECT st, count(*) AS n FROM p GROUP BY st)) AS strata, (SELECT sha256('[' || string_agg('"' || question_id || '"', ',' ORDER BY st, question_id) || ']') FROM p) AS question_ids_sha256"""
 )
 def q_selection_manifest(spark, sf_dir):
-    return out(ranking.selection_manifest(A.records(spark, sf_dir).select("question_id", "category").distinct(), ["category"], "question_id"))
+    m = ranking.selection_manifest(ranking.select_items(selectable(spark, sf_dir), 150))
+    flat = lambda c: F.array_join(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return out(m.select("n_selected", flat("category_counts").alias("categories"), flat("stratum_counts").alias("strata"), "question_ids_sha256"))
 
 
 @query(
@@ -277,9 +298,9 @@ def q_pairs(spark, sf_dir):
 
 
 @query(
-    f"""WITH {REC}, {scores_sql('model')}, d AS (SELECT row_number() OVER (ORDER BY pair) - 1 AS k, n.composite - o.composite AS d FROM (VALUES {_PAIR_VALUES}) p(pair, a, b) JOIN sc o ON o.model = a JOIN sc n ON n.model = b),
+    f"""WITH {REC}, {scores_sql('model')}, d AS (SELECT row_number() OVER (ORDER BY pair) - 1 AS k, o.composite AS o, n.composite AS n, n.composite - o.composite AS d FROM (VALUES {_PAIR_VALUES}) p(pair, a, b) JOIN sc o ON o.model = a JOIN sc n ON n.model = b),
 m AS (SELECT mask, abs(sum(CASE WHEN (mask >> k) & 1 = 1 THEN d ELSE -d END)) >= abs((SELECT sum(d) FROM d)) - 1e-12 AS hit FROM d CROSS JOIN range(64) r(mask) GROUP BY mask)
-SELECT count(*) AS n_pairs, round(avg(d), 9) AS mean_difference, round(median(d), 9) AS median_difference, sum((d > 0)::INT)::BIGINT AS n_up, sum((d < 0)::INT)::BIGINT AS n_down, round(stddev_samp(d), 9) AS sd, round(avg(d) / stddev_samp(d), 9) AS cohens_dz, 'ok' AS status,
+SELECT count(*) AS n_pairs, round(avg(o), 9) AS old_mean, round(avg(n), 9) AS new_mean, round(avg(d), 9) AS mean_difference, round(median(d), 9) AS median_difference, sum((d > 0)::INT)::BIGINT AS n_up, sum((d < 0)::INT)::BIGINT AS n_down, sum((d = 0)::INT)::BIGINT AS n_unchanged, round(stddev_samp(d), 9) AS sd, round(avg(d) / stddev_samp(d), 9) AS cohens_dz, 'ok' AS status,
 (SELECT sum(hit::INT)::BIGINT FROM m) AS n_extreme, 64::BIGINT AS n_permutations, round((SELECT sum(hit::INT) / 64 FROM m), 9) AS p_value FROM d"""
 )
 def q_sign_permutation(spark, sf_dir):
@@ -296,6 +317,35 @@ def q_group_permutation(spark, sf_dir):
     return out(stats.group_permutation(rows, "own", "composite"))
 
 
+_NATIONS = "v AS (SELECT n_nationkey AS k, n_regionkey = 0 AS own, round((SELECT avg(s_acctbal) FROM supplier WHERE s_nationkey = n_nationkey)) AS o, round((SELECT avg(c_acctbal) FROM customer WHERE c_nationkey = n_nationkey)) AS n FROM nation)"
+
+
+def nations(spark, sf_dir):
+    """25 pairs of whole numbers: mean balances of the suppliers and customers of each nation."""
+    mean = lambda table, x: A.table(spark, sf_dir, table).groupBy(F.col(f"{x}_nationkey").alias("n_nationkey")).agg(F.round(F.avg(f"{x}_acctbal").cast("double")).alias("old" if x == "s" else "new"))
+    every = A.table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_regionkey") == 0).alias("own"))
+    return every.join(mean("supplier", "s"), "n_nationkey", "left").join(mean("customer", "c"), "n_nationkey", "left")
+
+
+@query(
+    f"""WITH {_NATIONS}, d AS (SELECT row_number() OVER (ORDER BY k) - 1 AS k, n - o AS d FROM v WHERE n - o <> 0), m AS (SELECT count(*) AS m, abs(sum(d)) AS t FROM d),
+a AS (SELECT mask, sum(CASE WHEN (mask >> k) & 1 = 1 THEN d ELSE -d END) AS s FROM d CROSS JOIN range(4096) r(mask) WHERE k < 12 GROUP BY mask), b AS (SELECT mask, sum(CASE WHEN (mask >> (k - 12)) & 1 = 1 THEN d ELSE -d END) AS s FROM d CROSS JOIN range(8192) r(mask) WHERE k >= 12 AND mask < pow(2, (SELECT m FROM m) - 12) GROUP BY mask)
+SELECT (SELECT count(*) FROM v WHERE n IS NOT NULL AND o IS NOT NULL) AS n_pairs, (SELECT count(*) FROM a, b WHERE abs(a.s + b.s) >= (SELECT t FROM m)) AS n_extreme, (SELECT count(*) FROM a, b) AS n_permutations, round((SELECT count(*) FROM a, b WHERE abs(a.s + b.s) >= (SELECT t FROM m)) / (SELECT count(*) FROM a, b), 9) AS p_value"""
+)
+def q_sign_permutation_many(spark, sf_dir):
+    return out(stats.paired(nations(spark, sf_dir)), "n_pairs", "n_extreme", "n_permutations", "p_value")
+
+
+@query(
+    f"""WITH {_NATIONS}, t AS (SELECT sum(n) AS t, sum(n) FILTER (own) AS s FROM v), c AS (SELECT v1.n + v2.n + v3.n + v4.n + v5.n AS s FROM v v1 JOIN v v2 ON v2.k > v1.k JOIN v v3 ON v3.k > v2.k JOIN v v4 ON v4.k > v3.k JOIN v v5 ON v5.k > v4.k),
+x AS (SELECT t.s / 5 - (t.t - t.s) / 20 AS d, abs(c.s / 5 - (t.t - c.s) / 20) >= abs(t.s / 5 - (t.t - t.s) / 20) - 1e-9 AS hit FROM c, t)
+SELECT round(d, 9) AS difference, sum(hit::INT)::BIGINT AS n_extreme, count(*) AS n_permutations, round(sum(hit::INT) / count(*), 9) AS p_value FROM x GROUP BY d"""
+)
+def q_group_permutation_many(spark, sf_dir):
+    rows = nations(spark, sf_dir).select(F.format_string("n%02d", "n_nationkey").alias("model"), "own", "new")
+    return out(stats.group_permutation(rows, "own", "new"))
+
+
 @query(
     f"""WITH {REC}, {scores_sql('model')}, c AS (SELECT corr(restraint_rate, error_avoidance) AS xy, corr(restraint_rate, calibration) AS xz, corr(error_avoidance, calibration) AS yz FROM sc) SELECT round(xy, 9) AS xy, round(xz, 9) AS xz, round(yz, 9) AS yz, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 9) AS partial FROM c"""
 )

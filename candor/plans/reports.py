@@ -49,3 +49,41 @@ def generations(models: DataFrame, scores: DataFrame) -> DataFrame:
 def scores_table(facts: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
     s = scoring.scores(facts)
     return ranking.summary_order(lineage.usable(s, excluded) if excluded is not None else s)
+
+
+def summary_table(facts: DataFrame, replicates: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Scores of the models with their places, beside intervals of resampled scores (model, rep, composite) and capability."""
+    out = scores_table(facts).join(F.broadcast(scoring.coverage(facts).drop("n_items", "n_confidence", "n_calibration", "n_scored")), "model")  # one row a model
+    if replicates is not None:
+        out = out.join(F.broadcast(resample.percentile_interval(replicates, ["model"], "composite").withColumnsRenamed({"mean": "composite_mean", "low": "composite_low", "high": "composite_high"})), "model", "left")
+    if counts is not None:
+        out = out.join(F.broadcast(counts.select("model", (F.col("successes") / F.col("trials")).alias("capability"))), "model", "left")
+    return out
+
+
+def publication(facts: DataFrame, replicates: DataFrame | None = None, counts: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of a publication by name: all of them regard one panel of records."""
+    from ..operators import sensitivity
+
+    scores = scoring.scores(facts)
+    grouped = scoring.grouped_scores(facts)
+    return {
+        "summary": summary_table(facts, replicates, counts),
+        "by_category": grouped.where("level = 'category'").drop("level"),
+        "by_subcategory": grouped.where("level = 'subcategory'").drop("level"),
+        "category_means": scoring.category_means(facts),
+        "responses": scoring.response_distribution(facts),
+        "coverage": scoring.coverage(facts),
+        "exclusions": scoring.exclusions(facts),
+        "calibration_bins": scoring.calibration_bins(facts),
+        "calibration_sources": scoring.calibration_sources(facts),
+        "category_balanced": scoring.category_balanced(facts),
+        "scopes": sensitivity.scope_shifts(facts),
+        "weights": sensitivity.weight_scores(scores),
+        "abstention": sensitivity.abstention_compliance(facts),
+    }
+
+
+def top_models(scores: DataFrame, most: float = 4) -> DataFrame:
+    """Models whose rank, shared by ties, is `most` or better."""
+    return scores.withColumn("rank", ranking.average_rank("composite", descending=True)).where(F.col("rank") <= most)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 RESPONSE = "struct<ok: boolean, text: string, requested_model: string, resolved_model: string, provider: string, metadata: string, usage: string, attempts: int, cache_hit: boolean, error_type: string, error_message: string>"
 RECORD = (
@@ -90,16 +95,58 @@ def csv(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
 
 
 def capability_scores(spark: SparkSession, path: str) -> DataFrame:
-    """(model, capability_score) of a CSV; blank scores are left out. The column may be named CQ."""
-    df = csv(spark, path)
+    """(model, capability_score) of a CSV, a JSON object of scores by model, or a JSON list of rows; blank scores are left out.
+
+    The score may be named CQ.
+    """
+    if path.lower().endswith(".json"):
+        rows = spark.read.schema("value string").text(path, wholetext=True)
+        row = "array<struct<model: string, capability_score: string, CQ: string>>"
+        mapped = F.transform(F.map_entries(F.from_json("value", "map<string,string>")), lambda e: F.struct(e["key"].alias("model"), e["value"].alias("capability_score"), F.lit(None).cast("string").alias("CQ")))
+        df = rows.select(F.explode(F.when(F.substring(F.ltrim("value"), 1, 1) == "[", F.from_json("value", row)).otherwise(mapped)).alias("r")).select("r.*")
+    else:
+        df = csv(spark, path)
     named = [F.nullif(F.trim(F.col(c)), F.lit("")) for c in ("capability_score", "CQ") if c in df.columns]
     return df.select("model", F.coalesce(*named).try_cast("double").alias("capability_score")).dropna()
 
 
 def capability_counts(spark: SparkSession, path: str) -> DataFrame:
-    """(model, successes, trials); rows without whole numbers, or with more successes than trials, are left out."""
+    """(model, successes, trials) of a CSV; rows without whole numbers are left out."""
     df = csv(spark, path).select("model", F.col("n_correct").try_cast("long").alias("successes"), F.col("n_scored").try_cast("long").alias("trials"))
-    return df.dropna().where("trials > 0 and successes between 0 and trials")
+    return df.dropna()
+
+
+def checked_counts(counts: DataFrame) -> DataFrame:
+    """(model, capability_score, successes, trials), best first; counts that can't be are an error that names the model."""
+    good = F.coalesce((F.col("trials") > 0) & F.col("successes").between(0, F.col("trials")), F.lit(False))
+    named = F.raise_error(F.concat(F.lit("implausible counts of "), F.coalesce("model", F.lit("a row without a model")))).cast("long")
+    checked = counts.withColumn("trials", F.when(good, F.col("trials")).otherwise(named))
+    score = F.coalesce("capability_score", F.col("successes") / F.col("trials")) if "capability_score" in counts.columns else F.col("successes") / F.col("trials")
+    return checked.select("model", score.alias("capability_score"), "successes", "trials").orderBy(F.desc("capability_score"), "model")
+
+
+def canonical(value) -> str:
+    """JSON with keys in order and without blanks, the form whose SHA-256 identifies a value."""
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+
+
+@F.pandas_udf(StringType())
+def canonical_sha256(values: pd.Series) -> pd.Series:
+    """SHA-256 of the canonical form of JSON texts."""
+    return values.map(lambda v: None if v is None else hashlib.sha256(canonical(json.loads(v)).encode()).hexdigest())
+
+
+def tree_sha256(spark: SparkSession, path: str, suffix: str = ".py") -> str:
+    """One hash of the names and contents of a source tree, whose files are few and small."""
+    files = catalog(spark, path).where(F.lower("path").endswith(suffix))
+    root = spark._jvm.org.apache.hadoop.fs.Path(path).toUri().getPath().rstrip("/") + "/"
+    rows = [(r.path.split(root, 1)[1], r.sha256) for r in files.select("path", "sha256").collect()]
+    return hashlib.sha256(canonical([{"path": p, "sha256": h} for p, h in sorted(rows)]).encode()).hexdigest()
+
+
+def route_of(rows: DataFrame, routes: DataFrame, default: str = "unknown") -> DataFrame:
+    """rows with the serving route of their model, `default` where none is known."""
+    return rows.join(routes.select("model", "route"), "model", "left").withColumn("route", F.coalesce("route", F.lit(default)))
 
 
 def adjudication(spark: SparkSession, path: str, labels: tuple[str, ...]) -> DataFrame:
@@ -144,6 +191,24 @@ def cached(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(cache.where("ok").select("request_sha256", "response"), "request_sha256", "left").withColumn("cache_hit", F.col("response").isNotNull())
 
 
+def cache_answers(answers: DataFrame, path: str) -> None:
+    """Adds answers (request_sha256, ok, response) that succeeded and aren't there yet to a cache of Parquet files."""
+    fresh = answers.where("ok").dropDuplicates(["request_sha256"])
+    spark = answers.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        fresh = fresh.join(spark.read.schema(fresh.schema).parquet(path).select("request_sha256"), "request_sha256", "left_anti")
+    fresh.select("request_sha256", "ok", "response").write.mode("append").parquet(path)
+
+
+def manifest_source(manifest: DataFrame, parser: str) -> DataFrame:
+    """The one source of a manifest (parser, ...) that a parser reads; none or several are an error."""
+    own = manifest.where(F.col("parser") == parser)
+    n = own.agg(F.count("*").alias("_n"))
+    one = F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.concat(F.lit(f"sources of parser {parser}: "), F.col("_n").cast("string"))).cast("boolean"))
+    return n.where(one).join(own, how="left").drop("_n")
+
+
 def request_key(*columns: str):
     """The identity of a request: SHA-256 of its fields as JSON, in order of name."""
     return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)

@@ -11,6 +11,20 @@ def jsonl(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def dataset(df: DataFrame, path: str, pos: str = "pos") -> None:
+    """One JSON list of all rows in order of `pos`; a dataset of benchmark items, thousands of rows, is one file."""
+    fields = F.struct(*sorted(c for c in df.columns if c != pos))
+    rows = df.agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("k"), F.to_json(fields).alias("v")))).alias("r"))
+    rows.select(F.concat(F.lit("[\n"), F.array_join(F.transform("r", lambda x: x["v"]), ",\n"), F.lit("\n]")).alias("value")).write.mode("overwrite").text(path)
+
+
+def json_object(df: DataFrame, path: str) -> None:
+    """One row as a JSON object, with keys in order of name; any other number of rows is an error."""
+    rows = df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("value")).agg(F.count("*").alias("n"), F.first("value").alias("value"))
+    one = F.when(F.col("n") == 1, F.col("value")).otherwise(F.raise_error(F.lit("an object is one row")).cast("string"))
+    rows.select(one.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def csv(df: DataFrame, path: str, columns: list[str], bom: bool = False) -> None:
     """The named columns that exist; null is empty."""
     shown = df.select(*[F.col(c).cast("string") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
@@ -25,10 +39,11 @@ def records(df: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, limit: int = 200) -> str:
-    """A small report table."""
-    rows = df.limit(limit).collect()
+    """A report table of `limit` rows at most; a last row tells how many more there are."""
+    rows = df.limit(limit + 1).collect()
     head = "| " + " | ".join(df.columns) + " |\n|" + "---|" * len(df.columns)
-    return head + "".join("\n| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)
+    more = f"\n| and {df.count() - limit} more rows |" + " |" * (len(df.columns) - 1) if len(rows) > limit else ""
+    return head + "".join("\n| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows[:limit]) + more
 
 
 def run_package(facts: DataFrame, folder: str) -> None:

@@ -88,6 +88,7 @@ def test_run_package_and_catalog(spark, tmp_path):
     states = lineage.catalog_differences(old, readers.catalog(spark, str(tmp_path / "run"))).where("state <> 'valid'").collect()
     assert len(states) == 1 and states[0].state == "mismatched"
     assert writers.markdown(spark.createDataFrame([(1, None)], "a int, b int")).endswith("| 1 |  |")
+    assert writers.markdown(spark.range(9).selectExpr("id", "id as b"), 4).endswith("| 3 | 3 |\n| and 5 more rows | |")
 
 
 def test_checkpoint(spark, tmp_path):

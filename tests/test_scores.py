@@ -1,6 +1,8 @@
 """Scores, ranks, statistics and agreement on literal cases and invariants."""
 
 import math
+import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -92,10 +94,43 @@ def test_holm(spark):
 
 
 def test_selection_ignores_order(spark):
-    items = [(f"q{c}{s}{k}", f"c{c}", f"s{s}") for c in range(4) for s in range(2) for k in range(10)]
-    pick = lambda rows: {r.id: (r.c, r.s) for r in ranking.round_robin(spark.createDataFrame(rows, "id string, c string, s string"), ["c", "s"], "id", 16).collect()}
-    a, b = pick(items), pick(random.Random(1).sample(items, len(items)))
-    assert a == b and len(a) == 16 and all(list(a.values()).count(v) == 2 for v in set(a.values()))
+    items = [(f"q{c}{s}{k}", c.lower(), s) for c in ("FEQ", "PCQ", "HNQ", "CCQ") for s in ("", "s") for k in range(10)]
+    frame = lambda rows: spark.createDataFrame(rows, "question_id string, category string, subcategory string")
+    pick = lambda rows, *a: [(r.question_id, r.category, r.subcategory) for r in ranking.select_items(frame(rows), *a).collect()]
+    a, b = pick(items, 16), pick(random.Random(1).sample(items, len(items)), 16)
+    assert a == b and len(a) == 16 and all([x[1:] for x in a].count(v) == 2 for v in {x[1:] for x in a})
+    assert [x[1:] for x in a] == sorted((x[1:] for x in a), key=lambda v: (v[0].upper() + "::" + (v[1] or "UNSPECIFIED")))
+    # as the rule says: by hash within a stratum
+    own = sorted((x[0] for x in items if x[1:] == ("feq", "")), key=lambda i: hashlib.sha256(f"42\0FEQ::UNSPECIFIED\0{i}".encode()).hexdigest())
+    assert {x[0] for x in a if x[1:] == ("feq", "")} == set(own[:2])
+    assert len(pick(items)) == len(pick(items, 500)) == 80 and {x[1] for x in pick(items, 9, ["hnq"])} == {"hnq"}
+    for bad in ((0, None), (5, ["other"])):
+        with pytest.raises(ValueError):
+            ranking.select_items(frame(items), *bad)
+    m = ranking.selection_manifest(ranking.select_items(frame(items), 16)).first()
+    assert m.n_selected == 16 and m.category_counts == {c: 4 for c in ("FEQ", "PCQ", "HNQ", "CCQ")} and m.stratum_counts["FEQ::UNSPECIFIED"] == 2
+    assert m.question_ids_sha256 == hashlib.sha256(("[" + ",".join(f'"{x[0]}"' for x in a) + "]").encode()).hexdigest()
+
+
+def test_exclusions_name_what_they_leave_out(spark):
+    schema = "model string, question_id string, category string, subcategory string, k int, answered boolean, rated boolean, terminal boolean, confidence double, label string, is_correct boolean, answer_error string, confidence_error string, parse_reason string, exclusion_reason string"
+    rows = [
+        ("m", "1", "FEQ", "a", 0, True, True, False, 0.5, "ABSTAIN", False, None, None, None, None),
+        ("m", "2", "FEQ", "a", 1, True, False, True, None, "HEDGE", False, None, "late", "empty", "r"),
+        ("m", "3", "HNQ", "b", 0, True, False, False, None, "HEDGE", False, None, "late", None, None),
+        ("m", "4", "HNQ", "b", 0, False, True, False, 0.4, None, None, None, "late", None, None),
+        ("m", "5", "HNQ", "b", 0, False, False, False, None, None, None, None, None, None, None),
+        ("m", "6", "HNQ", "b", 1, True, True, False, 0.4, "CONFIDENT_WRONG", False, None, None, None, None),
+    ]
+    facts = spark.createDataFrame(rows, schema)
+    got = {r.question_id: (r.excluded_from, r.reason, r.detail, r.exclusion_reason_recorded) for r in scoring.exclusions(facts).collect()}
+    every = "restraint, avoidance, calibration"
+    assert got == {
+        "2": ("calibration", "terminal_missing_confidence", "empty", "r"), "3": ("calibration", "missing_confidence", "late", None),
+        "4": (every, "technical_failure", "late", None), "5": (every, "technical_failure", "invalid_record", None),
+    }
+    c = scoring.coverage(facts).first()
+    assert (c.n_items, c.n_scored, c.n_confidence, c.n_calibration, c.n_excluded, c.n_excluded_calibration_only) == (6, 4, 3, 1, 2, 2)
 
 
 def test_correlations(spark):
@@ -113,13 +148,37 @@ def test_paired(spark):
     one = stats.paired(spark.createDataFrame([(0.432, 0.4338)], "old double, new double")).first()
     assert one.status == "insufficient_pairs" and one.cohens_dz is None and one.p_value is None
     up = stats.paired(spark.createDataFrame([(0.0, 1.0), (0.0, 2.0), (0.0, 3.0), (1.0, 1.0)], "old double, new double")).first()
-    assert (up.n_pairs, up.n_up, up.n_down, up.n_permutations, up.n_extreme, up.p_value) == (4, 3, 0, 8, 2, 0.25)
+    assert (up.n_pairs, up.n_up, up.n_down, up.n_unchanged, up.n_permutations, up.n_extreme, up.p_value) == (4, 3, 0, 1, 8, 2, 0.25)
+    assert (up.old_mean, up.new_mean) == (0.25, 1.75)
+    none = stats.paired(spark.createDataFrame([(1.0, 1.0), (2.0, 2.0)], "old double, new double")).first()
+    assert (none.status, none.cohens_dz, none.p_value) == ("zero_difference_variance", None, 1.0)
+    many = stats.paired(spark.createDataFrame([(0.0, 1.0)] * 25, "old double, new double")).first()
+    assert (many.n_extreme, many.n_permutations) == (2, 1 << 25)
+
+
+def test_exact_tests_against_all_choices():
+    rng = random.Random(4)
+    for _ in range(30):
+        d = [rng.choice([-3, -2, -1, 1, 2, 3, 0.5]) for _ in range(rng.randint(1, 9))]
+        means = [sum(s * abs(x) for s, x in zip(signs, d)) / len(d) for signs in itertools.product((-1, 1), repeat=len(d))]
+        assert stats.sign_test(d) == (sum(abs(m) >= abs(sum(d) / len(d)) - 1e-15 for m in means), 2 ** len(d))
+        v = [float(rng.randint(-4, 4)) for _ in range(rng.randint(2, 9))]
+        own = [True] + [rng.random() < 0.4 for _ in v[2:]] + [False]
+        diff = lambda at: sum(v[k] for k in at) / len(at) - sum(x for k, x in enumerate(v) if k not in at) / (len(v) - len(at))  # noqa: E731, B023
+        seen = diff([k for k, o in enumerate(own) if o])
+        every = [diff(c) for c in itertools.combinations(range(len(v)), sum(own))]
+        assert stats.choice_test(v, own) == (pytest.approx(seen), sum(abs(x) >= abs(seen) - 1e-12 for x in every), len(every))
+    with pytest.raises(ValueError):
+        stats.sign_test([1.0] * 45)
 
 
 def test_group_permutation(spark):
     rows = spark.createDataFrame([(f"m{k}", float(k), k < 2) for k in range(6)], "model string, v double, g boolean")
     r = stats.group_permutation(rows, "g", "v").first()
     assert (r.n_permutations, r.n_extreme) == (15, 2)
+    many = spark.createDataFrame([(f"m{k:02d}", float(k), k < 12) for k in range(25)], "model string, v double, g boolean")
+    assert stats.group_permutation(many, "g", "v").first()[1:3] == (2, 5_200_300)
+    assert stats.group_permutation(many.where("g"), "g", "v").collect() == []
 
 
 def test_homogeneity(spark):

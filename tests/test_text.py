@@ -119,3 +119,20 @@ def test_gold_and_gates_fold_accents(spark):
     assert not gold("Москва", "Берлин") and not gold("日本", "中国") and not gold("M ller", "Müller") and gold("about 7,0", "7.0")
     assert spark.range(1).select(T.answer_issues(F.lit("Who was Müller?"), F.lit("Muller"))).first()[0] == ["gold_answer_leaked_in_question"]
     assert spark.range(1).select(T.answer_issues(F.lit("Where is it?"), F.lit("Москва"))).first()[0] == []
+
+
+def test_cues_are_tried_where_they_can_match(spark):
+    """The words that a cue needs never keep it from matching: against the plain alternation, on texts made of cues' parts."""
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    parts = ["I don't know", "I do not have any", "verified ", "evidence", "I CANNOT", "can't", " tell", "I lack", " enough ", "context", "not enough", "Insufficient", " information", "the answer was", " redacted", "unavailable", "no reliable way", "cannot be inferred", "There is no way to infer", "this passage doesn't explicitly ", "state", "isn't mentioned in the", "was not disclosed", "the price is not available", "[Omitted]", "the name was not stated", "purchase price is not", " provided", "UNKNOWN", "unſnown", "inſufficient evidence", "İ am not sure", "I'm not sure", "perhapſ", "possibly", "may", "maybe", "mighty", "might", "I suspect", "it could be", "appears to", "ſeems to", "as far as I know", "to the best of my knowledge", "it is", ".", " ", "?", "Anna Berg", "7", "Kelvin"]
+    texts = ["".join(rng.choice(parts) + rng.choice(["", " ", ". "]) for _ in range(rng.randint(1, 6))) for _ in range(3000)] + parts + [a + " " + b for a, b in itertools.islice(itertools.product(parts, parts), 1500)]
+    rows = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string")
+    t = F.col("t")
+    sentence = lambda s: ~s.rlike(T.any_of(T.ABSTENTION_CUES)) & (T.word_count(s) >= 3) & (s.rlike(T.any_of([T.ANSWER_CUE])) | s.rlike(T.NAME_CUE))
+    plain = (t.rlike(T.any_of(T.ABSTENTION_CUES)), t.rlike(T.any_of(T.HEDGE_CUES)), F.exists(F.split(t, r"(?U)(?<=[.!?])\s+"), sentence))
+    own = (T.abstains(t), T.hedges(t), T.substantive(t))
+    assert rows.where(~F.array(*plain).eqNullSafe(F.array(*own))).collect() == []
+    assert all(rows.where(p).count() > 50 for p in plain)
