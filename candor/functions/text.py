@@ -278,9 +278,16 @@ def confidence_is_final(ok: Column, value: Column, error_type: Column) -> Column
 
 def truncation(text: Column, tokens: Column, limit: int | None) -> Column:
     """A struct of signs that an answer was cut off: token_limit, incomplete_clause, unpunctuated, suspected."""
-    s = F.regexp_replace(text, r"(?U)\s+$", "")
     at_limit = F.coalesce(tokens >= F.lit(limit), F.lit(False)) if limit is not None else F.lit(False)
-    open_ended = (word_count(s) >= 5) & ~F.right(s, F.lit(1)).isin(*TERMINAL)
+    given = F.struct(F.regexp_replace(text, r"(?U)\s+$", "").alias("s"), at_limit.alias("at_limit"))
+    open_ended = lambda s: (word_count(s) >= 5) & ~F.right(s, F.lit(1)).isin(*TERMINAL)
+    read = bound(given, lambda x: F.struct(x["s"].alias("s"), x["at_limit"].alias("at_limit"), open_ended(x["s"]).alias("open_ended")))
+    cut = bound(read, lambda x: F.struct(x["at_limit"].alias("at_limit"), x["open_ended"].alias("open_ended"), (x["open_ended"] & _broken_off(x["s"])).alias("incomplete")))
+    return bound(cut, lambda x: F.struct(x["at_limit"].alias("token_limit"), x["incomplete"].alias("incomplete_clause"), x["open_ended"].alias("unpunctuated"), (x["at_limit"] | x["incomplete"]).alias("suspected")))
+
+
+def _broken_off(s: Column) -> Column:
+    """Whether a text ends in a word that needs another, in a mark that opens something, or inside of quotes or brackets."""
     times = lambda p: F.regexp_count(s, F.lit(p))
     unbalanced = (
         (times('"') % 2 == 1)
@@ -288,8 +295,7 @@ def truncation(text: Column, tokens: Column, limit: int | None) -> Column:
         | (times(r"\(") > times(r"\)"))
         | (times(r"\[") > times(r"\]"))
     )
-    incomplete = open_ended & (s.rlike(r"(?iU)\b(?:" + "|".join(FUNCTION_WORDS) + r")$") | s.rlike(r"[,;:\-–—/]$") | unbalanced)
-    return F.struct(at_limit.alias("token_limit"), incomplete.alias("incomplete_clause"), open_ended.alias("unpunctuated"), (at_limit | incomplete).alias("suspected"))
+    return s.rlike(r"(?iU)\b(?:" + "|".join(FUNCTION_WORDS) + r")$") | s.rlike(r"[,;:\-–—/]$") | unbalanced
 
 
 # --- question and answer form

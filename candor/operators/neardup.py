@@ -22,24 +22,31 @@ def shingles(tokens, n: int = 5):
 def shingle_pairs(docs: DataFrame, least: float = 0.4, n: int = 5) -> DataFrame:
     """Pairs (a < b, jaccard) of docs (id, norm) whose n-gram sets have similarity `least` or more.
 
-    A pair that qualifies with a similarity above 0 shares an n-gram among the first few of each set in a common
-    order, rarest first, so only these are joined. Texts shorter than n words have equal, empty sets; these are
-    joined by that alone, being pairs of similarity 1.
+    N-grams are compared by 64-bit hashes. A pair that qualifies with a similarity above 0 shares one among the first
+    few of each set in a common order, rarest first. N-grams of one text only come first in it and are in no pair, so
+    just their number counts; the others are joined, under filters of length and of their places. Texts shorter than n
+    words have equal, empty sets, so all of their pairs have similarity 1.
     """
-    sets = docs.select("id", shingles(F.split("norm", " "), n).alias("s")).withColumn("n", F.size("s"))
+    hashed = F.transform(shingles(F.split("norm", " "), n), lambda g: F.xxhash64(g))
+    sets = docs.select("id", hashed.alias("s")).withColumn("n", F.size("s"))
     one = sets.where("n > 0").select("id", "n", F.explode("s").alias("g"))
-    count = one.groupBy("g").agg(F.count("*").alias("df"))
-    ordered = one.join(count, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    shared = one.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
     # |A & B| >= least |A | B| >= least |A|: skip all but the first |A| - ceil(least |A|) + 1
-    prefix = ordered.withColumn("p", F.slice("o", 1, (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int")))
-    keys = prefix.select("id", "n", F.explode("p").alias("e")).where("e.df > 1").select("id", "n", F.col("e.g").alias("g"))
-    x, y = keys.select(F.col("id").alias("a"), F.col("n").alias("na"), "g"), keys.select(F.col("id").alias("b"), F.col("n").alias("nb"), "g")
-    near = x.join(y, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    prefix = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    ordered = one.join(shared, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    alone = F.col("n") - F.size("o")
+    keys = ordered.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("o", 1, F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("k", "e"))
+    keys = keys.select("id", "n", F.col("e.g").alias("g"), (F.col("alone") + F.col("k")).alias("place"))
+    side = lambda x: keys.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"), "g")
+    most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # shared before this n-gram and from it on
+    fits = (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (most >= least * (F.col("na") + F.col("nb") - most) - 1e-9)
+    near = side("a").join(side("b"), "g").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
     full = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     out = full.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).where(F.col("jaccard") >= least)
-    tiny = sets.where("n = 0").select("id")
-    return out.unionByName(tiny.select(F.col("id").alias("a")).join(tiny.select(F.col("id").alias("b")), F.col("a") < F.col("b")).withColumn("jaccard", F.lit(1.0)))
+    tiny = sets.where("n = 0").select("id", F.lit(1).alias("one"))
+    pairs = tiny.select(F.col("id").alias("a"), "one").join(tiny.select(F.col("id").alias("b"), "one"), "one").where("a < b")
+    return out.unionByName(pairs.select("a", "b", F.lit(1.0).alias("jaccard")))
 
 
 @F.pandas_udf(DoubleType())

@@ -51,9 +51,12 @@ def q_classify(spark, sf_dir):
     return out(labelled(spark, sf_dir).select("doc_id", "cls.label", "cls.is_correct", "cls.abstention_detected", "cls.hedge_detected", "cls.substantive_answer_detected"))
 
 
+_CONF = f"""x AS (SELECT doc_id, reply, regexp_extract(reply, '^\\s*(0|[1-9]\\d?|100)\\s*%?\\s*$', 1) AS e, regexp_extract_all(reply, '[-+]?\\d+(?:[.,]\\d+)?') AS t, regexp_extract(reply, '(?:^|[^\\w.])([-+]?\\d+(?:[.,]\\d+)?)(?:$|[^\\w.])', 1) AS o FROM ans),
+r AS (SELECT *, CASE WHEN trim(reply) = '' THEN 'empty' WHEN e <> '' THEN NULL WHEN len(t) = 0 THEN 'no_numeric_token' WHEN len(t) > 1 THEN 'multiple_numeric_tokens' WHEN o = '' THEN 'non_standalone_numeric_token' WHEN regexp_matches(o, '^[-+]|[.,]') THEN 'non_integer_numeric_token' WHEN CAST(o AS INTEGER) > 100 THEN 'out_of_range' END AS reason FROM x)"""
+
+
 @query(
-    f"""WITH {_ANS}, x AS (SELECT doc_id, reply, regexp_extract(reply, '^\\s*(0|[1-9]\\d?|100)\\s*%?\\s*$', 1) AS e, regexp_extract_all(reply, '[-+]?\\d+(?:[.,]\\d+)?') AS t, regexp_extract(reply, '(?:^|[^\\w.])([-+]?\\d+(?:[.,]\\d+)?)(?:$|[^\\w.])', 1) AS o FROM ans),
-r AS (SELECT *, CASE WHEN trim(reply) = '' THEN 'empty' WHEN e <> '' THEN NULL WHEN len(t) = 0 THEN 'no_numeric_token' WHEN len(t) > 1 THEN 'multiple_numeric_tokens' WHEN o = '' THEN 'non_standalone_numeric_token' WHEN regexp_matches(o, '^[-+]|[.,]') THEN 'non_integer_numeric_token' WHEN CAST(o AS INTEGER) > 100 THEN 'out_of_range' END AS reason FROM x)
+    f"""WITH {_ANS}, {_CONF}
 SELECT doc_id, round(CASE WHEN reason IS NULL THEN CAST(CASE WHEN e <> '' THEN e ELSE o END AS INTEGER) / 100 END, 9) AS value, CASE WHEN reason IS NOT NULL THEN NULL WHEN e <> '' AND contains(reply, '%') THEN 'exact_percent' WHEN e <> '' THEN 'exact_integer' ELSE 'single_integer_in_text' END AS strategy, reason FROM r"""
 )
 def q_confidence_parse(spark, sf_dir):
@@ -78,7 +81,13 @@ def answer_records(spark, sf_dir):
     return x.select("model", "question_id", "category", F.lit(0).alias("k"), F.lit(True).alias("answered"), conf.isNotNull().alias("rated"), conf.isNull().alias("terminal"), conf.alias("confidence"), F.col("cls.label").alias("label"), F.col("cls.is_correct").alias("is_correct"), "answer", "tokens")
 
 
-@query()
+@query(
+    f"""WITH {_ANS}, {_LABEL}, {_CUT}, {_CONF}, tr AS (SELECT cut.model, cut.label, token_limit OR incomplete_clause AS suspected, CASE WHEN reason IS NULL THEN CAST(CASE WHEN e <> '' THEN e ELSE o END AS INTEGER) END AS pct FROM cut JOIN r ON r.doc_id = cut.doc_id),
+named AS (SELECT 'as_recorded' AS scenario, * FROM tr UNION ALL SELECT 'dropped', * FROM tr WHERE NOT suspected UNION ALL SELECT 'as_restraint', model, CASE WHEN suspected AND label = 'CONFIDENT_WRONG' THEN 'HEDGE' ELSE label END, suspected, pct FROM tr),
+scen AS (SELECT *, 0 AS k, true AS answered, pct IS NULL AS terminal, pct / 100.0::DOUBLE AS confidence, least(pct // 10, 9) AS bin, true AS ok, pct IS NOT NULL AS has_conf, pct IS NOT NULL AND label LIKE 'CONFIDENT%' AS sub FROM named), {scores_sql('scenario, model', 'scen')},
+p AS (SELECT model, composite, row_number() OVER (PARTITION BY scenario ORDER BY composite DESC NULLS LAST, model) AS place FROM sc)
+SELECT model, round(min(composite), 9) AS lowest, round(max(composite), 9) AS highest, min(place) AS best_place, max(place) AS worst_place, round(max(composite) - min(composite), 9) AS span, max(place) - min(place) AS place_span FROM p GROUP BY model"""
+)
 def q_truncation_sensitivity(spark, sf_dir):
     return out(sensitivity.truncation_sensitivity(answer_records(spark, sf_dir), 290))
 
