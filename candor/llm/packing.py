@@ -35,6 +35,8 @@ GRID = 8
 LEAST_FILL = 0.97
 #: Rows of a bin that one task ranks, about.
 RANKED = 20_000
+#: Places of pieces to be cut that are broadcast, 16 bytes each, at most; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def combinations(bins: int) -> np.ndarray:
@@ -166,7 +168,7 @@ def pack(cut: DataFrame, window: int = WINDOW, grid: int = GRID, least: float =
     for k, n in count.items():
         counts[k] = n
     patterns, left = plan(counts, bins, least)
-    salts = max(64, math.ceil(int(counts.max(initial=0)) / RANKED))
+    salts = max(64, math.ceil(max(int(counts.max(initial=0)), n_full, int(left.sum())) / RANKED))  # by the largest that is ranked
 
     def ranked(df: DataFrame, keys: list[str], what) -> DataFrame:
         """df with `before`: the sum of `what` over the rows before it with the same keys, counted in two levels."""
@@ -201,7 +203,7 @@ def pack(cut: DataFrame, window: int = WINDOW, grid: int = GRID, least: float =
             rest = binned.join(F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(limits), "array<struct<bin: int, hi: bigint>>")))), "bin").where(F.col("before") >= F.col("hi"))
             rest = ranked(rest.select(*columns, "row").withColumn("one", F.lit(0)), ["one"], F.col("length")).select("row", F.col("before").alias("place"))
             n_left = int(left.sum())
-            mine = rows.join(F.broadcast(rest) if n_left <= 200_000 else rest, "row").withColumn("first", F.lit(base))
+            mine = rows.join(F.broadcast(rest) if n_left <= BROADCAST_ROWS else rest, "row").withColumn("first", F.lit(base))
             out.append(mine.select("doc_id", "start", "doc_tokens", "ids", "place", "first").mapInArrow(_cut(window), PIECE + ", sequence_id long, offset long"))
     done = out[0] if out else narrow.select(*columns, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     for part in out[1:]:
