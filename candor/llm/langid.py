@@ -8,8 +8,9 @@ word by word. Posteriors come from forward-backward over the whole text, however
 segments whose transfer matrices are multiplied first, which is exact and needs segments' length in steps, not
 the text's. A document's language has the largest mean posterior over its letters, and that mean is the score.
 
-Training reads a bounded sample: TRAIN_DOCS labelled documents by hash of doc_id, TRAIN_CHARS of each. Prediction
-reads whole texts and nothing else. Null texts and texts without a letter are `und` with score 0, and so is all
+Training reads a bounded sample of labelled rows, chosen by hash of doc_id: TRAIN_DOCS in equal parts for each label
+(LEAST_DOCS to MOST_DOCS), so that rare labels are learned too. Of a text longer than TRAIN_CHARS, PARTS stretches spread
+evenly over all of it are read, as long together. Prediction reads whole texts and nothing else. Null texts and texts without a letter are `und` with score 0, and so is all
 text if nothing is labelled. Repeated rows repeat their result; ties go to the first label in sorted order.
 """
 
@@ -21,12 +22,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .units import as_utf8, coded, resident, slices, split_words, texts
 
-TRAIN_DOCS, TRAIN_CHARS = 2000, 2000
+TRAIN_DOCS, TRAIN_CHARS, LEAST_DOCS, MOST_DOCS, PARTS = 2000, 2000, 50, 1000, 4
 FEATURES = 1 << 15
 LEXICON = 20_000
 SEGMENT = 128
@@ -200,21 +201,32 @@ class Crf:
         return out / out.sum(1, keepdims=True)
 
 
+def stretches(text: Column, most: int, parts: int = PARTS) -> Column:
+    """Whole texts up to `most` characters; of longer ones, so many stretches from start to end, without the words they cut."""
+    size, room = most // parts, F.length(text) - most // parts
+    cut = lambda k: "|".join([r"^\S{1,40}(?=\s)"] * (k > 0) + [r"(?<=\s)\S{1,40}$"] * (k < parts - 1))
+    each = [F.regexp_replace(F.substr(text, (room * k / (parts - 1)).cast("int") + 1, F.lit(size)), cut(k), "") for k in range(parts)]
+    return F.when(F.length(text) <= most, text).otherwise(F.concat_ws(" ", *each))
+
+
 def train(docs: DataFrame, most_docs: int = TRAIN_DOCS, most_chars: int = TRAIN_CHARS) -> Crf | None:
     """A model of docs (doc_id, text, lang) whose crc32(doc_id) mod 3 isn't 1, or None if none is labelled."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1))
-    n = known.select("doc_id").count()
-    # the smallest hashes lie below this, so tasks send few rows beside those that are taken
-    share = F.shiftrightunsigned(F.xxhash64("doc_id"), 12) < int(min(1.0, 2 * most_docs / max(n, 1)) * (1 << 52))
-    rows = known.where(share).select("doc_id", F.substring("text", 1, most_chars).alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h")).withColumn("h", F.shiftrightunsigned("h", 1)).orderBy("h", "doc_id", "text", "lang").limit(most_docs).collect()
+    known = known.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.shiftrightunsigned(F.xxhash64("doc_id"), 12).alias("h"))
+    count = {r.lang: r.n for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one for each label
+    each = min(MOST_DOCS, max(LEAST_DOCS, -(-most_docs // max(1, len(count)))))  # of a label; each task sends so many at most
+    # the smallest hashes of a label lie below its bound, so tasks send few rows beside those that are taken
+    bound = F.create_map(*(F.lit(x) for lang, n in count.items() for x in (lang, int(min(1.0, 2 * each / n) * (1 << 52))))) if count else F.create_map(F.lit(""), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id", "text"))
+    rows = known.where(F.col("h") < bound[F.col("lang")]).select("doc_id", stretches(F.col("text"), most_chars).alias("text"), "lang", "h").withColumn("rank", rank).where(F.col("rank") <= each).orderBy("h", "doc_id", "text", "lang").collect()
     if not rows:
         return None
     labels = sorted({r.lang for r in rows})
-    count: dict[str, int] = {}
+    met: dict[str, int] = {}
     for r in rows:
         for w in (r.text or "").lower().split():
-            count[w] = count.get(w, 0) + 1
-    lexicon = [w for w, c in sorted(count.items(), key=lambda x: (-x[1], x[0])) if c >= 5][:LEXICON]
+            met[w] = met.get(w, 0) + 1
+    lexicon = [w for w, c in sorted(met.items(), key=lambda x: (-x[1], x[0])) if c >= 5][:LEXICON]
     return Crf(labels, lexicon).train([(r.text, r.lang) for r in rows])
 
 
@@ -279,7 +291,7 @@ def predict(docs: DataFrame, model: Crf | None) -> DataFrame:
 
 
 def _kept(model, least: float, names: list[str]):
-    judge = _predict(model, str(id(model)))
+    judge = _predict(model, uuid.uuid4().hex)  # a key of its own: workers outlive models
 
     def run(batches):
         for batch in slices(batches, limit=SLICE_BYTES):

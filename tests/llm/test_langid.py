@@ -73,6 +73,34 @@ def test_held_out_accuracy_and_code_switching(spark):
     assert 0.4 < langid.predict(mixed, model).first().score < 0.6
 
 
+def test_two_models_in_one_session(spark):
+    """Workers outlive models: each stage labels with its own."""
+    docs = corpus(spark, 120)
+    other = spark.createDataFrame([(k, " ".join(f"q{j % 7}z" for j in range(k, k + 30)), "xx") for k in range(40)], "doc_id long, text string, lang string")
+    models = [langid.train(docs), langid.train(other)]
+    mixed = docs.unionByName(other)
+    want = [langid.predict(mixed, m).where("score >= 0.9").count() for m in models]
+    for _ in range(3):
+        for m, n in zip(models, want):
+            assert langid.keep_known(mixed, m, 0.9).count() == n
+    assert want[0] != want[1]
+
+
+def test_rare_labels_are_learned_and_long_texts_sampled_throughout(spark):
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choices(SAMPLES["en"].split(), k=20)), "en") for k in range(4000)]
+    rows += [(5000 + k, " ".join(rng.choices(SAMPLES["fr"].split(), k=20)), "fr") for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, most_docs=100)
+    assert model.labels == ["en", "fr"]
+    assert langid.predict(spark.createDataFrame([(1, SAMPLES["fr"])], "doc_id long, text string"), model).first().lang_pred == "fr"
+    text = " ".join(f"w{k:04d}" for k in range(2000))
+    short, cut, solid = (r.t for r in spark.createDataFrame([("a b",), (text,), ("x" * 5000,)], "t string").select(langid.stretches(langid.F.col("t"), 2000).alias("t")).collect())
+    got = [int(w[1:]) for w in cut.split()]
+    assert short == "a b" and got[0] == 0 and got[-1] == 1999 and got == sorted(got) and len(cut) <= 2003 and all(len(w) == 5 for w in cut.split())
+    assert {g // 250 for g in got} >= {0, 2, 5, 7} and set(solid) == {"x", " "}
+
+
 def test_awkward_rows(spark):
     model = langid.train(corpus(spark))
     docs = awkward(spark, ["12 34 $$", "日本 語"])
