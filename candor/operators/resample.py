@@ -12,56 +12,72 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _pearson(x: list[float], y: list[float]) -> float | None:
-    n = len(x)
-    if n < 3 or min(x) == max(x) or min(y) == max(y):
-        return None
-    a, b = np.asarray(x) - np.mean(x), np.asarray(y) - np.mean(y)
-    return float((a * b).sum() / math.sqrt((a * a).sum() * (b * b).sum()))
+def _ranks(v: np.ndarray) -> np.ndarray:
+    """Average ranks within each row."""
+    below, equal = (v[:, :, None] > v[:, None, :]).sum(2), (v[:, :, None] == v[:, None, :]).sum(2)
+    return below + (equal + 1) / 2.0
 
 
-def _ranks(v: list[float]) -> list[float]:
-    return pd.Series(v).rank(method="average").tolist()
+def _correlations(x: np.ndarray, y: np.ndarray, kind: str) -> np.ndarray:
+    """The correlation of each row of x and y; not-a-number where one is constant."""
+    constant = (x.min(1) == x.max(1)) | (y.min(1) == y.max(1))
+    if kind == "spearman":
+        x, y = _ranks(x), _ranks(y)
+    a, b = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(constant, np.nan, (a * b).sum(1) / np.sqrt((a * a).sum(1) * (b * b).sum(1)))
 
 
 def statistic(x: list[float], y: list[float], kind: str) -> float | None:
-    return _pearson(x, y) if kind == "pearson" else _pearson(_ranks(x), _ranks(y))
-
-
-def bootstrap_interval(x: list[float], y: list[float], kind: str, resamples: int, seed: int, alpha: float = 0.05) -> tuple[float, float] | None:
-    """Order statistics of resampled correlations; resamples without variance are left out."""
-    rng, got = random.Random(seed), []
-    for _ in range(resamples):
-        at = [rng.randrange(len(x)) for _ in x]
-        r = statistic([x[k] for k in at], [y[k] for k in at], kind)
-        if r is not None:
-            got.append(r)
-    if not got:
+    r = _correlations(np.array([x], float), np.array([y], float), kind)[0] if len(x) >= 3 else np.nan
+    return None if np.isnan(r) else float(r)
+
+
+def bootstrap_interval(x: list[float], y: list[float], kind: str, resamples: int, seed: int, alpha: float = 0.05, step: int = 2000) -> tuple[float, float] | None:
+    """Order statistics of resampled correlations; resamples without variance are left out. The stream of draws is fixed by the seed."""
+    rng, n = random.Random(seed), len(x)
+    left, right, got = np.array(x, float), np.array(y, float), []
+    for k in range(0, resamples, step):
+        at = np.array([[rng.randrange(n) for _ in range(n)] for _ in range(min(step, resamples - k))])
+        got.append(_correlations(left[at], right[at], kind))
+    r = np.concatenate(got) if got else np.zeros(0)
+    r = np.sort(r[~np.isnan(r)])
+    if not len(r):
         return None
-    got.sort()
-    lo, hi = int(alpha / 2 * len(got)), int((1 - alpha / 2) * len(got)) - 1
-    return got[lo], got[max(lo, hi)]
+    lo, hi = int(alpha / 2 * len(r)), int((1 - alpha / 2) * len(r)) - 1
+    return float(r[lo]), float(r[max(lo, hi)])
+
 
+def permutation_p(x: list[float], y: list[float], kind: str, resamples: int, seed: int, step: int = 2000) -> tuple[str, int, float]:
+    """(method, permutations, p): all orders of y up to eight values, else shuffles that build on each other.
 
-def permutation_p(x: list[float], y: list[float], kind: str, resamples: int, seed: int) -> tuple[str, int, float]:
-    """(method, permutations, p): all orders of y up to eight values, else shuffles that build on each other."""
+    Sums of floats depend on their order, so a correlation counts as extreme a few roundings below the one that was seen.
+    """
     seen = statistic(x, y, kind)
     if seen is None:
         return "undefined", 0, math.nan
-    least = abs(seen) - 1e-15
-    fixed = y if kind == "pearson" else _ranks(y)
-    left = x if kind == "pearson" else _ranks(x)
-    a = np.asarray(left) - np.mean(left)
-    scale = math.sqrt((a * a).sum() * ((np.asarray(fixed) - np.mean(fixed)) ** 2).sum())
-    extreme = lambda z: abs(float(a @ (np.asarray(z) - np.mean(z))) / scale) >= least - 1e-12
+    left = np.array([x], float)
+    fixed = np.array([y], float)
+    if kind == "spearman":
+        left, fixed = _ranks(left), _ranks(fixed)
+    values = fixed[0].tolist()
+    hits = 0
+
+    def extreme(rows: list) -> int:
+        z = np.array(rows, float)
+        return int((np.abs(_correlations(np.repeat(left, len(z), 0), z, "pearson")) >= abs(seen) - 1e-12).sum())
+
     if len(x) <= 8:
-        every = list(itertools.permutations(fixed))
-        return "exact", len(every), sum(map(extreme, every)) / len(every)
-    rng, own, hits = random.Random(seed), list(fixed), 0
-    for _ in range(resamples):
-        rng.shuffle(own)
-        hits += extreme(own)
-    return "monte_carlo", resamples, (hits + 1) / (resamples + 1)
+        every = list(itertools.permutations(values))
+        return "exact", len(every), sum(extreme(every[k : k + step]) for k in range(0, len(every), step)) / len(every)
+    rng, own = random.Random(seed), list(values)
+    for k in range(0, resamples, step):
+        rows = []
+        for _ in range(min(step, resamples - k)):
+            rng.shuffle(own)
+            rows.append(list(own))
+        hits += extreme(rows)
+    return "monte_carlo_plus_one", resamples, (hits + 1) / (resamples + 1)
 
 
 CORRELATION_TESTS = "pair string, n long, pearson double, pearson_low double, pearson_high double, spearman double, spearman_low double, spearman_high double, method string, p_pearson double, p_spearman double"

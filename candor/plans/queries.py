@@ -387,19 +387,19 @@ def q_paired_bootstrap(spark, sf_dir):
 
 @query()
 def q_seeded_bootstrap(spark, sf_dir):
-    reps = resample.seeded_bootstrap(A.records(spark, sf_dir), 500)
+    reps = resample.seeded_bootstrap(A.records(spark, sf_dir))
     return out(resample.percentile_interval(reps, ["model"], "composite"))
 
 
 @query()
 def q_perm_corr(spark, sf_dir):
     pairs = _component_pairs(scoring.scores(A.records(spark, sf_dir)))
-    return out(resample.correlation_tests(pairs, 500, 1000))
+    return out(resample.correlation_tests(pairs))
 
 
 @query()
 def q_homogeneity(spark, sf_dir):
-    return out(resample.homogeneity(A.capability(spark), 1000))
+    return out(resample.homogeneity(A.capability(spark)))
 
 
 # --- agreement
