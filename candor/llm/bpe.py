@@ -5,10 +5,12 @@ library's threads for very long texts). Going up the tree, each join is repaired
 again and grows until it starts and ends with a unit whose ids both agree exactly with those of the side it
 belongs to; what lies further out can't change, since the tokenizer never joins units across white space.
 
-Text that the tokenizer can't split (one pre-token of thousands of characters) is halved too. Its left halves
-are encoded without the end-of-word suffix, and windows of growing numbers of tokens around each join are
-encoded again until their first and last token agree with both sides. A BPE sequence is the encoding of its
-text if and only if each two neighbours are, so agreement at both ends makes the whole exact.
+Text that the tokenizer can't split (one pre-token of thousands of characters) is halved too, and all its leaves
+are encoded by one batch call, in parallel in the library's threads. But for the last they lack the end-of-word
+suffix. Going up the tree, the joins of a level are repaired together: windows of growing numbers of tokens around
+them are encoded again, a batch call for each growth, until their first and last token agree with both sides. A BPE
+sequence is the encoding of its text if and only if each two neighbours are, so agreement at both ends makes the
+whole exact.
 
 Nulls are empty texts, which have no ids; repeated rows and ties need no rule; very long texts stay in one
 task (a row is one value) with bounded windows; extra columns are left alone by `encode_column`.
@@ -166,25 +168,47 @@ class TreeBpe:
 
     def _word(self, word: str, closed: bool) -> list[int]:
         """Ids of one long pre-token; `closed`: its last character ends the word."""
-        if len(word) <= self.unsplit:
-            return (self.closed if closed else self.open).encode(word, add_special_tokens=False).ids
-        m = len(word) // 2
-        left, right = self._word(word[:m], False), self._word(word[m:], closed)
-        head, tail = word[:m].encode(), word[m:].encode()
-        k = 4
-        while True:
-            x, y = left[-k:], right[:k]
-            nx, ny = sum(self.n_bytes[i] for i in x), sum(self.n_bytes[i] for i in y)
-            at_end = ny == len(tail)
-            try:
-                window = (head[len(head) - nx :] + tail[:ny]).decode()
-            except UnicodeDecodeError:  # a token may hold part of a character
-                window = None
-            if window is not None:
-                got = (self.closed if closed and at_end else self.open).encode(window, add_special_tokens=False).ids
-                if (nx == len(head) or got[0] == x[0]) and (at_end or got[-1] == y[-1]):
-                    return left[: len(left) - len(x)] + got + right[len(y) :]
-            k *= 2
+        n = 1
+        while len(word) > n * self.unsplit:
+            n *= 2
+        cuts = [len(word) * k // n for k in range(n + 1)]
+        parts = [word[a:b] for a, b in zip(cuts, cuts[1:])]
+        level = [e.ids for e in self.open.encode_batch_fast(parts[:-1], add_special_tokens=False)]
+        level.append((self.closed if closed else self.open).encode(parts[-1], add_special_tokens=False).ids)
+        while len(level) > 1:  # neighbours of this level become one
+            level = self._merged(parts, level, closed)
+            parts = [parts[k] + parts[k + 1] for k in range(0, len(parts), 2)]
+        return level[0]
+
+    def _merged(self, parts: list[str], ids: list[list[int]], closed: bool) -> list[list[int]]:
+        """Ids of each two neighbours put together; windows around all joins are encoded at once, and again where they must grow."""
+        out: list[list[int]] = [[] for _ in range(0, len(parts), 2)]
+        open_joins, k = list(range(len(out))), 4
+        while open_joins:
+            windows = []
+            for j in open_joins:
+                left, right = ids[2 * j], ids[2 * j + 1]
+                x, y = left[-k:], right[:k]
+                head, tail = parts[2 * j].encode(), parts[2 * j + 1].encode()
+                nx, ny = sum(self.n_bytes[i] for i in x), sum(self.n_bytes[i] for i in y)
+                at_end = ny == len(tail)
+                try:
+                    text = (head[len(head) - nx :] + tail[:ny]).decode()
+                except UnicodeDecodeError:  # a token may hold part of a character
+                    continue
+                windows.append((j, x, y, nx == len(head), at_end, closed and at_end and j == len(out) - 1, text))
+            got: dict[int, list[int]] = {}
+            for ends, tok in ((False, self.open), (True, self.closed)):
+                own = [w for w in windows if w[5] == ends]
+                got |= {w[0]: e.ids for w, e in zip(own, tok.encode_batch_fast([w[6] for w in own], add_special_tokens=False))}
+            done = set()
+            for j, x, y, at_start, at_end, _, _ in windows:
+                new = got[j]
+                if (at_start or new[0] == x[0]) and (at_end or new[-1] == y[-1]):
+                    out[j] = ids[2 * j][: len(ids[2 * j]) - len(x)] + new + ids[2 * j + 1][len(y) :]
+                    done.add(j)
+            open_joins, k = [j for j in open_joins if j not in done], 2 * k
+        return out
 
     def decode(self, offsets: np.ndarray, ids: np.ndarray) -> pa.Array:
         """The texts of runs of ids, as decode(ids, skip_special_tokens=False) without a decoder: joined by a space."""
@@ -267,4 +291,6 @@ def decode_column(df: DataFrame, path: str, ids: str = "ids", out: str = "decode
     """df with the decoded text of the id lists in `ids`; null lists decode to the empty text."""
     from pyspark.sql import types as T
 
+    if out in df.columns:
+        raise ValueError(f"the column {out} exists")
     return df.mapInArrow(_texts(path, ids, out, df.columns), T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
