@@ -5,13 +5,14 @@ A line with a word fails if
  * navigation: separators (| / > » · •) stand alone for a tenth of its words, three words at least,
  * punctuation: ten words or more without any of . , ; : ! ? …, or "!!" on a tenth of its words,
  * shouting: three words or more, all in capital letters,
- * boilerplate: it holds one of the phrases in BOILERPLATE and at most thirty words,
+ * boilerplate: it holds one of the phrases in BOILERPLATE (English, French, Spanish, German) and at most thirty words,
  * repeats: it has three words or more and equals an earlier line of the text.
 A document is rejected if its words' characters on failing lines exceed MOST_LOST of all, or by the base rules
 (under ten words, or over a fifth of its words in 5-word windows that occur twice).
 
 Null and empty texts have no words and are rejected. Ties and repeated rows are judged alike, each row by
-itself; a text is never split over tasks or cut. `clean` keeps all columns and replaces only text (and n_chars).
+itself; a text is never split over tasks or cut. `clean` keeps all columns and replaces only text (and n_chars); the
+verdict is that on the whole text, so what is left of a kept one may have fewer words than the base rules ask for.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ LEAST_WORDS = 10
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies", "accept cookies", "enable javascript", "click here",
     "sign up", "log in", "subscribe to", "newsletter", "read more", "share this", "follow us", "powered by", "lorem ipsum", "skip to content", "back to top", "page not found",
+    "tous droits réservés", "mentions légales", "conditions d'utilisation", "politique de confidentialité", "utilise des cookies", "cliquez ici", "en savoir plus", "abonnez-vous", "retour en haut",
+    "todos los derechos reservados", "aviso legal", "términos de uso", "política de privacidad", "utiliza cookies", "haga clic aquí", "leer más", "suscríbete", "volver arriba",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies", "klicken sie hier", "mehr erfahren", "jetzt anmelden", "nach oben",
 )
 _SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[list(b"#*$%&|<>")] = 1

@@ -3,7 +3,7 @@
 Base patterns report as they match. Further candidates are only reported once their structure is confirmed:
  * jwt: three base64url parts whose first decodes to a JSON object with "alg" and whose second to a JSON object,
  * key: base64 or hex that decodes to a private key: DER with nested lengths that fill it exactly (PKCS#1, PKCS#8,
-   SEC 1) or the OpenSSH container with its length-prefixed fields,
+   SEC 1) or the OpenSSH container, all its nested lengths read to the end,
  * encoded: base64 or hex that decodes to printable text in which a base pattern matches.
 
 Null texts count as empty, which hold nothing. Spans are code points, end exclusive; of one kind they don't
@@ -80,14 +80,49 @@ def _children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     return out
 
 
+def _strings(data: bytes, at: int, count: int | None = None) -> tuple[list[bytes], int] | None:
+    """Length-prefixed strings from `at`, so many or all to the end, and where they end."""
+    out: list[bytes] = []
+    while len(out) != count if count is not None else at < len(data):
+        if at + 4 > len(data):
+            return None
+        n, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+        if at + n > len(data):
+            return None
+        out.append(data[at : at + n])
+        at += n
+    return out, at
+
+
+def _is_name(value: bytes) -> bool:
+    return 0 < len(value) < 80 and all(33 <= c < 127 for c in value)
+
+
+def _is_openssh(data: bytes) -> bool:
+    """The OpenSSH container to its end: cipher and key derivation, public keys of nested strings, the private block."""
+    if (head := _strings(data, 15, 3)) is None:
+        return False
+    (cipher, derivation, options), at = head
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not (_is_name(cipher) and _is_name(derivation)) or not 1 <= keys <= 64 or (body := _strings(data, at, keys + 1)) is None:
+        return False
+    *public, private = body[0]
+    kinds = []
+    for key in public:
+        fields = _strings(key, 0)
+        if fields is None or len(fields[0]) < 2 or not _is_name(fields[0][0]):
+            return False
+        kinds.append(fields[0][0])
+    rest = len(data) - body[1]
+    if cipher != b"none":  # only its length is known, and an authentication tag may follow
+        return derivation != b"none" and bool(options) and len(private) >= 16 and len(private) % 8 == 0 and rest in (0, 16)
+    first = _strings(private, 8, 1)
+    return rest == 0 and derivation == b"none" and not options and len(private) % 8 == 0 and private[:4] == private[4:8] and first is not None and first[0][0] == kinds[0]
+
+
 def is_private_key(data: bytes) -> bool:
     if data.startswith(b"openssh-key-v1\0"):
-        at = 15
-        for _ in range(3):  # cipher, key derivation and its options
-            if at + 4 > len(data):
-                return False
-            at += 4 + int.from_bytes(data[at : at + 4], "big")
-        return at + 8 <= len(data) and int.from_bytes(data[at : at + 4], "big") >= 1
+        return _is_openssh(data)
     top = _element(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False

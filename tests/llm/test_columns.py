@@ -11,6 +11,8 @@ import zlib
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from candor.llm import media, quality, secrets, sharding
 
 from .cases import awkward, empty
@@ -96,6 +98,18 @@ def test_shards_are_balanced(spark, hot):
     assert sharding.shard(empty(spark)).collect() == []
 
 
+def test_places_depend_on_no_size(spark, monkeypatch):
+    """How rows are grouped for counting changes nothing, and texts are cut only at borders of shards."""
+    docs = spark.createDataFrame([(k, f"text {k % 40}") for k in range(400)] + [(400 + k, "hot") for k in range(300)], "doc_id long, text string")
+    runs = []
+    for parts in (1000, 20, 2, 1):
+        monkeypatch.setattr(sharding, "HOT_PARTS", parts)
+        runs.append({r.doc_id: (r.shard, r.slot) for r in sharding.shard(docs, shards=5, nodes=8).collect()})
+    assert all(r == runs[0] for r in runs) and len(runs[0]) == 700
+    cut = sum(len({runs[0][r.doc_id][0] for r in docs.where(F.col("text") == f"text {k}").collect()}) > 1 for k in range(40))
+    assert cut <= 5 * 8
+
+
 # --- 4: quality
 
 
@@ -115,6 +129,38 @@ def brute_stats(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dups, len(covered), failed
 
 
+def brute_kept(text):
+    """The line rules, one line at a time."""
+    text = text or ""
+    seen, lost, total = set(), 0, 0
+    for line in text.split("\n"):
+        words = WORDS.findall(line)
+        n, chars = len(words), sum(map(len, words))
+        total += chars
+        fails = n > 0 and (
+            10 * len(re.findall(r"[#*$%&|<>]", line)) > n
+            or (n >= 3 and 10 * sum(w in "| / > » · • - –".split() for w in words) > n)
+            or (n >= 10 and not re.search(r"[.,;:!?…]", line))
+            or 10 * line.count("!!") > n
+            or (n >= 3 and line == line.upper() != line.lower())
+            or (n <= 30 and any(p in line.lower() for p in quality.BOILERPLATE))
+            or (n >= 3 and line in seen)
+        )
+        seen.add(line)
+        lost += fails * chars
+    return not brute_stats(text)[-1] and lost <= quality.MOST_LOST * total
+
+
+def test_kept_by_the_rules(spark):
+    rng = random.Random(16)
+    whole = "The house by the river was sold again, for the third time that year."
+    lines = [whole, "Some said a painter, others a priest.", "BUY NOW AND SAVE", "home | news | sport | more", "x$$$ y%%% z", "so good!! so cheap!!", "Tous droits réservés.", "see NEWSLETTER", "no stop here at all but many words that never seem to end", "", "ok", "Zwei Wörter und mehr, alle Rechte vorbehalten"]
+    texts = ["\n".join(rng.choice(lines[:2] * 4 + lines) + f" {rng.randint(0, 99)}" * rng.randint(0, 1) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string")
+    want = {r.doc_id: brute_kept(r.text) for r in docs.collect()}
+    assert {r.doc_id: r.kept for r in quality.judge(docs).collect()} == want and 40 < sum(want.values()) < 350
+
+
 def test_quality_statistics(spark):
     rng = random.Random(6)
     extra = ["".join(rng.choices(["a ", "b ", "c ", "\n", "\t", "é ", "# ", "<x> ", "\xa0", "long ", " "], k=rng.randint(0, 200))) for _ in range(200)]
@@ -161,9 +207,10 @@ def test_media_round_trip(spark):
     for r in rows:
         by_text[r.payload_sha256].add((r.media_bytes, r.media_sha256, r.feature))
     assert all(len(v) == 1 for v in by_text.values())
-    heads = media.metadata(index, folder).collect()
-    assert all((h.width, h.bits, h.colour) == (192, 8, 0) for h in heads) and sum(h.height for h in heads) * 192 == sum(r.payload_bytes for r in rows)
-    assert media.catalog(index).count() == len(by_text)
+    heads = media.metadata(media.catalog(index), folder).collect()
+    assert len(heads) == len(by_text) and sum(h.rows for h in heads) == len(rows)
+    assert all((h.width, h.bits, h.colour) == (192, 8, 0) for h in heads) and {h.digest: 192 * h.height for h in heads} == {r.payload_sha256: r.payload_bytes for r in rows}
+    assert all((r.digest, r.width, r.height * 192) == (r.payload_sha256, 192, r.payload_bytes) for r in rows)
     none, folder = media.store(empty(spark))
     assert media.features(none, folder).collect() == []
 
@@ -183,6 +230,24 @@ def test_shards_are_tar_files_of_pngs(spark):
     assert names == {r.digest for r in index.collect()}
 
 
+def test_one_place_for_each_digest(spark, monkeypatch):
+    """Equal texts in several tasks and shards of a few members: rows share one place, and the header's bytes suffice for metadata."""
+    monkeypatch.setattr(media, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(media, "MOST_HELD", 5)
+    docs = spark.createDataFrame([(k, f"text {k % 11} " * (1 + k % 11)) for k in range(120)], "doc_id long, text string").repartition(3)
+    index, folder = media.store(docs)
+    assert index.select("shard").distinct().count() > 6
+    rows = media.features(index, folder).collect()
+    places = collections.defaultdict(set)
+    for r in rows:
+        places[r.digest].add((r.shard, r.offset, r.length))
+    assert len(rows) == 120 and len(places) == 11 and all(len(p) == 1 for p in places.values())
+    shard, offset, _ = next(iter(places[rows[0].digest]))
+    with open(f"{folder.removeprefix('file://')}/{shard}", "rb") as f:
+        f.seek(offset)
+        assert media.png_header(f.read(media.HEADER_BYTES)) == (192, rows[0].height, 8, 0)
+
+
 def test_damage_is_found():
     form = media.encode_png(media.payload_of("some text")[0])
     assert media.decode_png(form) == media.payload_of("some text")[0]
@@ -232,8 +297,17 @@ def test_structures_are_confirmed():
     number = lambda n: der(2, bytes([1] + [rng.randrange(256) for _ in range(n - 1)]))
     rsa = der(0x30, der(2, b"\0") + b"".join(number(64) for _ in range(8)))
     pkcs8 = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x01\x01") + der(5, b"")) + der(4, rsa))
-    ssh = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + bytes(60)
-    for key in (rsa, pkcs8, ssh):
+    packed = lambda *parts: b"".join(len(x).to_bytes(4, "big") + x for x in parts)
+    seed, check = rng.randbytes(32), rng.randbytes(4)
+    body = check * 2 + packed(b"ssh-ed25519", seed, seed + seed, b"me@here")
+    body += bytes(range(1, 1 + -len(body) % 8))
+    head, public = b"openssh-key-v1\0" + packed(b"none", b"none", b"") + (1).to_bytes(4, "big"), packed(b"ssh-ed25519", seed)
+    ssh = head + packed(public, body)
+    locked = b"openssh-key-v1\0" + packed(b"aes256-ctr", b"bcrypt", packed(rng.randbytes(16)) + (16).to_bytes(4, "big")) + (1).to_bytes(4, "big") + packed(public, rng.randbytes(144))
+    words = b"openssh-key-v1\0" + packed(b"none", b"none", b"") + (1).to_bytes(4, "big") + b"only plain words that follow a good head" * 2
+    for bad in (head + bytes(60), words, ssh + b"\0" * 8, ssh[:-1], head + packed(public, b"\1" + body[1:]), head + packed(b"plain words", body), head + packed(public, body[:-1])):
+        assert not secrets.is_private_key(bad)
+    for key in (rsa, pkcs8, ssh, locked):
         assert secrets.is_private_key(key)
         for form in (base64.b64encode(key).decode(), key.hex().upper()):
             text = f"é see {form} here"
