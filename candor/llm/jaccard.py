@@ -6,17 +6,21 @@
    links; the sketch only decides how many candidates there are.
 2. Two sets of sizes n and m with 100 |A & B| >= t |A | B| share one of their first n - ceil(t n / 100) + 1
    shingles. Those that the sketch has seen once are in no other text; the others are the entries that are joined.
-3. Shingles with few entries give pairs, cut by the length filter and the positional filter. Shingles with many
-   are never expanded into pairs: documents that they connect form a family, cut into blocks of one size band,
-   and each two blocks of adjacent bands are compared as matrices in one task, which returns no more links than
-   it takes to connect what it found.
+3. Shingles with few entries give pairs, cut by the length filter and the positional filter. Of a shingle with many,
+   all entries are paired with one of them, the pivot; PIVOTS times, each time only where the links so far leave
+   several components among the entries.
 4. Pairs are distinct, and are verified once on the sets themselves, after the suffix filter (the counts of both
    sets in ranges of the hash bound their difference from below).
-5. Links between classes are contracted to components; every document gets the smallest doc_id of its component.
+5. What pivots leave apart is compared by blocks of documents of one size band: each two blocks of adjacent bands
+   are compared as matrices in one task, which returns no more links than it takes to connect what it found. Blocks
+   are those of the entries of one shingle, or of all documents that such shingles connect (a family), whichever
+   is less work; blocks within a component of links aren't compared.
+6. Links between classes are contracted to components; every document gets the smallest doc_id of its component.
 
 Null and blank texts have no shingles and are linked with nothing; texts of fewer words than a shingle have one,
 the whole sequence. Rows that share a doc_id are one document with the links of each; a null doc_id has no
-component. Very long texts give long sets, and empty tables no rows. Only doc_id and text are read.
+component. Very long texts give long sets, and empty tables no rows. Only doc_id and text are read. Joins are by
+shuffles that salt hot keys: a group of copies of any size, a pivot or a component is never one task's work.
 """
 
 from __future__ import annotations
@@ -30,13 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import files_for, written
+from .store import even_join, few_parts, written
 from .units import coded, lower_ascii, resident, slices, split_words, texts
 
 SKETCH_BITS = 26
 CHUNK_BITS = 19
-#: Shingles with more entries than this are compared by blocks.
+#: Shingles with more entries than this are paired with pivots, and compared by blocks where these leave them apart.
 PAIRED = 8
+PIVOTS = 1
 BLOCK = 128
 #: Shingles of a pair of blocks that are compared at once, about.
 RANGE_SHINGLES = 300_000
@@ -261,59 +266,141 @@ def _blocks(t: int):
     return run
 
 
-def _link_blocks(families: DataFrame, sets: DataFrame, t: int, block: int) -> DataFrame:
-    """Links inside of families (doc_id, n, family), by blocks."""
+def _link_blocks(groups: DataFrame, sets: DataFrame, t: int, block: int) -> DataFrame:
+    """Links inside of groups (family, doc_id, n, c: component of the links so far), by blocks."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / t)) + 1e-9).cast("long") if t < 100 else F.col("n")
-    docs = families.withColumn("band", band)
-    size = docs.groupBy("family", "band").agg(F.count("*").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / block).cast("long"))
-    docs = docs.join(size.select("family", "band", "parts"), ["family", "band"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).select("doc_id", "family", "band", "part")
-    # each block with those of its own band from its number on, and with all of the next band
-    near = size.select("family", F.col("band").alias("band2"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part2"))
-    name = lambda b, p: F.concat_ws(":", F.col(b), F.col(p))
-    spread = docs.withColumn("band2", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1))).join(near, ["family", "band2"])
-    own = F.struct("band", "part")
-    other = F.struct(F.col("band2").alias("band"), F.col("part2").alias("part"))
-    tasks = spread.select("family", "doc_id", name("band", "part").alias("x"), name("band2", "part2").alias("y"), (own <= other).alias("first"))
-    tasks = tasks.select("family", F.when(F.col("first"), F.col("x")).otherwise(F.col("y")).alias("one"), F.when(F.col("first"), F.col("y")).otherwise(F.col("x")).alias("two"), "doc_id", "first")
+    docs = written(groups.withColumn("band", band), "block-docs")
+    total = docs.count()
+    own = docs.groupBy("family", "band", "c").agg(F.count("*").alias("rows"))
+    # components beyond a block have blocks of their own (of: their number), the others share some (of: null)
+    kinds = own.withColumn("of", F.when(F.col("rows") > block, F.col("c")))
+    docs = even_join(docs, kinds, ["family", "band", "c"], total, F.col("doc_id"))
+    blocks = kinds.groupBy("family", "band", "of").agg(F.sum("rows").alias("rows")).withColumn("parts", F.ceil(F.col("rows") / block).cast("long"))
+    lists = blocks.groupBy("family", "band").agg(F.collect_list(F.struct("of", "parts")).alias("list"), F.sum("rows").alias("rows"))  # one for each component beyond a block
+    docs = even_join(docs, lists, ["family", "band"], total, F.col("doc_id"))
+    mine = F.filter("list", lambda x: x["of"].eqNullSafe(F.col("of")))[0]["parts"]
+    docs = docs.withColumn("part", F.pmod(F.xxhash64(F.coalesce("of", "c"), F.when(F.col("of").isNotNull(), F.col("doc_id"))), mine)).drop("list")
+    # each block with those of its own band and of the bands beside it
+    beside = docs.withColumn("band2", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    reached = lists.select("family", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "rows").groupBy("family", "band").agg(F.sum("rows").alias("rows"))
+    lists = lists.select("family", "band", "list").join(reached, ["family", "band"]).withColumnRenamed("band", "band2")
+    spread = even_join(beside, lists, ["family", "band2"], 3 * total, F.col("doc_id")).select("*", F.explode("list").alias("other"))
+    spread = spread.where(F.col("of").isNull() | F.col("other.of").isNull() | (F.col("of") != F.col("other.of")))
+    spread = spread.withColumn("part2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other.parts") - 1)))
+    name = lambda *c: F.struct(*(F.coalesce(x, F.lit(-1).cast("long")).alias(f"x{k}") for k, x in enumerate(c)), c[1].isNull().alias("x3"))
+    x, y = name(F.col("band"), F.col("of"), F.col("part")), name(F.col("band2"), F.col("other.of"), F.col("part2"))
+    tasks = spread.select("family", F.least(x, y).alias("one"), F.greatest(x, y).alias("two"), "doc_id", (x <= y).alias("first"))
     return tasks.join(sets, "doc_id").groupBy("family", "one", "two").applyInArrow(_blocks(t), "u long, v long")
 
 
 # --- the operator
 
 
-def groups(docs: DataFrame, n: int = 5, t: int = 80, sketch_bits: int = SKETCH_BITS, paired: int = PAIRED, block: int = BLOCK) -> DataFrame:
+def _apart(entries: DataFrame, found: DataFrame) -> tuple[DataFrame, int]:
+    """The entries (h, doc_id, n, place) of shingles whose documents lie in several components found, with these (c)."""
+    found = found.select(F.col("node").alias("doc_id"), F.col("component"))
+    known = written(entries.select("h", "doc_id", "n", "place").join(found, "doc_id", "left").select("h", "doc_id", "n", "place", F.coalesce("component", "doc_id").alias("c")), "hot")
+    total = known.count()
+    several = known.groupBy("h").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("rows")).where("x <> y").select("h", "rows")
+    left = written(few_parts(even_join(known, several, ["h"], total, F.col("doc_id")), total), "apart")
+    return left, left.count()
+
+
+def _stars(left: DataFrame, rows: int, turn: int, t: int) -> DataFrame:
+    """Candidates (u, v) of each shingle's entries with one of them that a hash picks, in another component than they."""
+    pick = F.min(F.struct(F.xxhash64("doc_id", F.lit(turn)).alias("by"), "doc_id", "n", "place", "c")).alias("p")
+    pivot = left.groupBy("h").agg(pick, F.count("*").alias("rows")).select("h", F.col("p.doc_id").alias("v"), F.col("p.n").alias("m"), F.col("p.place").alias("q"), F.col("p.c").alias("of"), "rows")
+    return _candidates(even_join(left, pivot, ["h"], rows, F.col("doc_id")).where("c <> of"), t)
+
+
+def _candidates(x: DataFrame, t: int) -> DataFrame:
+    """The distinct pairs (u, v) of x (doc_id, n, place, and the same of the other: v, m, q) that the filters leave."""
+    least, most = F.least("n", "m"), F.greatest("n", "m")
+    bound = F.least("place", "q") + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q"))
+    kept = x.where((F.col("doc_id") != F.col("v")) & (100 * least >= t * most) & ((100 + t) * bound >= t * (F.col("n") + F.col("m"))))
+    return kept.select(F.least("doc_id", "v").alias("u"), F.greatest("doc_id", "v").alias("v")).distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """The pairs (u, v) of a written table that link, each compared once; a document of very many pairs is salted."""
+    total = pairs.count()
+
+    def with_set(rows: DataFrame, side: str, name: str, other: str) -> DataFrame:
+        times = pairs.groupBy(side).agg(F.count("*").alias("rows"))
+        return even_join(rows, sets.select(F.col("doc_id").alias(side), F.col("set").alias(name)).join(times, side), [side], total, F.col(other), unique=False)
+
+    both = with_set(with_set(pairs, "u", "a", "v"), "v", "b", "u")
+    return both.select("u", "v", "a", "b").mapInArrow(_verify(t), "u long, v long")
+
+
+def groups(docs: DataFrame, n: int = 5, t: int = 80, sketch_bits: int = SKETCH_BITS, paired: int = PAIRED, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text): n words a shingle, similarity t percent."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     both = written(text.mapInArrow(_profile(n, sketch_bits), "doc_id long, n long, s1 long, s2 long, chunk int, blob binary"), "profiles")
     meta = both.where("n is not null").select("doc_id", "n", "s1", "s2")
+    total = meta.count()
     per = min(sketch_bits, CHUNK_BITS)
     chunks = {r["chunk"]: bytes(r["blob"]) for r in both.where("chunk is not null").select("chunk", "blob").groupBy("chunk").applyInArrow(_summed(per), "chunk int, blob binary").collect()}  # 2 ** sketch_bits bytes at most
     sketch = sc.broadcast({"key": uuid.uuid4().hex, "chunks": chunks})
-    classes = meta.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    filled = meta.where("n > 0 and doc_id is not null")
+    classes = written(few_parts(filled.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), total), "classes")
+    # the representative of each row, its own document if it has none
+    named = even_join(filled, classes.where("rows > 1"), ["n", "s1", "s2"], total, F.col("doc_id"), "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
+    named = written(few_parts(named.unionByName(meta.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("rep"))), total), "named")
+    many_texts = named.groupBy("doc_id").agg(F.min("rep").alias("x"), F.max("rep").alias("y"), F.count("*").alias("rows")).where("x <> y").select("doc_id", "rows")
+    same = None
+    if not many_texts.isEmpty():
+        same = even_join(named, many_texts, ["doc_id"], total, F.xxhash64("rep")).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct()
+
     entries = text.mapInArrow(_entries(n, t, sketch_bits, sketch), "h long, doc_id long, n long, place long")
     entries = written(entries.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), "entries")
     sketch.destroy()
-    files = files_for(entries.count())
-    count = entries.groupBy("h").agg(F.count("*").alias("rows"), F.min(F.struct("n", "doc_id")).alias("hub")).where("rows > 1")
-    few, many = count.where(F.col("rows") <= paired).select("h"), count.where(F.col("rows") > paired).select("h", F.col("hub.doc_id").alias("hub"))
-    x = entries.join(few, "h", "left_semi")
-    y = x.select("h", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("place").alias("q"))
-    least, most = F.least("n", "m"), F.greatest("n", "m")
-    bound = F.least("place", "q") + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("q"))
-    pairs = x.withColumnRenamed("doc_id", "u").join(y, "h").where((F.col("u") < F.col("v")) & (100 * least >= t * most) & ((100 + t) * bound >= t * (F.col("n") + F.col("m"))))
-    pairs = written(pairs.select("u", "v").distinct().coalesce(files), "pairs")
-    hot = written(entries.join(many, "h").select(F.col("doc_id").alias("u"), F.col("hub").alias("v"), "n").coalesce(files), "hot")
-    families = written(components(hot.select("u", "v")).join(hot.select(F.col("u").alias("node"), "n").distinct(), "node").select(F.col("node").alias("doc_id"), "n", F.col("component").alias("family")).coalesce(files), "families")
-    ids = written(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(families.select("doc_id")).distinct().coalesce(files), "wanted")
+    number = entries.count()
+    few = lambda df: few_parts(df, number)
+    count = written(few(entries.groupBy("h").agg(F.count("*").alias("rows")).where("rows > 1")), "counts")
+    shared = even_join(entries, count.withColumn("often", F.col("rows") > paired), ["h"], number, F.col("doc_id"))
+    shared = written(few(shared.select("h", "doc_id", "n", "place", "often")), "shared")
+    x = shared.where("not often").drop("often")
+    pairs = _candidates(x.join(x.select("h", F.col("doc_id").alias("v"), F.col("n").alias("m"), F.col("place").alias("q")), "h").where("doc_id < v"), t)
+    hot = shared.where("often").drop("often")
+    rows = hot.count()
+    if rows and pivots:
+        pairs = pairs.unionByName(_stars(hot.withColumn("c", F.col("doc_id")), rows, 0, t)).distinct()
+    pairs = written(few(pairs), "pairs")
+    ids = written(few(pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).union(hot.select("doc_id")).distinct()), "wanted")
     near = text.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     sets = written(near.mapInArrow(_sets(n), "doc_id long, set binary"), "sets")
-    sided = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("set").alias("a")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("set").alias("b")), "v")
-    links = sided.select("u", "v", "a", "b").mapInArrow(_verify(t), "u long, v long").unionByName(_link_blocks(families, sets, t, block))
+    links = _verified(pairs, sets, t)
+    links = written(few(links.unionByName(same) if same else links), "links")
     found = components(links)
-    named = meta.join(classes, ["n", "s1", "s2"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    left, rows = _apart(hot, found) if rows else (hot, 0)
+    for turn in range(1, pivots):
+        if not rows:
+            break
+        star = written(few(_stars(left, rows, turn, t)), "star")
+        links = written(few(links.unionByName(_verified(star, sets, t))), "links")
+        found = components(links)
+        left, rows = _apart(left, found)
+    if rows:
+        found = components(links.unionByName(_link_blocks(_cheapest(left), sets, t, block)))
+    sizes = named.groupBy("rep").agg(F.count("*").alias("rows"))
+    found = found.withColumnRenamed("node", "rep").join(sizes, "rep")
+    return even_join(named, found, ["rep"], total, F.col("doc_id"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+
+
+def _cheapest(left: DataFrame) -> DataFrame:
+    """(family, doc_id, n, c): documents to be compared, by shingle or by the family that shingles connect, whichever has fewer pairs."""
+    total = left.count()
+    hubs = left.groupBy("h").agg(F.min("doc_id").alias("hub"), F.count("*").alias("rows"))
+    family = components(even_join(left, hubs, ["h"], total, F.col("doc_id")).select(F.col("doc_id").alias("u"), F.col("hub").alias("v")))
+    of = hubs.join(family.withColumnRenamed("node", "hub"), "hub")
+    cost = of.groupBy("component").agg(F.sum(F.col("rows").cast("double") * F.col("rows")).alias("by_shingle"))
+    cost = cost.join(family.groupBy("component").agg(F.count("*").cast("double").alias("all")), "component")
+    way = of.join(cost, "component").select("h", "rows", F.when(F.col("by_shingle") < F.col("all") * F.col("all"), F.col("h")).otherwise(F.col("component")).alias("family"), (F.col("by_shingle") < F.col("all") * F.col("all")).alias("own"))
+    dealt = even_join(left, way, ["h"], total, F.col("doc_id"))
+    return dealt.select(F.xxhash64("own", "family").alias("family"), "doc_id", "n", "c").distinct()
 
 
 def one_of_each(docs: DataFrame, n: int = 5, t: int = 80, **options) -> DataFrame:

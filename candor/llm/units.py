@@ -17,10 +17,10 @@ KEPT_UNITS = 600_000
 _SEPARATORS = "\x01\x02\x03\x04\x05\x06\x0e\x0f\x10|§¶†‡•■►◆★"
 
 
-def tune(spark) -> None:
+def tune(spark, batch: str = "16m") -> None:
     """Arrow batches of a bounded number of rows and bytes; joins by hash where measured sizes allow."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch)
     spark.conf.set("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")  # hash joins where every measured partition fits
 
 

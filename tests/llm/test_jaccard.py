@@ -6,7 +6,9 @@ import re
 import numpy as np
 import pytest
 
-from candor.llm import components, jaccard
+from pyspark.sql import functions as F
+
+from candor.llm import components, jaccard, store
 
 from .cases import awkward, empty
 
@@ -63,11 +65,50 @@ def test_groups_equal_all_pairs(spark, n, t):
     rng = random.Random(n)
     texts = near_copies(rng, 6, 14, 60, 3) + near_copies(rng, 30, 2, 40, 2) + ["a B", "A b", "a", "c d e", "same line here"] * 2
     docs = awkward(spark, texts)
-    for paired, block in ((8, 128), (2, 4), (100, 128)):
-        got = jaccard.groups(docs, n, t, sketch_bits=16, paired=paired, block=block).collect()
+    for paired, block, pivots in ((8, 128, 3), (2, 4, 0), (2, 3, 1)):
+        got = jaccard.groups(docs, n, t, sketch_bits=16, paired=paired, block=block, pivots=pivots).collect()
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(docs.collect(), n, t)
 
 
+def test_a_document_with_several_texts_has_the_links_of_each(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    rows = [(1, b), (2, a), (4, a), (4, b), (5, a + " more"), (6, ""), (6, "own text of six"), (7, None), (7, b), (None, a), (8, "own text of six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.groups(docs, 3, 90, sketch_bits=12).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(docs.collect(), 3, 90)
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 4: 1, 5: 1, 6: 6, 7: 1, 8: 6, None: None}
+
+
+def test_hot_keys(spark):
+    """A third of all rows equal, a third blank, and near copies around one text, beyond the number that is salted."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    near = [" ".join(base[:k] + [rng.choice("xyz")] + base[k + 1 :]) for k in range(59)]
+    texts = near + ["the same text again and again"] * 120 + [""] * 120 + near_copies(rng, 4, 12, 30, 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute(docs.collect(), 3, 90)
+    for parts, pivots in ((1000, 3), (50, 3), (7, 1), (7, 0)):
+        store.HOT_PARTS = parts
+        try:
+            got = jaccard.groups(docs, 3, 90, sketch_bits=12, paired=3, block=8, pivots=pivots).collect()
+        finally:
+            store.HOT_PARTS = 1000
+        assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_even_joins_are_joins(spark, how):
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 1, k) for k in range(100)] + [(None, 100), (99, 101)], "key long, id long")
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(6)] + [(1, "again")], "key long, value string")
+    weighed = table.join(rows.groupBy("key").agg(F.count("*").alias("rows")), "key")
+    store.HOT_PARTS = 5
+    try:
+        got = store.even_join(rows, weighed, ["key"], 102, F.col("id"), how, unique=False)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(table, "key", how).collect()))
+    finally:
+        store.HOT_PARTS = 1000
+
+
 def test_a_poor_sketch_loses_nothing(spark):
     docs = spark.createDataFrame(list(enumerate(near_copies(random.Random(9), 5, 20, 50, 4))), "doc_id long, text string")
     want = brute(docs.collect(), 3, 90)
@@ -91,8 +132,10 @@ def test_components(spark):
     edges = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 300), rng.randrange(200, 300)) for _ in range(60)] + [(7, 7)]
     nodes = {x for e in edges for x in e if e[0] != e[1]}
     want = closure([e for e in edges if e[0] != e[1]], nodes)
-    got = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
-    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    for local in (1000, 40, 0):
+        got = components.components(spark.createDataFrame(edges, "u long, v long"), local).collect()
+        assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert components.components(spark.createDataFrame([(1, 1)], "u long, v long")).collect() == []
 
 
 def test_filters_are_bounds():
