@@ -5,13 +5,15 @@ nodes; all keys of an arc walk clockwise over the same nodes, so counts of rows
 numbers, whatever the input) decide everything. A shard holds the mean number of rows, rounded up or down, and
 the capacities sum to the number of rows: counts differ by one at most (law "rows"). Each arc gives its rows to
 its own shard up to the capacity; what overflows continues clockwise, arcs by the length of their walk, until it
-finds room. Rows of an arc are ordered by hash, so at most one group of copies is cut at each border.
+finds room. Rows of an arc are in an order of their own that no size decides: by a slice of the hash, the hash, a
+hash of doc_id, doc_id. So each border cuts one group of copies at most, and further rows move only what they push.
 
-Which rows of an arc go where is decided by their rank in it, counted in two levels (salted groups of the arc,
-then sums of the groups), so that neither a hot arc nor a text with a third of all rows is one task's work.
+Which rows of an arc go where is decided by their rank in it, counted in two levels: within a slice of an arc (a
+sixteenth of it; a text with more than a HOT_PARTSth of all rows is cut into runs of this order as well), then over
+the sums of these, so that neither a hot arc nor a text with a third of all rows is one task's work.
 
 Null texts count as empty; their size is the row's constant. Repeated rows and ties take ranks of their own;
-tables without rows give none. Only doc_id, sizes and hashes are shuffled, never texts.
+tables without rows give none. Texts are read once: keys and sizes are written, and only they are shuffled.
 """
 
 from __future__ import annotations
@@ -22,14 +24,16 @@ import json
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import HOT_PARTS, written
+
 SHARDS = 40
 NODES = 64
 ROW_BYTES = 16
 #: The ring's places; hashes are cut to so many bits.
 RING_BITS = 16
 _RING = 1 << RING_BITS
-#: Groups into which the rows of an arc are salted, at least, and the rows for which there is another.
-SALTS, SALT_ROWS = 64, 200_000
+#: Slices of an arc, and runs of a hot text.
+SLICES, RUNS = 16, 256
 
 
 def ring(shards: int, nodes: int) -> list[tuple[int, int]]:
@@ -94,19 +98,30 @@ def shard(docs: DataFrame, shards: int = SHARDS, nodes: int = NODES, text: str =
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(body).cast("long") + ROW_BYTES).alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), h.alias("h"), F.shiftrightunsigned(h, 64 - RING_BITS).cast("int").alias("place")
     )
-    rows = rows.join(F.broadcast(_arcs(spark, points)), "place").drop("place")
+    rows = written(rows.join(F.broadcast(_arcs(spark, points)), "place").drop("place").withColumn("slice", F.pmod(F.xxhash64("h"), F.lit(SLICES)).cast("int")), "ring-keys")
+    cells = rows.groupBy("arc", "slice").agg(F.count("*").alias("n")).collect()  # SLICES numbers for each virtual node
     counts = [0] * len(points)
-    total = 0
-    for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect():  # one number for each virtual node
-        counts[r["arc"]] = r["n"]
-        total += r["n"]
+    for r in cells:
+        counts[r["arc"]] += r["n"]
+    total = sum(counts)
     flows = _table(spark, walk(counts, points, shards), "arc: int, lo: bigint, hi: bigint, shard: int, base: bigint")
-    salts = max(SALTS, total // SALT_ROWS)
-    # order within an arc: by the hash's slice, then salt, then hash
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("h"), F.lit(8)) * salts + F.pmod(F.xxhash64("doc_id"), F.lit(salts)))
-    local = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc", "part").orderBy("h", "doc_id")) - 1)
-    sums = rows.groupBy("arc", "part").agg(F.count("*").alias("n"))
-    sums = sums.select("arc", "part", (F.sum("n").over(Window.partitionBy("arc").orderBy("part")) - F.col("n")).alias("ahead"))
-    ranked = local.join(sums, ["arc", "part"]).withColumn("rank", F.col("rank") + F.col("ahead"))
+    # texts with many rows lie in cells with many: fewer than HOT_PARTS of either
+    large = [{"arc": r["arc"], "slice": r["slice"]} for r in cells if r["n"] * HOT_PARTS > total]
+    hot = []
+    if large:
+        within = rows.join(F.broadcast(_table(spark, large, "arc: int, slice: int")), ["arc", "slice"])
+        hot = [r.asDict() for r in within.groupBy("arc", "slice", "h").agg(F.count("*").alias("n")).where(F.col("n") * HOT_PARTS > total).select("arc", "slice", "h").collect()]
+    texts = _table(spark, hot, "arc: int, slice: int, h: bigint").groupBy("arc", "slice").agg(F.collect_list("h").alias("hot"))
+    # a run of the order within a cell: before, in or after a hot text, and there by the hash of doc_id
+    rows = rows.join(F.broadcast(texts), ["arc", "slice"], "left").withColumn("by", F.xxhash64("doc_id"))
+    below = F.coalesce(F.size(F.filter("hot", lambda x: x < F.col("h"))), F.lit(0))
+    is_hot = F.coalesce(F.array_contains("hot", F.col("h")), F.lit(False))
+    run = 2 * below * RUNS + F.when(is_hot, RUNS + F.shiftright("by", 56) + RUNS // 2).otherwise(0)
+    rows = rows.withColumn("run", run.cast("int")).drop("hot")
+    keys = ["arc", "slice", "run"]
+    local = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "by", "doc_id")) - 1)
+    sums = rows.groupBy(*keys).agg(F.count("*").alias("n"))  # a few for each cell, RUNS for each hot text
+    sums = sums.select(*keys, (F.sum("n").over(Window.partitionBy("arc").orderBy("slice", "run")) - F.col("n")).alias("ahead"))
+    ranked = local.join(F.broadcast(sums), keys).withColumn("rank", F.col("rank") + F.col("ahead"))
     placed = ranked.join(F.broadcast(flows), (ranked["arc"] == flows["arc"]) & (ranked["rank"] >= flows["lo"]) & (ranked["rank"] < flows["hi"]))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
