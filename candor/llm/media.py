@@ -1,9 +1,11 @@
 """Media columns over content-addressed payloads in tar shards.
 
 Each task packs the payloads of its rows into tar files of its own. A payload's member is named by its SHA-256
-and stored once in a task, however many rows hold it; a row carries digest, shard, offset and length of the
-stored form. The stored form here is an 8-bit greyscale PNG, WIDTH samples to a line, whose header's 33 bytes
-say everything about the shape: metadata columns come from range reads of these bytes alone.
+and stored once in a task, however many rows hold it. Of the places that tasks stored a payload at, the catalog
+keeps one for each digest, so a row's digest says where its payload lies: shard, offset and length of the stored
+form. The stored form here is an 8-bit greyscale PNG, WIDTH samples to a line, whose header's 33 bytes say
+everything about the shape: metadata columns come from range reads of these bytes alone. Payloads are read back
+once for each digest, in the order in which they lie in the shards, and joined to the rows that hold them.
 
 A payload is the text's UTF-8 bytes, padded with blanks to a positive multiple of WIDTH.
 
@@ -27,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import new_path
+from .store import even_join, new_path, written
 from .units import slices, texts
 
 WIDTH = 192
 SHARD_BYTES = 256 << 20
+#: Stored bytes that one task reads back, about.
+READ_BYTES = 64 << 20
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
+#: Digests that a task remembers, some 200 MB.
+MOST_HELD = 1_000_000
 INDEX = "doc_id long, n_bytes long, digest string, shard string, offset long, length long"
 
 
@@ -108,10 +114,12 @@ def _store(folder: str):
                             if out is not None:
                                 out.write(bytes(1024))
                                 out.close()
-                            name, at, held = f"{uuid.uuid4().hex}.tar", 0, {}
+                            name, at = f"{uuid.uuid4().hex}.tar", 0
                             out = system.open_output_stream(f"{root}/{name}")
                         form = encode_png(payload)
                         out.write(_member(f"{digest}.png", len(form)) + form + bytes(-len(form) % 512))
+                        if len(held) >= MOST_HELD:
+                            held.clear()  # stored again where it comes again; the catalog keeps one place
                         held[digest] = (name, at + 512, len(form))
                         at += 512 + len(form) + -len(form) % 512
                     rows.append((doc_id, n, digest, *held[digest]))
@@ -133,44 +141,53 @@ def store(docs: DataFrame) -> tuple[DataFrame, str]:
 
 
 def catalog(index: DataFrame) -> DataFrame:
-    """digest, one address (the first shard's) and the number of rows: the content-addressed view of an index."""
-    return index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"), F.count("*").alias("rows")).select("digest", "at.*", "rows")
+    """digest, shard, offset, length, rows: one place for each digest, and its number of rows; dealt and ordered for reading."""
+    spark = index.sparkSession
+    own = index.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"), F.count("*").alias("rows")).select("digest", "at.*", "rows")
+    own = written(own, "media-catalog")
+    parts = max(2 * spark.sparkContext.defaultParallelism, (own.agg(F.sum("length")).first()[0] or 0) // READ_BYTES)
+    return own.repartitionByRange(parts, "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
-def _ranged(folder: str, visit, names: list[str], types: list[pa.DataType]):
+_KINDS = {"long": pa.int64(), "string": pa.string()}
+
+
+def _ranged(folder: str, visit, kept: list[str], added: str):
+    names, kinds = zip(*(c.split() for c in added.split(", ")))
+
     def run(batches):
         system, root = _filesystem(folder)
-        opened: dict[str, object] = {}
+        name, file = None, None
         for batch in batches:
-            rows, last = [], {}
+            rows = []
             for r in batch.to_pylist():
-                if r["shard"] not in opened:
-                    for f in opened.values():
-                        f.close()
-                    opened = {r["shard"]: system.open_input_file(f"{root}/{r['shard']}")}
-                key = (r["shard"], r["offset"])
-                if key not in last:
-                    if len(last) > 64:
-                        last.clear()
-                    last[key] = visit(opened[r["shard"]], r)
-                rows.append((r["doc_id"], *last[key]))
+                if r["shard"] != name:
+                    if file:
+                        file.close()
+                    name, file = r["shard"], system.open_input_file(f"{root}/{r['shard']}")
+                rows.append(visit(file, r))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
-        for f in opened.values():
-            f.close()
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, _KINDS[t]) for c, t in zip(zip(*rows), kinds))], [*kept, *names])
+        if file:
+            file.close()
 
     return run
 
 
-def metadata(index: DataFrame, folder: str) -> DataFrame:
-    """doc_id, width, height, bits, colour of each row, from range reads of the headers only."""
+def _with(places: DataFrame, folder: str, visit, added: str) -> DataFrame:
+    """places (shard, offset, length and others) with the columns that visit(file, row) reads."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in places.schema)
+    return places.mapInArrow(_ranged(folder, visit, places.columns, added), f"{schema}, {added}")
+
+
+def metadata(places: DataFrame, folder: str) -> DataFrame:
+    """places with width, height, bits, colour, from range reads of the headers only."""
 
     def visit(f, r):
         f.seek(r["offset"])
         return png_header(f.read(HEADER_BYTES))
 
-    names = ["doc_id", "width", "height", "bits", "colour"]
-    return index.mapInArrow(_ranged(folder, visit, names, [pa.int64()] * 5), "doc_id long, width long, height long, bits long, colour long")
+    return _with(places, folder, visit, "width long, height long, bits long, colour long")
 
 
 def feature_of(payload: bytes) -> str:
@@ -184,18 +201,19 @@ def feature_of(payload: bytes) -> str:
 
 def _features(f, r):
     f.seek(r["offset"])
-    head = f.read(HEADER_BYTES)
-    width, height, _, _ = png_header(head)
-    form = head + f.read(r["length"] - HEADER_BYTES)
+    form = f.read(r["length"])
     payload = decode_png(form)
     digest = hashlib.sha256(payload).hexdigest()
-    if digest != r["digest"] or width * height != len(payload):
+    if digest != r["digest"] or r["width"] * r["height"] != len(payload):
         raise ValueError(f"shard {r['shard']} doesn't hold {r['digest']} at {r['offset']}")
-    return (r["n_bytes"], len(payload), digest, zlib.crc32(payload[-16:]), len(form), hashlib.sha256(form).hexdigest(), feature_of(payload))
+    return (len(payload), digest, zlib.crc32(payload[-16:]), len(form), hashlib.sha256(form).hexdigest(), feature_of(payload))
+
+
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def features(index: DataFrame, folder: str) -> DataFrame:
-    """The payloads read back from the shards: sizes, digests and a feature for each row; nothing is shuffled."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return index.mapInArrow(_ranged(folder, _features, names, kinds), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """doc_id, n_bytes, what the payload read back gives (FEATURES), its place and the header's columns, for each row of index."""
+    read = written(_with(metadata(catalog(index), folder), folder, _features, FEATURES), "media-features")
+    rows = even_join(index.select("doc_id", "n_bytes", "digest"), read, ["digest"], index.count(), F.col("doc_id"))
+    return rows.select("doc_id", "n_bytes", *(c.split()[0] for c in FEATURES.split(", ")), "digest", "shard", "offset", "length", "width", "height", "bits", "colour")
