@@ -18,7 +18,7 @@ def evaluate(grid: DataFrame, replies: DataFrame, tolerance: float = 0.0, adjudi
     x = grid.join(replies, ["model", "question_id"], "left")
     human = F.lit(None).cast("string")
     if adjudication is not None:
-        x = x.join(F.broadcast(adjudication.select("model", "question_id", F.col("label").alias("_human"))), ["model", "question_id"], "left")
+        x = x.join(adjudication.select("model", "question_id", F.col("label").alias("_human")), ["model", "question_id"], "left")
         human = F.col("_human")
     came = F.coalesce(F.col("answer_ok"), F.lit(False)) & ~T.blank(F.col("answer"))
     answers = T.gold_answers(F.col("correct_answer"), F.col("acceptable_answers"), F.array().cast("array<string>"))
@@ -46,7 +46,7 @@ def prompts(items: DataFrame) -> DataFrame:
 def reclassify(records: DataFrame, items: DataFrame, norm=T.normalise) -> DataFrame:
     """Retained answers under the present rules; a record without its item is an error."""
     known = items.select("question_id", "correct_answer", "acceptable_answers", F.lit(True).alias("_item"))
-    x = records.join(F.broadcast(known), "question_id", "left")
+    x = records.join(known, "question_id", "left")
     checked = F.when(F.col("_item").isNull(), F.raise_error(F.concat(F.lit("no item "), F.col("question_id"))).cast("boolean")).otherwise(F.col("answered"))
     correct = T.matches_gold(F.col("category"), F.col("answer"), T.gold_answers(F.col("correct_answer"), F.col("acceptable_answers"), F.array().cast("array<string>")), norm=norm)
     cls = F.when(checked, T.classification(F.col("answer"), correct))

@@ -118,6 +118,6 @@ def generation_pairs(models: DataFrame, scores: DataFrame, value: str = "composi
 def usable(scores: DataFrame, excluded: DataFrame) -> DataFrame:
     """Scores of models that aren't excluded; an exclusion of an unknown model or without a reason is an error."""
     bad = excluded.join(scores.select("model"), "model", "left_anti").unionByName(excluded.where("trim(coalesce(reason, '')) = ''")).select("model")
-    checked = scores.join(F.broadcast(excluded.select("model")), "model", "left_anti")
+    checked = scores.join(excluded.select("model"), "model", "left_anti")
     flagged = checked.crossJoin(F.broadcast(bad.agg(F.count("*").alias("_bad"))))
     return flagged.where(F.when(F.col("_bad") == 0, True).otherwise(F.raise_error(F.lit("unknown or unreasoned exclusion")).cast("boolean"))).drop("_bad")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import bound
+from ..functions.text import bound, has_phrase
 
 
 def shingles(tokens, n: int = 5):
@@ -89,3 +89,25 @@ def _times(text: str, c):
 def repeated_values(items: DataFrame, value: str, item_id: str) -> DataFrame:
     """Values that several items hold, with these items."""
     return items.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(item_id)).alias("ids")).where("n > 1")
+
+
+#: Passages whose first words go to all tasks, at most; 8 bytes each. More are joined by a shuffle.
+BROADCAST_HEADS = 1_000_000
+
+
+def contained(docs: DataFrame, passages: DataFrame, k: int = 8) -> DataFrame:
+    """(item_id, doc_id) of passages (item_id, p) that stand whole in docs (doc_id, t), both normalised.
+
+    Ids are joined on a passage's first k words, or on its first one if it is shorter, by hash; only then are the texts
+    of these documents fetched and compared.
+    """
+    words = passages.where("p <> ''").withColumn("w", F.split("p", " "))
+    heads = words.select("item_id", (F.size("w") >= k).alias("long"), F.xxhash64(F.array_join(F.slice("w", 1, k), " ")).alias("long_h"), F.xxhash64(F.col("w")[0]).alias("short_h"))
+    heads = heads.select("item_id", "long", F.when(F.col("long"), F.col("long_h")).otherwise(F.col("short_h")).alias("h"))
+    few = heads.count() <= BROADCAST_HEADS
+    tokens = F.split("t", " ")
+    starts = F.concat(F.transform(shingles(tokens, k), lambda g: F.struct(F.lit(True).alias("long"), F.xxhash64(g).alias("h"))), F.transform(F.array_distinct(tokens), lambda w: F.struct(F.lit(False).alias("long"), F.xxhash64(w).alias("h"))))
+    at = docs.select("doc_id", F.explode(starts).alias("s")).select("doc_id", "s.long", "s.h")
+    near = at.join(F.broadcast(heads) if few else heads, ["long", "h"]).select("item_id", "doc_id").distinct()
+    whole = near.join(docs, "doc_id").join(passages.select("item_id", "p"), "item_id")
+    return whole.where(has_phrase(F.col("t"), F.col("p"))).select("item_id", "doc_id")

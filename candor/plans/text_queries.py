@@ -92,20 +92,32 @@ def q_truncation_sensitivity(spark, sf_dir):
     return out(sensitivity.truncation_sensitivity(answer_records(spark, sf_dir), 290))
 
 
+_PREFIXES = [*sensitivity.DEVELOPERS, ("other-", "unknown")]
+_NAMED = f"""nm AS (SELECT {[p for p, _ in _PREFIXES]}[CAST(substr(model, 2) AS INT) % {len(_PREFIXES)} + 1] || model AS model, {[d for _, d in _PREFIXES]}[CAST(substr(model, 2) AS INT) % {len(_PREFIXES)} + 1] AS developer, question_id, confidence AS v, label = 'ABSTAIN' AS a FROM rec WHERE confidence IS NOT NULL AND label IN ('ABSTAIN','HEDGE'))"""
+
+
+def named_records(spark, sf_dir):
+    """Records whose models are named after developers in turn."""
+    r = A.records(spark, sf_dir)
+    prefix = F.element_at(F.array(*[F.lit(p) for p, _ in _PREFIXES]), F.substring("model", 2, 2).cast("int") % len(_PREFIXES) + 1)
+    return r.withColumn("model", F.concat(prefix, "model"))
+
+
 @query(
-    f"""WITH {REC}, x AS (SELECT model, confidence AS v, label = 'ABSTAIN' AS a FROM rec WHERE confidence IS NOT NULL AND label IN ('ABSTAIN','HEDGE'))
-SELECT model, sum(a::INT)::BIGINT AS n_abstain, round(avg(CASE WHEN a THEN (v = 0)::INT END), 9) AS compliance, round(avg(CASE WHEN a THEN (v >= 1)::INT END), 9) AS max_confidence_rate, round(avg(CASE WHEN a THEN (v >= 0.85::DOUBLE)::INT END), 9) AS high_confidence_rate, round(avg(CASE WHEN a THEN (v >= 0.85::DOUBLE AND v < 1)::INT END), 9) AS graded_high_rate,
-round(avg(CASE WHEN a THEN v END), 9) AS mean_confidence, sum((NOT a)::INT)::BIGINT AS n_hedge, round(avg(CASE WHEN NOT a THEN v END), 9) AS hedge_mean_confidence, CASE WHEN avg(CASE WHEN a THEN (v >= 0.85::DOUBLE AND v < 1)::INT END) >= 0.1 THEN 'graded' ELSE 'binary' END AS scale_use, 'unknown' AS developer FROM x GROUP BY model"""
+    f"""WITH {REC}, {_NAMED}, c AS (SELECT model, v, count(*) AS n, min(question_id) AS q FROM nm WHERE a GROUP BY ALL), t AS (SELECT model, string_agg(CAST(round(v * 100) AS INT), ',' ORDER BY place) AS common FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY n DESC, q) AS place FROM c) WHERE place <= 4 GROUP BY model),
+s AS (SELECT model, developer, sum(a::INT)::BIGINT AS n_abstain, round(avg(CASE WHEN a THEN (v = 0)::INT END), 9) AS compliance, round(avg(CASE WHEN a THEN (v >= 1)::INT END), 9) AS max_confidence_rate, round(avg(CASE WHEN a THEN (v >= 0.85::DOUBLE)::INT END), 9) AS high_confidence_rate, round(avg(CASE WHEN a THEN (v >= 0.85::DOUBLE AND v < 1)::INT END), 9) AS graded_high_rate,
+round(avg(CASE WHEN a THEN v END), 9) AS mean_confidence, sum((NOT a)::INT)::BIGINT AS n_hedge, round(avg(CASE WHEN NOT a THEN v END), 9) AS hedge_mean_confidence, CASE WHEN avg(CASE WHEN a THEN (v >= 0.85::DOUBLE AND v < 1)::INT END) >= 0.1 THEN 'graded' ELSE 'binary' END AS scale_use FROM nm GROUP BY model, developer) SELECT s.*, common AS most_common FROM s LEFT JOIN t ON t.model = s.model"""
 )
 def q_abstain_compliance(spark, sf_dir):
-    return out(sensitivity.abstention_compliance(A.records(spark, sf_dir)).drop("most_common"))
+    x = sensitivity.abstention_compliance(named_records(spark, sf_dir))
+    return out(x.withColumn("most_common", F.array_join(F.transform("most_common", lambda v: F.round(v * 100).cast("int").cast("string")), ",")))
 
 
 @query(
-    f"""WITH {REC}, x AS (SELECT model, avg((confidence = 0)::INT) AS c FROM rec WHERE confidence IS NOT NULL AND label = 'ABSTAIN' GROUP BY model) SELECT 'unknown' AS developer, count(*) AS n_models, round(min(c), 9) AS lowest, round(max(c), 9) AS highest, round(avg(c), 9) AS mean FROM x"""
+    f"""WITH {REC}, {_NAMED}, x AS (SELECT model, developer, avg((v = 0)::INT) AS c FROM nm WHERE a GROUP BY ALL) SELECT developer, count(*) AS n_models, round(min(c), 9) AS lowest, round(max(c), 9) AS highest, round(avg(c), 9) AS mean FROM x GROUP BY developer"""
 )
 def q_developer_compliance(spark, sf_dir):
-    return out(sensitivity.developer_compliance(sensitivity.abstention_compliance(A.records(spark, sf_dir))))
+    return out(sensitivity.developer_compliance(sensitivity.abstention_compliance(named_records(spark, sf_dir))))
 
 
 @query(
@@ -134,18 +146,9 @@ _NORM = "trim(regexp_replace(lower({}), '[^0-9a-z_]+', ' ', 'g'))"
 SELECT item_id, doc_id FROM d, b WHERE p <> '' AND contains(' ' || t || ' ', ' ' || p || ' ')"""
 )
 def q_phrase_contamination(spark, sf_dir):
-    """Documents that hold a whole benchmark passage: joined on the passage's first eight words, then verified."""
+    """Documents that hold a whole benchmark passage."""
     docs = A.table(spark, sf_dir, "documents").select("doc_id", T.normalise(F.col("text")).alias("t"))
-    items = A.table(spark, sf_dir, "benchmark").select("item_id", T.normalise(F.col("text")).alias("p")).where("p <> ''").withColumn("w", F.split("p", " "))
-    k = 8
-    long, short = items.where(F.size("w") >= k), items.where(F.size("w") < k)
-    tokens = docs.withColumn("w", F.split("t", " "))
-    grams = tokens.select("doc_id", F.explode(F.transform(neardup.shingles(F.col("w"), k), lambda g: F.xxhash64(g))).alias("h"))
-    heads = long.select("item_id", "p", F.xxhash64(F.array_join(F.slice("w", 1, k), " ")).alias("h"))
-    near = grams.join(heads, "h").select("doc_id", "item_id", "p").distinct().join(docs, "doc_id").where(T.has_phrase(F.col("t"), F.col("p"))).select("item_id", "doc_id")
-    first = tokens.select("doc_id", "t", F.explode(F.array_distinct("w")).alias("first"))
-    few = first.join(short.select("item_id", "p", F.col("w")[0].alias("first")), "first").where(T.has_phrase(F.col("t"), F.col("p"))).select("item_id", "doc_id").distinct()
-    return out(near.unionByName(few))
+    return out(neardup.contained(docs, A.table(spark, sf_dir, "benchmark").select("item_id", T.normalise(F.col("text")).alias("p"))))
 
 
 @query(
@@ -168,8 +171,10 @@ def q_document_neardup(spark, sf_dir):
 
 @query()
 def q_difflib_neardup(spark, sf_dir):
+    """Passages and copies of each third of them with a word more, compared as questions are."""
     items = A.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pos"), T.normalise(F.col("text")).alias("text"))
-    return out(neardup.similar_questions(items, 0.82))
+    copies = items.where("pos % 3 = 0").select((F.col("pos") + 1_000_000).alias("pos"), F.concat("text", F.lit(" again")).alias("text"))
+    return out(neardup.similar_questions(items.unionByName(copies), 0.82))
 
 
 @query()
