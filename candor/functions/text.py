@@ -6,6 +6,7 @@ function over distinct batches of values.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import reduce
@@ -14,7 +15,7 @@ from operator import or_
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, LongType, StringType
 
 # The cues, labels and word lists that results depend on.
 LABELS = ("ABSTAIN", "HEDGE", "CONFIDENT_CORRECT", "CONFIDENT_WRONG")
@@ -458,10 +459,33 @@ def response_text(body: Column) -> Column:
     return F.coalesce(direct, listed, F.when(F.substring(F.ltrim(chat), 1, 1) == "[", joined).otherwise(some(chat)))
 
 
-def reasoning_tokens(body: Column) -> Column:
-    """The largest count under a name for reasoning tokens, at any depth of a JSON text."""
-    counts = F.regexp_extract_all(body, F.lit(r'(?i)"(?:reasoning_tokens|thinking_tokens|thinking)"\s*:\s*(-?\d+(?:\.\d+)?)'), F.lit(1))
-    return F.array_max(F.transform(counts, lambda x: x.try_cast("double").cast("long")))
+# The names of counts of reasoning tokens, in lower case.
+REASONING_NAMES = ("reasoning_tokens", "thinking_tokens", "thinking")
+
+
+def largest_count(body: str | None) -> int | None:
+    """The largest number under a name for reasoning tokens, at any depth of a JSON text; texts that can't be read have none."""
+    if not body or not any(n in body.lower() for n in REASONING_NAMES):
+        return None
+    try:
+        open_nodes = [json.loads(body)]
+    except ValueError:
+        return None
+    found: list[int] = []
+    while open_nodes:
+        node = open_nodes.pop()
+        pairs = node.items() if isinstance(node, dict) else (("", x) for x in node) if isinstance(node, list) else ()
+        for name, value in pairs:
+            if name.lower() in REASONING_NAMES and type(value) in (int, float):
+                found.append(int(value))
+            else:
+                open_nodes.append(value)
+    return max(found, default=None)
+
+
+@F.pandas_udf(LongType())
+def reasoning_tokens(bodies: pd.Series) -> pd.Series:
+    return pd.Series([largest_count(b) for b in bodies], dtype="Int64")
 
 
 def pending_review(release_status: Column, checks: Column) -> Column:

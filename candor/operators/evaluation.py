@@ -69,8 +69,8 @@ def capability_scores(probe: DataFrame) -> DataFrame:
 
 def route_assessment(recorded: DataFrame, least_valid: float = 0.95, least_confidence: float = 0.95) -> DataFrame:
     """Coverage and identity of each model's route from nested records, and why it fails."""
-    each = recorded.select("model", F.explode(F.array("answer_response", "confidence_response")).alias("r")).where("r.ok")
-    routes = each.groupBy("model").agg(F.count("*").alias("n_calls"), F.collect_set("r.requested_model").alias("requested"), F.collect_set("r.resolved_model").alias("resolved"), F.coalesce(F.max(T.reasoning_tokens(F.col("r.usage"))), F.lit(0)).alias("max_reasoning_tokens"))
+    each = recorded.select("model", F.explode(F.array("answer_response", "confidence_response")).alias("r")).where("r.ok").withColumn("_tokens", T.reasoning_tokens(F.col("r.usage")))
+    routes = each.groupBy("model").agg(F.count("*").alias("n_calls"), F.collect_set("r.requested_model").alias("requested"), F.collect_set("r.resolved_model").alias("resolved"), F.coalesce(F.max("_tokens"), F.lit(0)).alias("max_reasoning_tokens"))
     valid, rated = F.coalesce(F.col("answer_valid"), F.lit(False)), F.coalesce(F.col("confidence_valid"), F.lit(False))
     cover = recorded.groupBy("model").agg(F.count("*").alias("n_records"), F.avg(valid.cast("double")).alias("valid_rate"), F.coalesce(F.avg(F.when(valid, rated.cast("double"))), F.lit(0.0)).alias("confidence_rate"))
     x = cover.join(routes, "model", "left")

@@ -60,6 +60,8 @@ def test_provider_bodies(spark):
         assert one(spark, T.response_text(F.lit(json.dumps(body)))) == want
     assert one(spark, T.reasoning_tokens(F.lit('{"a": {"reasoning_tokens": 5}, "b": [{"Thinking_Tokens": 7}], "thinking": "no"}'))) == 7
     assert one(spark, T.reasoning_tokens(F.lit("{}"))) is None
+    assert one(spark, T.reasoning_tokens(F.lit('{"say": "\\"thinking\\": 9", "thinking": {"thinking": true, "x": [[{"THINKING": 2.7}]]}}'))) == 2
+    assert one(spark, T.reasoning_tokens(F.lit("thinking: no JSON"))) is None
 
 
 def test_review_gates(spark):
