@@ -16,38 +16,45 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from candor.llm import jaccard, langid, packing, quality, secrets
-from candor.llm.store import few_files, written
+from candor.llm.store import few_files, settle, written
 from candor.llm.units import tune
 
 #: Least mean posterior of a document's language.
 LEAST_SCORE = 0.5
+#: Bytes of an Arrow batch: five stages share the memory of one set of executors, so it is small.
+BATCH = "4m"
 
 #: No SQL expresses the field model, the components or the packing; tests/llm/test_pipeline.py has a brute-force version.
 ORACLE_SQL = None
 
 
+def _begin(spark: SparkSession) -> None:
+    tune(spark, BATCH)
+    settle(spark)
+
+
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tune(spark)
+    _begin(spark)
     return quality.clean(few_files(docs))
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tune(spark)
+    _begin(spark)
     return langid.keep_known(few_files(docs), langid.train(docs), LEAST_SCORE)
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tune(spark)
+    _begin(spark)
     return jaccard.one_of_each(few_files(docs), n=5, t=80)
 
 
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tune(spark)
+    _begin(spark)
     return secrets.redact(few_files(docs))
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    tune(spark)
+    _begin(spark)
     return packing.pack(packing.pieces(few_files(docs), public_tokenizers.path("word_bpe_49k.json"), slice_bytes=2 << 20, kept=150_000))
 
 
