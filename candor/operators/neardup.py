@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -28,12 +28,12 @@ def shingle_pairs(docs: DataFrame, least: float = 0.4, n: int = 5) -> DataFrame:
     words have equal, empty sets, so all of their pairs have similarity 1.
     """
     hashed = F.transform(shingles(F.split("norm", " "), n), lambda g: F.xxhash64(g))
-    sets = docs.select("id", hashed.alias("s")).withColumn("n", F.size("s"))
-    one = sets.where("n > 0").select("id", "n", F.explode("s").alias("g"))
-    shared = one.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    sets = lambda rows: rows.select("id", bound(hashed, lambda s: F.struct(s.alias("s"), F.size(s).alias("n"))).alias("x")).select("id", "x.s", "x.n")
+    one = sets(docs).where("n > 0").select("id", "n", F.explode("s").alias("g"))
+    shared = one.withColumn("df", F.count("*").over(Window.partitionBy("g"))).where("df > 1")
     # |A & B| >= least |A | B| >= least |A|: skip all but the first |A| - ceil(least |A|) + 1
     prefix = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    ordered = one.join(shared, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
+    ordered = shared.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("o"))
     alone = F.col("n") - F.size("o")
     keys = ordered.select("id", "n", alone.alias("alone"), F.posexplode(F.slice("o", 1, F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("k", "e"))
     keys = keys.select("id", "n", F.col("e.g").alias("g"), (F.col("alone") + F.col("k")).alias("place"))
@@ -41,10 +41,12 @@ def shingle_pairs(docs: DataFrame, least: float = 0.4, n: int = 5) -> DataFrame:
     most = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))  # shared before this n-gram and from it on
     fits = (F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (most >= least * (F.col("na") + F.col("nb") - most) - 1e-9)
     near = side("a").join(side("b"), "g").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    full = near.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    own = sets(docs.join(wanted, "id", "left_semi"))
+    full = near.join(own.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(own.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     out = full.select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("jaccard")).where(F.col("jaccard") >= least)
-    tiny = sets.where("n = 0").select("id", F.lit(1).alias("one"))
+    tiny = docs.where(F.size(F.split("norm", " ")) < n).select("id", F.lit(1).alias("one"))
     pairs = tiny.select(F.col("id").alias("a"), "one").join(tiny.select(F.col("id").alias("b"), "one"), "one").where("a < b")
     return out.unionByName(pairs.select("a", "b", F.lit(1.0).alias("jaccard")))
 
