@@ -130,7 +130,8 @@ def normalised_each(array: Column, norm) -> Column:
 
 def normalise_ascii(c: Column) -> Column:
     """The same for texts in ASCII, without leaving the JVM; accented letters become blanks, so only for such texts."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^0-9a-z_]+", " "))
+    # the JVM has a mark behind the small letter of a capital i with a dot, other engines have the letter alone
+    return F.trim(F.regexp_replace(F.lower(F.replace(c, F.lit("İ"), F.lit("i"))), r"[^0-9a-z_]+", " "))
 
 
 def has_phrase(text: Column, phrase: Column) -> Column:
