@@ -278,26 +278,39 @@ def confidence_is_final(ok: Column, value: Column, error_type: Column) -> Column
 # --- truncation
 
 
-def truncation(text: Column, tokens: Column, limit: int | None) -> Column:
-    """A struct of signs that an answer was cut off: token_limit, incomplete_clause, unpunctuated, suspected."""
+def truncation(text: Column, tokens: Column, limit: int | None, ascii_edges: bool = False) -> Column:
+    """A struct of signs that an answer was cut off: token_limit, incomplete_clause, unpunctuated, suspected.
+
+    With `ascii_edges`, words and white space have their edges where an engine that knows them in ASCII only sees them.
+    """
     at_limit = F.coalesce(tokens >= F.lit(limit), F.lit(False)) if limit is not None else F.lit(False)
-    given = F.struct(F.regexp_replace(text, r"(?U)\s+$", "").alias("s"), at_limit.alias("at_limit"))
-    open_ended = lambda s: (word_count(s) >= 5) & ~F.right(s, F.lit(1)).isin(*TERMINAL)
+    words = (lambda s: F.regexp_count(s, F.lit(_NO_BLANK))) if ascii_edges else word_count
+    given = F.struct(F.regexp_replace(text, r"\p{Zs}+\z" if ascii_edges else r"(?U)\s+$", "").alias("s"), at_limit.alias("at_limit"))
+    open_ended = lambda s: (words(s) >= 5) & ~F.right(s, F.lit(1)).isin(*TERMINAL)
     read = bound(given, lambda x: F.struct(x["s"].alias("s"), x["at_limit"].alias("at_limit"), open_ended(x["s"]).alias("open_ended")))
-    cut = bound(read, lambda x: F.struct(x["at_limit"].alias("at_limit"), x["open_ended"].alias("open_ended"), (x["open_ended"] & _broken_off(x["s"])).alias("incomplete")))
+    cut = bound(read, lambda x: F.struct(x["at_limit"].alias("at_limit"), x["open_ended"].alias("open_ended"), (x["open_ended"] & _broken_off(x["s"], ascii_edges)).alias("incomplete")))
     return bound(cut, lambda x: F.struct(x["at_limit"].alias("token_limit"), x["incomplete"].alias("incomplete_clause"), x["open_ended"].alias("unpunctuated"), (x["at_limit"] | x["incomplete"]).alias("suspected")))
 
 
-def _broken_off(s: Column) -> Column:
+_BLANK, _NO_BLANK = r"[\t\n\f\r ]", r"[^\t\n\f\r ]+"
+_ASCII_EDGE = r"(?:(?<![0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<=[0-9A-Za-z_])(?![0-9A-Za-z_]))"
+_THIRD = {"s": "\u017f", "k": "\u212a"}
+
+
+def _any_case(word: str) -> str:
+    """Letters in both cases; two have a third form beyond ASCII."""
+    return "".join(f"[{c}{c.upper()}{_THIRD.get(c, '')}]" for c in word)
+
+
+def _broken_off(s: Column, ascii_edges: bool = False) -> Column:
     """Whether a text ends in a word that needs another, in a mark that opens something, or inside of quotes or brackets."""
     times = lambda p: F.regexp_count(s, F.lit(p))
-    unbalanced = (
-        (times('"') % 2 == 1)
-        | (times(r"(?U)(?:^|\s)['‘]") > times(r"(?U)['’](?=\s|$|[.,;:!?])"))
-        | (times(r"\(") > times(r"\)"))
-        | (times(r"\[") > times(r"\]"))
-    )
-    return s.rlike(r"(?iU)\b(?:" + "|".join(FUNCTION_WORDS) + r")$") | s.rlike(r"[,;:\-–—/]$") | unbalanced
+    if ascii_edges:
+        opened, closed, last, mark = rf"(?:\A|{_BLANK})['‘]", rf"['’](?={_BLANK}|\z|[.,;:!?])", _ASCII_EDGE + "(?:" + "|".join(map(_any_case, FUNCTION_WORDS)) + r")\z", r"[,;:\-–—/]\z"
+    else:
+        opened, closed, last, mark = r"(?U)(?:^|\s)['‘]", r"(?U)['’](?=\s|$|[.,;:!?])", r"(?iU)\b(?:" + "|".join(FUNCTION_WORDS) + r")$", r"[,;:\-–—/]$"
+    unbalanced = (times('"') % 2 == 1) | (times(opened) > times(closed)) | (times(r"\(") > times(r"\)")) | (times(r"\[") > times(r"\]"))
+    return s.rlike(last) | s.rlike(mark) | unbalanced
 
 
 # --- question and answer form

@@ -73,13 +73,13 @@ def matched_selectivity(missing: DataFrame, restored: DataFrame) -> DataFrame:
     )
 
 
-def with_truncation(records: DataFrame, limit: int | None, text: str = "answer", tokens: str = "tokens") -> DataFrame:
-    return records.withColumn("cut", truncation(F.coalesce(F.col(text), F.lit("")), F.col(tokens), limit))
+def with_truncation(records: DataFrame, limit: int | None, text: str = "answer", tokens: str = "tokens", ascii_edges: bool = False) -> DataFrame:
+    return records.withColumn("cut", truncation(F.coalesce(F.col(text), F.lit("")), F.col(tokens), limit, ascii_edges))
 
 
-def truncation_audit(records: DataFrame, limit: int | None) -> DataFrame:
+def truncation_audit(records: DataFrame, limit: int | None, ascii_edges: bool = False) -> DataFrame:
     """Signs of cut-off answers by model, beside the panel: outliers have three times its median rate, or 0.1."""
-    x = with_truncation(records.where(F.col("answer").isNotNull()), limit)
+    x = with_truncation(records.where(F.col("answer").isNotNull()), limit, ascii_edges=ascii_edges)
     c = scoring.counted
     by = x.groupBy("model").agg(
         F.count("*").alias("n"), *[c(F.col(f"cut.{k}")).alias(f"n_{k}") for k in ("token_limit", "incomplete_clause", "unpunctuated", "suspected")], F.max("tokens").alias("max_tokens"),
@@ -92,9 +92,9 @@ def truncation_audit(records: DataFrame, limit: int | None) -> DataFrame:
     return by.crossJoin(F.broadcast(panel)).withColumn("outlier", outlier).withColumn("times_median", F.when(F.col("panel_median") > 0, F.round(rate / F.nullif(F.col("panel_median"), F.lit(0.0)), 1)))
 
 
-def truncation_sensitivity(records: DataFrame, limit: int | None) -> DataFrame:
+def truncation_sensitivity(records: DataFrame, limit: int | None, ascii_edges: bool = False) -> DataFrame:
     """Composite and place of each model as recorded, without suspected answers, and with them read as hedges."""
-    x = with_truncation(records, limit)
+    x = with_truncation(records, limit, ascii_edges=ascii_edges)
     suspect = F.coalesce(F.col("cut.suspected"), F.lit(False)) & (F.col("label") == "CONFIDENT_WRONG")
     rows = x.withColumn("scenario", F.explode(F.array(F.lit("as_recorded"), F.lit("dropped"), F.lit("as_restraint"))))
     rows = rows.where(~((F.col("scenario") == "dropped") & F.coalesce(F.col("cut.suspected"), F.lit(False))))

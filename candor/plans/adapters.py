@@ -71,13 +71,17 @@ def case(column: str, values: tuple[str, ...], quote: str = "''") -> str:
     return f"case {column} % {len(values)} " + " ".join("when {} then '{}'".format(k, v.replace("'", quote)) for k, v in enumerate(values)) + " end"
 
 
+#: Every blank of Unicode's class Zs: what SQL trims.
+_BLANKS = "\u0020\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers (doc_id, model, question_id, answer, reply, tokens) from documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    t = case("doc_id", TEMPLATES, _ESCAPED)
+    t, own = case("doc_id", TEMPLATES, _ESCAPED), f"btrim(replace(text, char(10), ' '), '{_BLANKS}')"
     return docs.selectExpr(
         "doc_id", "concat('m', lpad(cast(doc_id % 6 as string), 2, '0')) as model", "concat('q', lpad(cast(doc_id as string), 8, '0')) as question_id",
-        f"case when doc_id % 3 = 0 then {t} when doc_id % 3 = 1 then concat(trim(replace(text, char(10), ' ')), ' ', {t}) else concat({t}, ' ', trim(replace(text, char(10), ' '))) end as answer",
+        f"case when doc_id % 3 = 0 then {t} when doc_id % 3 = 1 then concat({own}, ' ', {t}) else concat({t}, ' ', {own}) end as answer",
         f"{case('(doc_id div 3)', CONFIDENCES, _ESCAPED)} as reply", "cast(n_chars % 300 as int) as tokens",
     )
 
