@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -150,63 +151,103 @@ def index_matrix(seed: int, strata: list[str], resamples: int) -> np.ndarray:
     return out
 
 
-def seeded_bootstrap(facts: DataFrame, resamples: int = 1000, seed: int = 42, n_bins: int = 10, weights: dict[str, float] | None = None, step: int = 200) -> DataFrame:
+def stratified_sums(seed: int, stratum: np.ndarray, kind: np.ndarray, gap: np.ndarray, kinds: int, resamples: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and sums of gaps by (replicate, kind) over the draws of index_matrix, which is never made: `step` draws at a time are the same stream."""
+    rng = np.random.default_rng(seed)
+    n, total = np.zeros((resamples, kinds), np.int64), np.zeros((resamples, kinds))
+    names, first = np.unique(stratum, return_index=True)
+    for s in names[np.argsort(first)]:
+        k, g = kind[stratum == s], gap[stratum == s]
+        for rep in range(resamples):
+            for at in range(0, len(k), step):
+                drawn = rng.integers(0, len(k), size=min(step, len(k) - at))
+                of = k[drawn]
+                n[rep] += np.bincount(of, minlength=kinds)
+                total[rep] += np.bincount(of, weights=g[drawn], minlength=kinds)
+    return n, total
+
+
+def seeded_bootstrap(facts: DataFrame, resamples: int = 1000, seed: int = 42, n_bins: int = 10, weights: dict[str, float] | None = None, step: int = 1 << 18) -> DataFrame:
     """Replicates of each model's scores on the same resampled items, strata being categories.
 
-    Each model's task draws the same matrix from the seed, so replicates pair up over models without being sent.
+    Each model's task draws the same items from the seed, so replicates pair up over models without being sent. It keeps
+    its items as numbers, 14 bytes each, and makes `step` draws at a time.
     """
-    from .scoring import WEIGHTS
+    from .scoring import RESTRAINT, SUBSTANTIVE, WEIGHTS, flag, scorable
 
     w = weights or WEIGHTS
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("question_id", kind="stable")
-        scorable = pdf["scorable"].to_numpy(bool)
-        label, conf = pdf["label"].fillna("").to_numpy(), pdf["confidence"].to_numpy(float)
-        if np.nanmin(conf, initial=0) < 0 or np.nanmax(conf, initial=0) > 1:
-            raise ValueError("a confidence outside of [0, 1]")
-        restraint = scorable & np.isin(label, ["ABSTAIN", "HEDGE"])
-        wrong = scorable & (label == "CONFIDENT_WRONG")
-        sub = scorable & pdf["rated"].to_numpy(bool) & np.isin(label, ["CONFIDENT_CORRECT", "CONFIDENT_WRONG"]) & ~np.isnan(conf)
-        right = (pdf["is_correct"] == True).to_numpy(float)  # noqa: E712
-        gap = np.where(sub, right - np.nan_to_num(conf), 0.0)
-        bins = np.where(sub, np.minimum((np.nan_to_num(conf) * n_bins).astype(int), n_bins - 1), -1)
-        draws, rows = index_matrix(seed, pdf["category"].tolist(), resamples), []
-        for k in range(0, resamples, step):
-            at = draws[k : k + step]
-            n, m = scorable[at].sum(1), sub[at].sum(1)
-            if (n == 0).any() or (m == 0).any():
-                raise ValueError("a resample without rows to score")
-            ece = sum(np.abs(np.where(bins[at] == b, gap[at], 0).sum(1)) for b in range(n_bins)) / m
-            rows.append(np.stack([restraint[at].sum(1) / n, 1 - wrong[at].sum(1) / n, 1 - ece], 1))
-        r = np.concatenate(rows)
-        return pd.DataFrame({"model": pdf["model"].iloc[0], "rep": np.arange(resamples, dtype=np.int32), "restraint_rate": r[:, 0], "error_avoidance": r[:, 1], "calibration": r[:, 2], "composite": w["restraint"] * r[:, 0] + w["avoidance"] * r[:, 1] + w["calibration"] * r[:, 2]})
-
-    from .scoring import flag, scorable
+    wrong_bins, right_bins, kinds = 4, 4 + n_bins, 4 + 2 * n_bins  # before them: not scored, restraint, wrong, other
+
+    def replicates(model: str, parts: list) -> pa.RecordBatch:
+        n, total = stratified_sums(seed, *(np.concatenate(x) for x in zip(*parts, strict=True)), kinds, resamples, step)
+        scored, m = n[:, 1:].sum(1), n[:, wrong_bins:].sum(1)
+        if (scored == 0).any() or (m == 0).any():
+            raise ValueError("a resample without rows to score")
+        ece = np.abs(total[:, wrong_bins:right_bins] + total[:, right_bins:]).sum(1) / m
+        rates = [n[:, 1] / scored, 1 - (n[:, 2] + n[:, wrong_bins:right_bins].sum(1)) / scored, 1 - ece]
+        composite = w["restraint"] * rates[0] + w["avoidance"] * rates[1] + w["calibration"] * rates[2]
+        columns = [pa.array([model] * resamples, pa.string()), pa.array(np.arange(resamples, dtype=np.int32)), *map(pa.array, [*rates, composite])]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in BOOTSTRAP.split(", ")])
+
+    def run(batches):
+        model, parts, codes, seen = None, [], {}, False
+        for batch in batches:
+            x = {c: batch.column(c) for c in batch.schema.names}
+            names = x["model"].to_pylist()
+            conf = x["confidence"].to_numpy(zero_copy_only=False).astype(float)
+            if np.nanmin(conf, initial=0) < 0 or np.nanmax(conf, initial=0) > 1:
+                raise ValueError("a confidence outside of [0, 1]")
+            base, right, sub = (x[c].to_numpy(zero_copy_only=False) for c in ("base", "right", "sub"))
+            sub = sub & ~np.isnan(conf)
+            known = np.nan_to_num(conf)
+            bins = np.minimum((known * n_bins).astype(int), n_bins - 1) + np.where(base == 2, wrong_bins, right_bins)
+            kind, gap = np.where(sub, bins, base).astype(np.int16), np.where(sub, right.astype(float) - known, 0.0)
+            ends = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for i, j in zip(ends, ends[1:]):
+                if i == j:
+                    continue
+                if seen and names[i] != model:
+                    yield replicates(model, parts)
+                    parts, codes = [], {}
+                model, seen = names[i], True
+                parts.append((np.array([codes.setdefault(c, len(codes)) for c in x["category"][i:j].to_pylist()], np.int32), kind[i:j], gap[i:j]))
+        if seen:
+            yield replicates(model, parts)
 
     # every model over every item: what a model never answered is an item that can't be scored
     grid = facts.groupBy("question_id").agg(F.min("category").alias("category")).crossJoin(F.broadcast(facts.select("model").distinct()))
     facts = grid.join(facts.drop("category"), ["question_id", "model"], "left")
-    rows = facts.select("model", "question_id", "category", scorable().alias("scorable"), flag("rated").alias("rated"), "label", "confidence", "is_correct")
-    return rows.groupBy("model").applyInPandas(run, BOOTSTRAP)
+    label = F.col("label")
+    base = F.when(~scorable(), 0).when(label.isin(*RESTRAINT), 1).when(label == "CONFIDENT_WRONG", 2).otherwise(3)
+    sub = scorable() & flag("rated") & label.isin(*SUBSTANTIVE) & F.col("confidence").isNotNull()
+    rows = facts.select("model", "question_id", "category", base.cast("tinyint").alias("base"), F.coalesce(sub, F.lit(False)).alias("sub"), F.col("confidence").cast("double").alias("confidence"), flag("is_correct").alias("right"))
+    apart = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "model")
+    return apart.sortWithinPartitions("model", F.col("question_id").asc_nulls_last()).drop("question_id").mapInArrow(run, BOOTSTRAP)
+
+
+#: Draws of one task of the hashed bootstrap, in the mean; there are as many tasks as this takes.
+TASK_DRAWS = 1_000_000
 
 
 def hash_bootstrap(facts: DataFrame, resamples: int) -> DataFrame:
     """Replicates of the restraint rate and error avoidance by draws from a hash of (replicate, item, draw).
 
     A replicate takes for each of the n items the one that the hash names, the same for every model: built-in
-    expressions only. The counts of how often an item is drawn are summed over models once and then joined.
+    expressions only. The counts of how often an item is drawn are summed over models once and then joined. Draws go to
+    so many tasks that each has TASK_DRAWS of them, whatever the input: a task's memory doesn't grow with it.
     """
     from .scoring import scorable
 
     items = facts.select("item_no").distinct()
     n = items.count()
+    parts = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * resamples // TASK_DRAWS))
     draws = items.crossJoin(F.broadcast(items.sparkSession.range(resamples).select(F.col("id").cast("int").alias("rep"))))
     h = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("rep").cast("string"), F.col("item_no").cast("string"))), 1, 12), 16, 10).cast("long")
-    times = draws.select("rep", F.pmod(h, F.lit(n)).alias("item_no")).groupBy("rep", "item_no").agg(F.count("*").alias("times"))
+    drawn = draws.select("rep", F.pmod(h, F.lit(n)).alias("item_no")).repartition(parts, "item_no")
+    times = drawn.groupBy("rep", "item_no").agg(F.count("*").alias("times"))
     rows = facts.where(scorable()).select("model", "item_no", F.col("label").isin("ABSTAIN", "HEDGE").cast("int").alias("r"), (F.col("label") == "CONFIDENT_WRONG").cast("int").alias("w"))
     t = F.col("times")
-    return rows.join(times, "item_no").groupBy("model", "rep").agg((F.sum(t * F.col("r")) / F.sum(t)).alias("restraint_rate"), (1 - F.sum(t * F.col("w")) / F.sum(t)).alias("error_avoidance"))
+    return rows.repartition(parts, "item_no").hint("merge").join(times, "item_no").groupBy("model", "rep").agg((F.sum(t * F.col("r")) / F.sum(t)).alias("restraint_rate"), (1 - F.sum(t * F.col("w")) / F.sum(t)).alias("error_avoidance"))
 
 
 def percentile_interval(replicates: DataFrame, by: list[str], value: str) -> DataFrame:
