@@ -108,8 +108,10 @@ _WORD = re.compile(r"\w+")
 
 def normalised(value: str) -> str:
     """Compatibility decomposition, full case folding, no combining marks, words joined by one blank."""
+    if value.isascii():
+        return " ".join(_WORD.findall(value.lower()))
     folded = unicodedata.normalize("NFKD", value).casefold()
-    return " ".join(_WORD.findall("".join(c for c in folded if unicodedata.category(c) != "Mn")))
+    return " ".join(_WORD.findall(folded.translate({ord(c): None for c in set(folded) if unicodedata.category(c) == "Mn"})))
 
 
 @F.pandas_udf(StringType())
