@@ -2,7 +2,9 @@
 
 1. Texts are tokenised in blocks (one task's rows, bounded); a block holds the codes of its tokens and its distinct
    words with their training counts, so that each word is counted and looked up once a block, not once a place.
-   Counts are summed over all training documents by word and joined back to the blocks.
+   Counts are summed over all training documents by word and go back to the blocks. A block's words travel once, as
+   one compressed row for each part of all words (by crc32); counts and places in the order of the part come back
+   for the block's codes, and codes are compressed by slice of texts. Tables that have been read are deleted.
 2. Classes of the neural model: the end, the unknown word and every training word counted `least_count` times or
    more, which is 5 and, beyond 102,400 training tokens, a 64th of the root of their number. So the vocabulary
    grows with the corpus, and has at most 64 times that root of words. A rarer word costs the unknown class and its
@@ -36,8 +38,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
-from .units import coded, lower_ascii, resident, slices, split_words, texts
+from .store import discard, written
+from .units import as_utf8, coded, lower_ascii, resident, slices, split_words, texts
 
 WIDTH, CONTEXT, ROUNDS = 32, 2, 2
 LEAST, ROOT, FLAT = 5, 64, 256
@@ -47,11 +49,15 @@ FREQUENT, EDGE = 4096, 32
 GROUPS = 2
 BATCH, STRETCH, NOISE, RATE = 1536, 64, 32, 0.15
 BLOCK_WORDS, BLOCK_TOKENS = 500_000, 6_000_000
-BROADCAST_WORDS = 200_000
+#: One part of all words for so many bytes of input, between the least and the greatest number of parts.
+PART_BYTES, PARTS = 32 << 20, (64, 4096)
 END, UNKNOWN = 0, 1
 #: Stands for the end token among words; no word holds a blank.
 _END_WORD = " "
-_BLOCKS = "block long, doc_id long, held_out boolean, n_tokens long, codes binary, code int, word string, n long"
+#: Rows of texts (part is null: the texts of a slice) and rows of words (of a block and a part).
+_BLOCKS = "block long, doc_ids array<long>, held_out array<boolean>, n_tokens array<long>, codes binary, part int, lengths binary, words binary, counts binary"
+#: Rows of a block and a part, rows of words, and a row for each part with its sums.
+_COUNTED = "block long, part int, codes binary, counts binary, ranks binary, word string, rank int, c long, distinct long"
 
 
 def least_count(total: int) -> int:
@@ -66,6 +72,28 @@ def held_out(doc_id: int | None) -> bool:
 # --- blocks
 
 
+def packed(values: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones, and so on, compressed."""
+    planes = np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T)
+    return len(values).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, dtype: type) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
+
+
+def _rows(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
+    """A batch of n rows whose other columns are null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+def _arrow(ddl: str) -> pa.Schema:
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64()), "array<boolean>": pa.list_(pa.bool_())}
+    return pa.schema([(name, types[kind]) for name, kind in (x.split(" ") for x in ddl.split(", "))])
+
+
 class _Block:
     def __init__(self, number: int):
         self.id = number
@@ -90,58 +118,102 @@ class _Block:
         self.tokens += len(out)
         return out_off, out
 
-    def dictionary(self) -> pa.RecordBatch:
-        n = len(self.words)
-        nothing = lambda t: pa.nulls(n, t)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, self.id, np.int64)), nothing(pa.int64()), nothing(pa.bool_()), nothing(pa.int64()), nothing(pa.binary()), pa.array(np.arange(n, dtype=np.int32)), self.words, pa.array(self.counts)],
-            ["block", "doc_id", "held_out", "n_tokens", "codes", "code", "word", "n"],
-        )
-
-
-def _blocks(batches):
-    from pyspark import TaskContext
-
-    resident(None)
-    number = TaskContext.get().partitionId() << 32  # blocks are numbered by the data, so that scores repeat
-    block = _Block(number)
-    for batch in slices(batches):
-        ids = batch.column("doc_id").to_pylist()
-        held = np.array([held_out(i) for i in ids])
-        off, codes = block.add(texts(batch), ~held & np.array([i is not None for i in ids]))
-        n = len(ids)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, block.id, np.int64)), pa.array(ids, pa.int64()), pa.array(held), pa.array(np.diff(off)), pa.array([codes[a:b].tobytes() for a, b in zip(off, off[1:])], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())],
-            ["block", "doc_id", "held_out", "n_tokens", "codes", "code", "word", "n"],
-        )
-        if len(block.words) > BLOCK_WORDS or block.tokens > BLOCK_TOKENS:
-            yield block.dictionary()
-            number += 1
-            block = _Block(number)
-    if block.tokens:
-        yield block.dictionary()
-
-
-def _looked_up(total: int, distinct: int, rest: int, rest_distinct: int):
-    """Rows of a block with their base score, their classes and what their unknown words cost within the class."""
+    def dictionary(self, parts: int) -> pa.RecordBatch:
+        """One row for each part of all words that the block has words of; codes as their differences."""
+        part = np.array([zlib.crc32(w) % parts for w in self.words.cast(pa.binary()).to_pylist()], np.int32)
+        order = np.argsort(part, kind="stable")
+        off, data = as_utf8(self.words.take(pa.array(order)))
+        own, first = np.unique(part[order], return_index=True)
+        edges = [*first.tolist(), len(order)]
+        runs = [slice(a, b) for a, b in zip(edges, edges[1:])]
+        lengths, counts = np.diff(off), self.counts[order]
+        return _rows(
+            _arrow(_BLOCKS), len(own), block=np.full(len(own), self.id, np.int64), part=own, codes=[packed(np.diff(order[r], prepend=0).astype(np.int32)) for r in runs], lengths=[packed(lengths[r]) for r in runs],
+            words=[pa.compress(data[off[r.start] : off[r.stop]].tobytes(), "zstd", asbytes=True) for r in runs], counts=[packed(counts[r]) for r in runs],
+        )
+
+
+def _blocks(parts: int):
+    def run(batches):
+        from pyspark import TaskContext
+
+        resident(None)
+        number = TaskContext.get().partitionId() << 32  # blocks are numbered by the data, so that scores repeat
+        block = _Block(number)
+        for batch in slices(batches):
+            ids = batch.column("doc_id").to_pylist()
+            held = np.array([held_out(i) for i in ids])
+            off, codes = block.add(texts(batch), ~held & np.array([i is not None for i in ids]))
+            yield _rows(_arrow(_BLOCKS), 1, block=[block.id], doc_ids=[ids], held_out=[held], n_tokens=[np.diff(off)], codes=[packed(codes)])
+            if len(block.words) > BLOCK_WORDS or block.tokens > BLOCK_TOKENS:
+                yield block.dictionary(parts)
+                number += 1
+                block = _Block(number)
+        if block.tokens:
+            yield block.dictionary(parts)
+
+    return run
+
+
+def _counted(least: int):
+    """Of one part of all words: sums, the words counted `least` times or more in order, and for each block the counts
+    and places (from 1, 0 for no such word) of its words."""
+
+    def run(table):
+        lengths = [unpacked(x.as_py(), np.int64) for x in table.column("lengths")]
+        data = b"".join(pa.decompress(x.as_py(), int(n.sum()), "zstd", asbytes=True) for x, n in zip(table.column("words"), lengths))
+        edges = np.cumsum([0, *map(len, lengths)])
+        off = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int64)
+        codes, words = coded(pa.LargeStringArray.from_buffers(len(off) - 1, pa.py_buffer(off), pa.py_buffer(data)))
+        c = np.zeros(len(words), np.int64)
+        np.add.at(c, codes, np.concatenate([unpacked(x.as_py(), np.int64) for x in table.column("counts")]))
+        end = pc.equal(words, _END_WORD).to_numpy(zero_copy_only=False)
+        own = np.flatnonzero((c >= least) & ~end)
+        own = own[pc.sort_indices(pa.table({"c": c[own], "word": words.take(pa.array(own))}), sort_keys=[("c", "descending"), ("word", "ascending")]).to_numpy()]
+        place = np.zeros(len(words), np.int32)
+        place[own] = np.arange(len(own)) + 1
+        shown = np.concatenate([own, np.flatnonzero(end & (c > 0))])
+        part, schema = table.column("part")[0].as_py(), _arrow(_COUNTED)
+        runs = [codes[a:b] for a, b in zip(edges, edges[1:])]
+        return pa.Table.from_batches(
+            [
+                _rows(schema, len(runs), block=table.column("block").combine_chunks(), part=np.full(len(runs), part), codes=table.column("codes").combine_chunks(), counts=[packed(c[r]) for r in runs], ranks=[packed(place[r]) for r in runs]),
+                _rows(schema, len(shown), part=np.full(len(shown), part), word=words.take(pa.array(shown)).cast(pa.string()), rank=place[shown], c=c[shown]),
+                _rows(schema, 1, part=[part], c=[int(c.sum())], distinct=[int((c > 0).sum())]),
+            ]
+        )
+
+    return run
+
+
+def _looked_up(total: int, distinct: int, rest: int, rest_distinct: int, vocabulary):
+    """Rows of a block with their base score, their classes and what their unknown words cost within the class.
+
+    vocabulary: the classes of the words of each part in their order, one part after the other, and where parts begin.
+    """
 
     def run(left, right):
-        code = right.column("code").to_numpy()
-        size = int(code.max()) + 1 if len(code) else 1
+        own, starts = vocabulary.value["cls"], vocabulary.value["starts"]
+        at = [np.cumsum(unpacked(x.as_py(), np.int32)) for x in right.column("codes")]
+        size = max((int(x[-1]) for x in at), default=0) + 1
         c, cls = np.zeros(size), np.full(size, UNKNOWN, np.int32)
-        c[code] = right.column("c").fill_null(0).to_numpy()
-        cls[code] = right.column("cls").fill_null(UNKNOWN).to_numpy()
+        for code, part, counts, ranks in zip(at, right.column("part").to_pylist(), right.column("counts"), right.column("ranks")):
+            c[code] = unpacked(counts.as_py(), np.int64)
+            place = unpacked(ranks.as_py(), np.int32)
+            known = np.flatnonzero((place > 0) & (place <= starts[part + 1] - starts[part]))
+            cls[code[known]] = own[starts[part] + place[known] - 1]
+        cls[END] = END
         inner = np.where(cls == UNKNOWN, np.log10((c + 0.5) / (rest + 0.5 * (rest_distinct + 1))), 0.0)
         base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-        n = left.column("n_tokens").to_numpy()
-        off = np.concatenate([[0], np.cumsum(n)])
-        codes = np.frombuffer(b"".join(x.as_py() for x in left.column("codes")), np.int32)
+        ids, held, n = (left.column(x).combine_chunks().flatten() for x in ("doc_ids", "held_out", "n_tokens"))
+        off = np.concatenate([[0], np.cumsum(n.to_numpy())])
+        codes = np.concatenate([np.zeros(0, np.int32), *(unpacked(x.as_py(), np.int32) for x in left.column("codes"))])
         at = off[:-1]
         sums = lambda v: np.add.reduceat(v, at) if len(at) else np.zeros(0)  # noqa: E731  every text has its end
         classes = cls[codes]
         return pa.table(
             {
-                "doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": left.column("n_tokens"), "n_known": pa.array(sums((c[codes] > 0).astype(np.int64)).astype(np.int64)),
+                "doc_id": ids, "held_out": held, "n_tokens": n, "n_known": pa.array(sums((c[codes] > 0).astype(np.int64)).astype(np.int64)),
                 "base_score": pa.array(sums(base[codes])), "inner": pa.array(sums(inner[codes])), "classes": pa.array([classes[a:b].tobytes() for a, b in zip(off, off[1:])], pa.binary()),
             }
         )
@@ -448,29 +520,35 @@ def score(docs: DataFrame, classes: int | None = None, rounds: int = ROUNDS) ->
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = written(rows.mapInArrow(_blocks, _BLOCKS), "lm-blocks", compression="zstd")
-    words = blocks.where("code is not null").select("block", "code", "word", "n")
-    counts = written(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n_parts = min(max(size // PART_BYTES, PARTS[0]), PARTS[1])
+    blocks = written(rows.mapInArrow(_blocks(n_parts), _BLOCKS), "lm-blocks", compression="zstd")
+    texts_of = blocks.where("part is null").select("block", "doc_ids", "held_out", "n_tokens", "codes")
+    words = blocks.where("part is not null").select("block", "part", "codes", "lengths", "words", "counts")
+    counts = written(words.groupBy("part").applyInArrow(_counted(LEAST if classes is None else 1), _COUNTED), "lm-counts", compression="zstd")
+    total, distinct = counts.where("distinct is not null").agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     if not total:
-        texts_only = blocks.where("code is null")
-        return texts_only.select("doc_id", "held_out", "n_tokens", F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    own = counts.where(F.col("word") != _END_WORD)
+        discard(counts)
+        each = texts_of.select(F.explode(F.arrays_zip("doc_ids", "held_out", "n_tokens")).alias("x")).select("x.*").withColumnRenamed("doc_ids", "doc_id")
+        return each.select("doc_id", "held_out", "n_tokens", F.lit(0).cast("long").alias("n_known"), F.lit(0).cast("long").alias("train_tokens"), F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
+    own = counts.where("rank > 0")
     own = own.where(F.col("c") >= least_count(total)).orderBy(F.desc("c"), "word") if classes is None else own.orderBy(F.desc("c"), "word").limit(classes - 2)
-    top = own.toArrow()  # 64 times the root of the training tokens at most
+    top = own.select("part", "rank", "c").toArrow()  # 64 times the root of the training tokens at most
     c = top.column("c").to_numpy()
     end = counts.where(F.col("word") == _END_WORD).first()
     rest, rest_distinct = total - int(c.sum()) - (end.c if end else 0), distinct - len(c) - (end is not None)
     prior = np.concatenate([[end.c if end else 0, rest], c]).astype(np.float64) + 0.5
     prior /= prior.sum()
-    vocabulary = spark.createDataFrame(pa.table({"word": pa.concat_arrays([pa.array([_END_WORD]), *top.column("word").cast(pa.string()).chunks]), "cls": pa.array(np.concatenate([[END], np.arange(len(c)) + 2]).astype(np.int32))}))
-    vocabulary = F.broadcast(vocabulary) if len(c) <= BROADCAST_WORDS else vocabulary
-    found = words.select("block", "code", "word").join(counts.join(vocabulary, "word", "left"), "word", "left").select(F.col("block").alias("of"), "code", "c", "cls")
-    texts_of = blocks.where("code is null").select("block", "doc_id", "held_out", "n_tokens", "codes")
+    part, rank = (top.column(x).to_numpy() for x in ("part", "rank"))
+    order = np.lexsort((rank, part))  # a part's words of the vocabulary are the first ones of its order
+    vocabulary = sc.broadcast({"cls": (order + 2).astype(np.int32), "starts": np.searchsorted(part[order], np.arange(n_parts + 1))})
+    found = counts.where("block is not null").select(F.col("block").alias("of"), "part", "codes", "counts", "ranks")
     looked = texts_of.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(
-        _looked_up(total, distinct, rest, rest_distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"
+        _looked_up(total, distinct, rest, rest_distinct, vocabulary), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, inner double, classes binary"
     )
     looked = written(looked, "lm-classes", compression="zstd")
+    vocabulary.destroy()
+    discard(blocks, counts)
     model = LogBilinear(prior)
     flat = model.flat()
     train = looked.select("doc_id", "held_out", "n_tokens", "classes")

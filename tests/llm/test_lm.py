@@ -2,6 +2,7 @@
 
 import collections
 import math
+import os
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from candor.llm import lm
+from candor.llm import lm, store
 
 from .cases import awkward, empty
 
@@ -171,3 +172,48 @@ def test_scores_repeat(spark):
     docs = corpus(spark, 60).repartition(3)
     runs = [sorted((str(r.doc_id), r.n_tokens, r.score) for r in lm.score(docs, classes=30).collect()) for _ in range(2)]
     assert runs[0] == runs[1]
+
+
+def shuffled(spark, after=-1):
+    """(bytes written to shuffles by stages after this one, last stage)"""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    kept = sc.statusStore()
+    stages = kept.stageList(None, False, False, getattr(kept, "stageList$default$4")(), None)
+    own = [stages.apply(k) for k in range(stages.size())]
+    return sum(s.shuffleWriteBytes() for s in own if s.stageId() > after), max((s.stageId() for s in own), default=-1)
+
+
+def test_less_is_shuffled_than_read_and_tables_go(spark):
+    rng = np.random.default_rng(12)
+    words = np.array([f"{k * 7919 % 100_003:x}{'aeiou'[k % 5]}{k % 89:x}" for k in range(60_000)])
+    p = 1 / np.arange(1, len(words) + 1)
+    drawn = rng.choice(words, (1500, 250), p=p / p.sum())
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(drawn)], "doc_id long, text string").repartition(3)
+    folder = store.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    docs = store.written(docs, "docs")
+    _, last = shuffled(spark)
+    rows = lm.score(docs, rounds=0).collect()
+    sent, _ = shuffled(spark, last)
+    assert len(rows) == 1500
+    assert sent < 0.5 * sum(len(w) + 1 for line in drawn for w in line)
+    assert {x[: x.rindex("-")] for x in set(os.listdir(folder)) - before if x.startswith("lm-")} == {"lm-classes"}
+
+
+@pytest.mark.parametrize("values", [[0], [5, 0, 70_000, 2**31 - 1, 3], list(range(1000))])
+def test_packed_numbers_come_back(values):
+    for kind in (np.int32, np.int64):
+        got = lm.unpacked(lm.packed(np.array(values, kind)), kind)
+        assert got.dtype == kind and got.tolist() == values
+
+
+def test_words_in_many_parts_of_many_blocks(spark, monkeypatch):
+    docs = corpus(spark, 40).repartition(3)
+    own = lambda: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(docs, rounds=0, classes=20).collect())
+    want = own()
+    monkeypatch.setattr(lm, "PARTS", (1, 1))
+    assert own() == want
+    monkeypatch.setattr(lm, "PARTS", (7, 7))
+    monkeypatch.setattr(lm, "BLOCK_WORDS", 5)
+    assert own() == want
