@@ -12,11 +12,16 @@ import unicodedata
 from functools import reduce
 from operator import or_
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType
 
+from ..llm.units import as_utf8, slices
+
 # The cues, labels and word lists that results depend on.
 LABELS = ("ABSTAIN", "HEDGE", "CONFIDENT_CORRECT", "CONFIDENT_WRONG")
 CATEGORIES = ("FEQ", "PCQ", "HNQ", "CCQ")
@@ -136,6 +141,38 @@ def normalise_ascii(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.replace(c, F.lit("İ"), F.lit("i"))), r"[^0-9a-z_]+", " "))
 
 
+_SMALL = np.full(256, 32, np.uint8)
+for _c in b"0123456789abcdefghijklmnopqrstuvwxyz_":
+    _SMALL[_c] = _c
+    _SMALL[ord(chr(_c).upper())] = _c
+
+
+def ascii_words(values: pa.Array) -> pa.Array:
+    """normalise_ascii of many texts at once, by their bytes."""
+    # the only other letters whose small forms are in ASCII: a capital i with a dot, the Kelvin sign
+    text = pc.replace_substring(pc.replace_substring(values.cast(pa.large_string()).fill_null(""), "\u0130", "i"), "\u212a", "k")
+    off, raw = as_utf8(text)
+    small = _SMALL[raw]
+    blank = small == 32
+    after = np.concatenate([[True], blank[:-1]])[: len(blank)]
+    after[off[:-1][off[:-1] < len(raw)]] = True
+    keep = ~(blank & after)
+    small, off = small[keep], np.concatenate([[0], np.cumsum(keep)])[off]
+    ends = off[1:][off[1:] > off[:-1]] - 1
+    keep = np.ones(len(small), bool)
+    keep[ends[small[ends] == 32]] = False
+    off = np.concatenate([[0], np.cumsum(keep)])[off]
+    out = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(small[keep])).cast(pa.string())
+    return pc.if_else(pc.is_valid(values), out, pa.scalar(None, pa.string()))
+
+
+@F.arrow_udf(StringType())
+def normalise_ascii_words(values: pa.Array) -> pa.Array:
+    """normalise_ascii for whole documents, several times faster than the JVM's regular expressions."""
+    parts = [ascii_words(b.column("text")) for b in slices(iter([pa.RecordBatch.from_arrays([values], ["text"])]))]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
 def has_phrase(text: Column, phrase: Column) -> Column:
     """Whether a normalised phrase stands on word boundaries of a normalised text; an empty phrase doesn't."""
     return (phrase != "") & F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), phrase, F.lit(" ")))

@@ -1 +1 @@
-"""Training-data operators. Nothing outside this subpackage imports it."""
+"""Training-data operators. Outside of this subpackage only near duplicates use its tables, components and columns."""
