@@ -116,7 +116,10 @@ def normalised(value: str) -> str:
     if value.isascii():
         return " ".join(_WORD.findall(value.lower()))
     folded = unicodedata.normalize("NFKD", value).casefold()
-    return " ".join(_WORD.findall(folded.translate({ord(c): None for c in set(folded) if unicodedata.category(c) == "Mn"})))
+    for c in set(folded):
+        if unicodedata.category(c) == "Mn":
+            folded = folded.replace(c, "")
+    return " ".join(_WORD.findall(folded))
 
 
 @F.pandas_udf(StringType())
